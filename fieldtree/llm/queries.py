@@ -11,6 +11,7 @@ from .chat_format import digest_chats, format_chats
 from .common import table
 from .mpeg_audio import audio_features
 from .quality_classifier import quality_scores
+from .suffix_dedup import repeat_report
 from .warc_archive import archived_pages
 
 
@@ -32,9 +33,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_chat_format": op3_chat_format,
     "op6_mpeg_audio": op6_mpeg_audio,
     "op7_quality": op7_quality,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
