@@ -188,18 +188,28 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, begins: np.ndarray, siz
     return shared[order]
 
 
-def _fingerprints(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of the ``LENGTH`` bytes at some places."""
-    out = []
-    for seed in (1, 2):
-        grams = gram_hashes(data, seed)
-        left = _join(grams[places], grams[places + GRAM], np.uint64(seed))
-        out.append(_join(left, _join(grams[places + 2 * GRAM], grams[places + LENGTH - GRAM], np.uint64(seed)), np.uint64(seed)).astype(np.int64))
-    return out[0], out[1]
+class _Fingerprints:
+    """128 bits of the ``LENGTH`` bytes at a place; the hashes of the data's grams are made once, if at all."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.grams = data, None
+
+    def __call__(self, places: np.ndarray) -> tuple[list[int], list[int]]:
+        if self.grams is None:
+            self.grams = [(np.uint64(s), gram_hashes(self.data, s)) for s in (1, 2)]
+        out = []
+        for seed, grams in self.grams:
+            left = _join(grams[places], grams[places + GRAM], seed)
+            out.append(_join(left, _join(grams[places + 2 * GRAM], grams[places + LENGTH - GRAM], seed), seed).view(np.int64).tolist())
+        return out[0], out[1]
 
 
 def _spans(flags: np.ndarray, at: int) -> list[tuple[int, int]]:
     """Bytes covered by the strings that start at the marked places."""
+    if flags.all():
+        return [(at, at + len(flags) - 1 + LENGTH)]
+    if not flags.any():
+        return []
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
     return [(at + int(a), at + int(b) - 1 + LENGTH) for a, b in zip(edges[::2], edges[1::2])]
 
@@ -243,20 +253,21 @@ def shard_repeats(rows: list[tuple[int, int, bytes, int, int, bytes]], block_run
     together[order] = group
     repeated = size[together] > 1
     named: set[int] = set()
-    for (anchor, text, own), begin, count in zip(sorted_in, begins, counts):
+    prints = _Fingerprints(data)
+    for (anchor, text, own), begin, count in zip(sorted_in, begins.tolist(), counts.tolist()):
         flags = repeated[begin : begin + count].copy()
         if len(own) > 1:
             flags[:] = True
         for k in own:
             spans += [(rows[k][2], a, b) for a, b in _spans(flags, rows[k][3])]
         if anchor in wide:
-            places = begin + np.arange(count)
+            places, marks = np.arange(begin, begin + count), flags.tolist()
             if flags.any():  # a string that is known to be repeated asks nothing, but answers once
-                fresh = [i for i, (f, g) in enumerate(zip(flags, together[places].tolist())) if not f or not (g in named or named.add(g))]
-                places, flags = places[fresh], flags[fresh]
-            one, two = _fingerprints(data, places) if len(places) else ((), ())
-            digest, at = rows[own[0]][2], rows[own[0]][3]
-            asked += [(int(x), int(y), None if f else digest, at + int(p) - int(begin)) for x, y, f, p in zip(one, two, flags, places)]
+                fresh = [i for i, (f, g) in enumerate(zip(marks, together[places].tolist())) if not f or not (g in named or named.add(g))]
+                places, marks = places[fresh], [marks[i] for i in fresh]
+            if marks:
+                digest, at = rows[own[0]][2], rows[own[0]][3] - begin
+                asked += [(x, y, None if f else digest, at + p) for x, y, f, p in zip(*prints(places), marks, places.tolist())]
     return spans, asked
 
 
