@@ -7,7 +7,7 @@ the expected tokens are a stated share of all. Whether it is kept is decided by
 so it doesn't depend on partitions and a second run keeps the same ones.
 
 Token counts, cells and marginals cover all documents. Cells are aggregates: the fitting works on a
-table of one row per cell, in DataFrame operations, checkpointed after each round. The documents
+table of one row per cell, in DataFrame operations, checkpointed after each step. The documents
 are only joined with that table; it is broadcast if its size on disk is below the engine's threshold.
 
 Default targets: each value's share of tokens to a power below 1, so that large sources, languages
@@ -65,8 +65,8 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS) -> Da
         for dim in powers:
             have = now.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have")).withColumnRenamed(dim, "h")
             ratio = have.join(targets[dim], F.col("h").eqNullSafe(F.col("t"))).select("h", (F.col("target") / F.col("have")).alias("ratio"))
-            now = now.join(ratio, F.col(dim).eqNullSafe(F.col("h")), "left").withColumn("weight", F.col("weight") * F.coalesce("ratio", F.lit(1.0))).select(*cells.columns, "weight")
-        now = now.checkpoint()
+            # Each step reads the last one twice, so it is cut off at once.
+            now = now.join(ratio, F.col(dim).eqNullSafe(F.col("h")), "left").withColumn("weight", F.col("weight") * F.coalesce("ratio", F.lit(1.0))).select(*cells.columns, "weight").checkpoint()
     return now
 
 
