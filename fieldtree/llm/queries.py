@@ -83,7 +83,7 @@ CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to FROM g
 OP3_SQL = r"""
 WITH rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-made AS (SELECT *, regexp_replace(text, '(<(?:\*s>|\*/s>|\*<SYS>>|\*</SYS>>)|\[(?:\*INST\]|\*/INST\]|\*ANS\]|\*ROLE |\*/ROLE\]))', 'x', 'g') AS longer FROM rows_)
+made AS (SELECT *, regexp_replace(text, '(<\\*s>|<\\*/s>|<\\*<SYS>>|<\\*</SYS>>|\[\\*INST\]|\[\\*/INST\]|\[\\*ANS\]|\[\\*ROLE |\[\\*/ROLE\])', 'x\1', 'g') AS longer FROM rows_)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,

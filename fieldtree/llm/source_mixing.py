@@ -7,7 +7,7 @@ the expected tokens are a stated share of all. Whether it is kept is decided by
 so it doesn't depend on partitions and a second run keeps the same ones.
 
 Token counts, cells and marginals cover all documents. Cells are aggregates: the fitting works on a
-table of one row per cell, in DataFrame operations, checkpointed after each step. The documents
+table of one row per cell, in DataFrame operations, stored after each round. The documents
 are only joined with that table; it is broadcast if its size on disk is below the engine's threshold.
 
 Default targets: each value's share of tokens to a power below 1, so that large sources, languages
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import stored
 
 ROUNDS = 8
 #: Share of all tokens to keep, and the power of each marginal.
@@ -53,7 +53,6 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS) -> Da
 
     A marginal's target is the tokens' share to the given power, scaled to sum to all tokens.
     """
-    shared_dir(cells.sparkSession)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     now = cells.withColumn("weight", F.lit(1.0))
     targets = {}
@@ -65,8 +64,9 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS) -> Da
         for dim in powers:
             have = now.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have")).withColumnRenamed(dim, "h")
             ratio = have.join(targets[dim], F.col("h").eqNullSafe(F.col("t"))).select("h", (F.col("target") / F.col("have")).alias("ratio"))
-            # Each step reads the last one twice, so it is cut off at once.
-            now = now.join(ratio, F.col(dim).eqNullSafe(F.col("h")), "left").withColumn("weight", F.col("weight") * F.coalesce("ratio", F.lit(1.0))).select(*cells.columns, "weight").checkpoint()
+            now = now.join(ratio, F.col(dim).eqNullSafe(F.col("h")), "left").withColumn("weight", F.col("weight") * F.coalesce("ratio", F.lit(1.0))).select(*cells.columns, "weight")
+        # Stored, so that the planner sees that cells are few, where they are, and sends them whole.
+        now = stored(now, "raked")
     return now
 
 
@@ -127,7 +127,7 @@ def mixing_sql(keep: float = KEEP, powers: dict[str, float] | None = None, round
     # The factor: with cells by falling weight, the first j cells are kept whole and the rest in proportion.
     steps.append(f"goal AS (SELECT {keep} * sum(tokens) AS goal FROM w{k})")
     steps.append(f"sorted AS (SELECT weight, sum(tokens) OVER o - tokens AS whole, sum(tokens * weight) OVER (ORDER BY weight, source, lang, topic) AS part FROM w{k} WHERE tokens > 0 WINDOW o AS (ORDER BY weight DESC, source DESC, lang DESC, topic DESC))")
-    steps.append("factor AS (SELECT min((goal - whole) / part) FILTER (WHERE (goal - whole) / part * weight <= 1 + 1e-12) AS f FROM sorted, goal)")
+    steps.append("factor AS (SELECT arg_min((goal - whole) / part, whole) FILTER (WHERE (goal - whole) / part * weight <= 1 + 1e-12) AS f FROM sorted, goal)")
     return f"""WITH {', '.join(steps)}
 SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(w.weight, 6) AS weight, round(least(1, w.weight * f), 6) AS probability,
 ('0x' || substr(md5('{SALT}' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE < least(1, w.weight * f) AS kept
