@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import slices, to_arrow
 
 SPACE = "▁"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 INFINITE = float("inf")
 # Fixed values of the model format: kinds of pieces, and kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -168,7 +169,7 @@ class Transducer:
         #: The acceptor: for a piece those that may follow it, as far as they have been asked for.
         self.follows: dict[int, dict[int, bool]] = {}
         self.asked = 0
-        self.packing = "<u2" if len(self.pieces) <= 1 << 16 else "<u4"
+        self.packing = "H" if len(self.pieces) <= 1 << 16 else "I"
         #: Encoded stretches, packed; the older half is dropped when the newer one is full.
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -223,27 +224,13 @@ class Transducer:
 
     def shortest(self, text: str) -> list[int]:
         """The pieces on the shortest path through the lattice of an input."""
-        n, arcs = len(text), self.lattice(text)
+        n = len(text)
         last, back = [None] * (n + 1), [0] * (n + 1)
         if self.kind == BPE:
-            # Each position has one state of finite weight, since merging leaves one encoding of each
-            # prefix; the first accepted arc to a position is its least path.
-            last[0] = -1
-            for at, own in enumerate(arcs):
-                left = last[at]
-                if left is None:
-                    continue
-                row = self.follows.get(left) or {}
-                for stop, k in own:
-                    if last[stop] is None:
-                        known = row.get(k)
-                        if known is None:
-                            known = self._accepts(left, k)
-                        if known:
-                            last[stop], back[stop] = k, at
+            self._accepted(text, last, back)
         else:
             weight = [0.0] + [INFINITE] * n
-            for at, own in enumerate(arcs):
+            for at, own in enumerate(self.lattice(text)):
                 for stop, k in own:
                     cost = weight[at] + (self.unknown_cost if k < 0 else -self.scores[k])
                     if cost < weight[stop]:
@@ -256,6 +243,40 @@ class Transducer:
             at = back[at]
         return path[::-1]
 
+    def _accepted(self, text: str, last: list[int | None], back: list[int]) -> None:
+        """Least paths of a byte-pair model: composition with the pieces and the acceptor in one sweep.
+
+        Each position has one state of finite weight, since merging leaves one encoding of each
+        prefix; so the first accepted arc to a position is its least path, and arcs to positions that
+        have one need not be followed.
+        """
+        arcs, final, root, follows = self.arcs, self.final, self.arcs[0], self.follows
+        n = len(text)
+        last[0] = -1
+        for at in range(n):
+            left = last[at]
+            if left is None:
+                continue
+            row = follows.get(left)
+            if row is None:
+                row = follows[left] = {}
+            state, stop = root.get(text[at]), at + 1
+            if (state is None or final[state] is None) and last[stop] is None and self._accepts(left, k := -2 - ord(text[at])):
+                last[stop], back[stop] = k, at
+            while state is not None:
+                if last[stop] is None:
+                    k = final[state]
+                    if k is not None:
+                        known = row.get(k)
+                        if known is None:
+                            known = self._accepts(left, k)
+                            row = follows.setdefault(left, row)
+                        if known:
+                            last[stop], back[stop] = k, at
+                if stop == n:
+                    break
+                state, stop = arcs[state].get(text[stop]), stop + 1
+
     def encode_stretch(self, text: str) -> list[int]:
         out: list[int] = []
         for k in self.shortest(text):
@@ -268,7 +289,7 @@ class Transducer:
     def _packed(self, stretch: str) -> bytes:
         made = self.older.get(stretch)
         if made is None:
-            made = np.array(self.encode_stretch(stretch), self.packing).tobytes()
+            made = array(self.packing, self.encode_stretch(stretch)).tobytes()
         if len(stretch) < 256:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache, self.older = {}, self.cache
