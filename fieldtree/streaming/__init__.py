@@ -1,0 +1 @@
+"""Nothing: a join tree needs the whole field, so there are no streaming operators."""
