@@ -137,7 +137,7 @@ def label_images(labels: DataFrame, spec: GridSpec, blocks: Blocks) -> DataFrame
     """
     placed = with_coords(labels, spec).withColumn("block", blocks.index(F.col("x"), F.col("y"), F.col("z")))
 
-    def make(key, table: pa.Table) -> pa.Table:
+    def make(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         t = table.sort_by([("z", "ascending"), ("y", "ascending"), ("x", "ascending")])
         lo, hi = (tuple(f(t.column(c).to_numpy()).item() for c in "xyz") for f in (np.min, np.max))
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "content": pa.array([image_xml(lo, hi, "arc", t.column("arc").to_numpy().astype(np.uint64))], pa.binary())})
