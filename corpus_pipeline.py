@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtree.llm.common import stored, table
+from fieldtree.llm.common import stored, table, unused
 from fieldtree.llm.quality_classifier import fit, score
 from fieldtree.llm.queries import TOKENIZER
 from fieldtree.llm.sentencepiece_fst import encoded, read_model
@@ -21,7 +21,8 @@ from fieldtree.llm.suffix_dedup import cut_repeats
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled ones, doesn't reject."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, out="__score").filter("predicted = 1").select(*docs.columns)
+    out, mark = unused(docs, "score", "predicted")
+    return score(docs, model, out=out, mark=mark).filter(F.col(mark) == 1).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
