@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, stored
+
+__all__ = ["open_shared", "row_map", "scratch", "shared_dir", "slices", "stored", "table", "to_arrow", "unused", "utf8"]
+
 #: Rows of one output batch hold at most about this many bytes of text.
 BATCH_BYTES = 8 << 20
 
@@ -19,46 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the setting is absent (tests on one machine) a temporary folder stands in for it.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
-        return configured.rstrip("/")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fieldtree-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/fieldtree/{uuid.uuid4().hex}/{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back.
-
-    This cuts the lineage, survives the loss of executors, and gives the planner a known size,
-    by which it decides for or against a broadcast.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def utf8(text: str | Column) -> Column:
     """Whole text as UTF-8 bytes; null counts as empty."""
     return F.encode(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "UTF-8")
 
 
-def keyed(df: DataFrame, key: str, payload: Column, **more: Column) -> DataFrame:
-    """``df`` cut down to a key and a payload, so that other columns can't clash with an operator's own."""
-    return df.select(F.col(key).alias("key"), payload.alias("payload"), *(c.alias(n) for n, c in more.items()))
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, with underscores ahead until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def row_map(df: DataFrame, schema: str, function: Callable[..., tuple], names: list[str], before: Callable[[], object] | None = None) -> DataFrame:

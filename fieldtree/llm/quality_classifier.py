@@ -162,16 +162,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model(np.frombuffer(made[0].weights, np.float32), made[0].bias)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with a score and, as ``predicted``, whether it reaches the threshold; no shuffle.
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", mark: str = "predicted", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with a score and, as ``mark``, whether it reaches the threshold; no shuffle.
+
+    Columns that ``docs`` already has under these two names are replaced.
 
     The model goes out as a broadcast of ``BUCKETS`` floats, whatever the input.
     """
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
-    kept = [f for f in docs.schema.fields if f.name not in (out, "predicted")]
-    schema = StructType([*kept, StructField(out, DoubleType()), StructField("predicted", IntegerType())])
+    kept = [f for f in docs.schema.fields if f.name not in (out, mark)]
+    schema = StructType([*kept, StructField(out, DoubleType()), StructField(mark, IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*sent.value)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, to_arrow, utf8
+from .common import slices, stored, to_arrow, unused, utf8
 from .components import components
 
 BITS, SEED = 64, 42
@@ -373,9 +373,34 @@ def hex_print(fp: str = "fp"):
 def near_duplicates_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, limit: int = 4) -> DataFrame:
     """``docs`` without the rows of a duplicate group but one, that of the least id.
 
-    Rows that repeat that id stay only once if they are equal in text; a group without any id keeps
-    its rows, since nothing tells which to keep.
+    Of rows that repeat that id one stays; which one is not defined. A row without an id stays if its
+    group has no id at all, since nothing tells which to keep.
     """
-    groups = near_duplicates(docs, key, text, words, limit).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(groups, F.col(key).cast("long") == F.col("__kept"), "left_semi")
-    return kept.unionByName(docs.filter(F.col(key).isNull()))
+    kept_, of_ = unused(docs, "kept", "of")
+    named = stored(near_duplicates(docs, key, text, words, limit).select("doc_id", "component_id"), "groups")
+    least = named.filter("doc_id = component_id").select(F.col("doc_id").alias(kept_)).distinct()
+    out = docs.join(least, F.col(key).cast("long") == F.col(kept_), "left_semi")
+    if not named.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([key])
+    if not named.filter("component_id IS NULL").isEmpty():
+        # Groups of rows that all lack an id: fingerprints tell which rows these are.
+        lone = near_duplicates(docs, key, text, words, limit).filter("component_id IS NULL").select(F.col("fp").alias(of_)).distinct()
+        without = docs.filter(F.col(key).isNull())
+        marked = fingerprint_column(without, text, words, kept_).join(lone, F.col(kept_) == F.col(of_), "left_semi")
+        out = out.unionByName(marked.select(*docs.columns))
+    return out
+
+
+def fingerprint_column(docs: DataFrame, text: str, words: int, name: str) -> DataFrame:
+    """``docs`` with its fingerprint in a further column."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                made = np.array([fingerprint((t or "").encode(), words) for t in part.column(text).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made.view(np.int64))], names=[*columns, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 ROUNDS = 8
 #: Share of all tokens to keep, and the power of each marginal.
@@ -86,29 +86,29 @@ def probabilities(cells: DataFrame, keep: float) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit((low + high) / 2)))
 
 
-def _measured(docs: DataFrame, topic: Column | None, text: str) -> DataFrame:
-    names = {"source": "__source", "lang": "__lang"}
-    return docs.withColumns({n: F.col(c) for c, n in names.items()} | {"__topic": topic if topic is not None else topic_of(text), "__tokens": tokens_of(text)})
-
-
-def calibrated(docs: DataFrame, topic: Column | None = None, text: str = "text", keep: float = KEEP, powers: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with __topic, __tokens, __weight and __probability."""
-    rows = _measured(docs, topic, text)
-    cells = stored(rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens")), "cells")
-    made = stored(probabilities(rake(cells, powers or POWERS, rounds), keep).select(*(F.col(c).alias(f"c_{c}") for c in ("source", "lang", "topic")), F.col("weight").alias("__weight"), F.col("probability").alias("__probability")), "probabilities")
-    on = [F.col(f"__{c}").eqNullSafe(F.col(f"c_{c}")) for c in ("source", "lang", "topic")]
-    return rows.join(made, on[0] & on[1] & on[2]).select(*docs.columns, "__topic", "__tokens", "__weight", "__probability")
+def calibrated(docs: DataFrame, topic: Column | None = None, text: str = "text", keep: float = KEEP, powers: dict[str, float] | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its topic, tokens, weight and probability, and the names of these four columns."""
+    source_, lang_, topic_, tokens_, weight_, probability_, a_, b_, c_ = unused(docs, "source", "lang", "topic", "tokens", "weight", "probability", "cell_source", "cell_lang", "cell_topic")
+    rows = docs.withColumns({source_: F.col("source"), lang_: F.col("lang"), topic_: topic if topic is not None else topic_of(text), tokens_: tokens_of(text)})
+    cells = stored(rows.groupBy(F.col(source_).alias("source"), F.col(lang_).alias("lang"), F.col(topic_).alias("topic")).agg(F.sum(tokens_).alias("tokens")), "cells")
+    made = probabilities(rake(cells, powers or POWERS, rounds), keep)
+    made = stored(made.select(F.col("source").alias(a_), F.col("lang").alias(b_), F.col("topic").alias(c_), F.col("weight").alias(weight_), F.col("probability").alias(probability_)), "probabilities")
+    on = [F.col(x).eqNullSafe(F.col(y)) for x, y in ((source_, a_), (lang_, b_), (topic_, c_))]
+    out = rows.join(made, on[0] & on[1] & on[2]).select(*docs.columns, topic_, tokens_, weight_, probability_)
+    return out, {"topic": topic_, "tokens": tokens_, "weight": weight_, "probability": probability_}
 
 
 def mixing_report(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """Per row of ``docs``: doc_id, source, lang, topic, tokens, weight, probability and whether it is kept."""
-    rows = calibrated(docs.select(F.col(key).alias("doc_id"), "source", "lang", "text"), **options)
-    return rows.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.round("__weight", 6).alias("weight"), F.round("__probability", 6).alias("probability"), (uniform(F.col("doc_id")) < F.col("__probability")).alias("kept"))
+    rows, names = calibrated(docs.select(F.col(key).alias("doc_id"), "source", "lang", "text"), **options)
+    probability = F.col(names["probability"])
+    return rows.select("doc_id", "source", "lang", F.col(names["topic"]).alias("topic"), F.col(names["tokens"]).alias("tokens"), F.round(names["weight"], 6).alias("weight"), F.round(probability, 6).alias("probability"), (uniform(F.col("doc_id")) < probability).alias("kept"))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The sampled rows of ``docs``, with their columns."""
-    return calibrated(docs, **options).filter(uniform(F.col(key)) < F.col("__probability")).select(*docs.columns)
+    rows, names = calibrated(docs, **options)
+    return rows.filter(uniform(F.col(key)) < F.col(names["probability"])).select(*docs.columns)
 
 
 def mixing_sql(keep: float = KEEP, powers: dict[str, float] | None = None, rounds: int = ROUNDS) -> str:

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, to_arrow, utf8
+from .common import slices, stored, to_arrow, unused, utf8
 
 LENGTH, GRAM = 200, 64
 BLOCK = 4096
@@ -214,19 +214,17 @@ def _spans(flags: np.ndarray, at: int) -> list[tuple[int, int]]:
     return [(at + int(a), at + int(b) - 1 + LENGTH) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def shard_repeats(rows: list[tuple[int, int, bytes, int, int, bytes]], block_runs: int = BLOCK) -> tuple[list[tuple], list[tuple]]:
+def shard_repeats(rows: list[tuple[int, int, bool, bytes, int, int, bytes]]) -> tuple[list[tuple], list[tuple]]:
     """Spans of repeated strings in a shard, and what other shards have to be asked.
 
-    ``rows``: anchor, block, digest of the text, first start, count of starts, bytes. Returns rows
-    (digest, start, end) and (fingerprint, fingerprint, digest or None, start).
+    ``rows``: anchor, block, whether there are others, digest of the text, first start, count of
+    starts, bytes. Returns rows (digest, start, end) and (fingerprint, fingerprint, digest or None, start).
     """
     entries: dict[tuple[int, bytes], list[int]] = {}
-    blocks: dict[tuple[int, int], int] = {}
-    for k, (anchor, block, _, _, _, data) in enumerate(rows):
-        entries.setdefault((anchor, data), []).append(k)
-        blocks[anchor, block] = blocks.get((anchor, block), 0) + 1
-    # An anchor with a full block, or a block after the first, may have equal strings in other shards.
-    wide = {a for (a, b), n in blocks.items() if b or n >= block_runs}
+    for k, row in enumerate(rows):
+        entries.setdefault((row[0], row[6]), []).append(k)
+    # Anchors with equal strings in other shards, perhaps.
+    wide = {row[0] for row in rows if row[2]}
     distinct: dict[int, int] = {}
     for anchor, _ in entries:
         distinct[anchor] = distinct.get(anchor, 0) + 1
@@ -236,7 +234,7 @@ def shard_repeats(rows: list[tuple[int, int, bytes, int, int, bytes]], block_run
         if distinct[anchor] > 1 or anchor in wide:
             sorted_in.append((anchor, data, own))
         elif len(own) > 1:
-            spans += [(rows[k][2], rows[k][3], rows[k][3] + len(data)) for k in own]
+            spans += [(rows[k][3], rows[k][4], rows[k][4] + len(data)) for k in own]
     if not sorted_in:
         return spans, asked
     sizes = np.array([len(x[1]) for x in sorted_in])
@@ -259,14 +257,14 @@ def shard_repeats(rows: list[tuple[int, int, bytes, int, int, bytes]], block_run
         if len(own) > 1:
             flags[:] = True
         for k in own:
-            spans += [(rows[k][2], a, b) for a, b in _spans(flags, rows[k][3])]
+            spans += [(rows[k][3], a, b) for a, b in _spans(flags, rows[k][4])]
         if anchor in wide:
             places, marks = np.arange(begin, begin + count), flags.tolist()
             if flags.any():  # a string that is known to be repeated asks nothing, but answers once
                 fresh = [i for i, (f, g) in enumerate(zip(marks, together[places].tolist())) if not f or not (g in named or named.add(g))]
                 places, marks = places[fresh], [marks[i] for i in fresh]
             if marks:
-                digest, at = rows[own[0]][2], rows[own[0]][3] - begin
+                digest, at = rows[own[0]][3], rows[own[0]][4] - begin
                 asked += [(x, y, None if f else digest, at + p) for x, y, f, p in zip(*prints(places), marks, places.tolist())]
     return spans, asked
 
@@ -275,6 +273,11 @@ def _digest(payload: Column) -> Column:
     return F.substring(F.unhex(F.sha2(payload, 256)), 1, 16)
 
 
+def _key_column(digest: str) -> Column:
+    """The first eight bytes of a digest as a signed number, like ``_key``."""
+    return F.conv(F.hex(F.substring(digest, 1, 8)), 16, -10).cast("long")
+
+
 def _key(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
@@ -316,33 +319,15 @@ def _anchor_rows(payloads: DataFrame) -> DataFrame:
 
 
 def _recurring(rows: DataFrame, block_runs: int) -> DataFrame:
-    """Of rows sorted by anchor those whose anchor has two or more runs, numbered into blocks."""
-    schema = "anchor long, key long, run long, block int"
-    arrow = to_arrow(rows, schema)
+    """Runs whose anchor has two or more different ones, with a block and whether there are others.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last row waits for the next: its three values, its number within its anchor.
-        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-        number = 0
-        for batch in batches:
-            now = tuple(np.asarray(c) for c in batch.columns)
-            if not len(now[0]):
-                continue
-            now = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
-            fresh = np.concatenate([[True], (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1])])
-            now = tuple(c[fresh] for c in now)
-            begins = np.concatenate([[True], now[0][1:] != now[0][:-1]])
-            index = np.arange(len(begins)) - np.maximum.accumulate(np.where(begins, np.arange(len(begins)), 0))
-            index[: int(np.argmax(begins[1:])) + 1 if begins[1:].any() else len(begins)] += number
-            keep = index > 0
-            keep[:-1] |= ~begins[1:]
-            keep[-1] = False
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep]) for c in now), pa.array((index[keep] // block_runs).astype(np.int32))], schema=arrow)
-            held, number = tuple(c[-1:] for c in now), int(index[-1])
-        if held is not None and number:
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in held), pa.array([number // block_runs], pa.int32())], schema=arrow)
-
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "key", "run").mapInArrow(run, schema)
+    Anchors are counted with one row per anchor and task; an anchor that very many runs share is then
+    one side of a join, which the engine can split, and is spread over blocks by a hash of the run.
+    """
+    mark = F.xxhash64("key", "run")
+    counted = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high")
+    wide = counted.select(F.col("anchor").alias("of"), F.ceil(F.col("n") / block_runs).cast("int").alias("blocks"))
+    return rows.join(wide, F.col("anchor") == F.col("of")).select("anchor", "key", "run", F.pmod(mark, F.col("blocks")).cast("int").alias("block"), (F.col("blocks") > 1).alias("wide"))
 
 
 def _packed_texts(payloads: DataFrame) -> DataFrame:
@@ -360,9 +345,10 @@ def _packed_texts(payloads: DataFrame) -> DataFrame:
 
 def _run_texts(recurring: DataFrame, packed: DataFrame) -> DataFrame:
     """The bytes of the recurring runs."""
-    schema = "anchor long, block int, digest binary, start long, count int, data binary"
+    schema = "anchor long, block int, wide boolean, digest binary, start long, count int, data binary"
     arrow = to_arrow(packed, schema)
-    wanted = recurring.groupBy("key").agg(F.collect_list(F.struct("anchor", "run", "block")).alias("runs"))
+    # A set, since copies of a text in other tasks have given the same runs.
+    wanted = recurring.groupBy("key").agg(F.collect_set(F.struct("anchor", "run", "block", "wide")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker, last = zstandard.ZstdDecompressor(), None
@@ -374,10 +360,10 @@ def _run_texts(recurring: DataFrame, packed: DataFrame) -> DataFrame:
                         continue
                     last, text, tag = digest, unpacker.decompress(packed), int.from_bytes(digest[8:10], "big")
                     rows = runs.values
-                    for anchor, place, block in zip(*(rows.field(n).to_pylist() for n in ("anchor", "run", "block"))):
+                    for anchor, place, block, wide in zip(*(rows.field(n).to_pylist() for n in ("anchor", "run", "block", "wide"))):
                         if place & 0xFFFF == tag:
                             start, count = place >> 24, place >> 16 & 0xFF
-                            out.append((anchor, block, digest, start, count, text[start : start + count + LENGTH - 1]))
+                            out.append((anchor, block, wide, digest, start, count, text[start : start + count + LENGTH - 1]))
                             size += count + LENGTH
                     if size > 4 << 20:
                         yield _batch(arrow, out)
@@ -388,7 +374,7 @@ def _run_texts(recurring: DataFrame, packed: DataFrame) -> DataFrame:
     return packed.join(wanted, "key").select("digest", "packed", "runs").mapInArrow(run, schema)
 
 
-def _shards(runs: DataFrame, block_runs: int, shard_bytes: int) -> DataFrame:
+def _shards(runs: DataFrame, shard_bytes: int) -> DataFrame:
     """Spans (digest, start, stop) and questions (one, two, then digest, start) of all shards."""
     schema = "one long, two long, digest binary, start long, stop long"
     arrow = to_arrow(runs, schema)
@@ -397,7 +383,7 @@ def _shards(runs: DataFrame, block_runs: int, shard_bytes: int) -> DataFrame:
         held, size, last = [], 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            spans, asked = shard_repeats(held, block_runs)
+            spans, asked = shard_repeats(held)
             rows = [(None, None, d, a, b) for d, a, b in spans] + [(*q, None) for q in asked]
             for lo in range(0, len(rows), 50_000):
                 yield _batch(arrow, rows[lo : lo + 50_000])
@@ -405,13 +391,13 @@ def _shards(runs: DataFrame, block_runs: int, shard_bytes: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 for row in zip(*(c.to_pylist() for c in part.columns)):
-                    if last and row[:5] == last[:5]:  # the same run of a copy from another task
+                    if last and row[:6] == last[:6]:  # the same run of a copy from another task
                         continue
                     if size >= shard_bytes and row[:2] != last[:2]:
                         yield from flush()
                         held, size = [], 0
                     held.append(row)
-                    size += len(row[5])
+                    size += len(row[6])
                     last = row
         if held:
             yield from flush()
@@ -458,12 +444,11 @@ def repeated_spans(payloads: DataFrame, block_runs: int = BLOCK, shard_bytes: in
     A key's spans come as structs (digest, start, stop), unordered, and may overlap.
     """
     packed = _packed_texts(payloads)
-    found = _shards(_run_texts(_recurring(_anchor_rows(payloads), block_runs), packed), block_runs, shard_bytes)
+    found = _shards(_run_texts(_recurring(_anchor_rows(payloads), block_runs), packed), shard_bytes)
     # What the shards found is read twice, so it is stored: a few bytes per recurring run.
     found = stored(found, "spans")
     spans = found.filter("stop IS NOT NULL").select("digest", "start", "stop").unionByName(_merged(found.filter("stop IS NULL").select("one", "two", "digest", "start")))
-    key = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    return packed, spans.groupBy(key.alias("key")).agg(F.collect_list(F.struct("digest", "start", "stop")).alias("spans"))
+    return packed, spans.groupBy(_key_column("digest").alias("key")).agg(F.collect_list(F.struct("digest", "start", "stop")).alias("spans"))
 
 
 def kept_pieces(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -518,30 +503,30 @@ def repeat_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **si
     )
 
 
-def cut_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, text: str = "text", **sizes: int) -> DataFrame:
     """``docs`` with what remains of each text; code points that a cut splits go too."""
-    payload = utf8(text)
-    _, spans = repeated_spans(docs.select(payload.alias("payload")))
-    rows = docs.withColumns({"__digest": _digest(payload), "__long": F.length(payload) >= LENGTH})
-    copies = rows.filter("__long").groupBy(F.col("__digest").alias("__of")).agg(F.count(F.lit(1)).alias("__copies")).filter("__copies > 1")
-    key = F.conv(F.hex(F.substring("__digest", 1, 8)), 16, -10).cast("long")
-    rows = rows.join(copies, F.col("__digest") == F.col("__of"), "left").withColumn("__key", key)
-    joined = rows.join(spans.withColumnsRenamed({"key": "__by", "spans": "__spans"}), F.col("__key") == F.col("__by"), "left")
-    joined = joined.select(*docs.columns, "__digest", F.coalesce("__copies", F.lit(1)).alias("__copies"), "__spans")
-    place = docs.columns.index(text)
+    payload, names = utf8(text), docs.columns
+    digest_, long_, of_, copies_, key_, by_, spans_ = unused(docs, "digest", "long", "of", "copies", "key", "by", "spans")
+    _, spans = repeated_spans(docs.select(payload.alias("payload")), **sizes)
+    rows = docs.withColumns({digest_: _digest(payload), long_: F.length(payload) >= LENGTH})
+    copies = rows.filter(long_).groupBy(F.col(digest_).alias(of_)).agg(F.count(F.lit(1)).alias(copies_)).filter(F.col(copies_) > 1)
+    rows = rows.join(copies, F.col(digest_) == F.col(of_), "left").withColumn(key_, _key_column(digest_))
+    joined = rows.join(spans.withColumnsRenamed({"key": by_, "spans": spans_}), F.col(key_) == F.col(by_), "left")
+    joined = joined.select(*names, digest_, F.coalesce(copies_, F.lit(1)).alias(copies_), spans_)
+    place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 texts = []
-                for value, digest, copies, spans in zip(part.column(text).to_pylist(), part.column("__digest").to_pylist(), part.column("__copies").to_pylist(), part.column("__spans")):
+                for value, digest, copies, spans in zip(part.column(text).to_pylist(), part.column(digest_).to_pylist(), part.column(copies_).to_pylist(), part.column(spans_)):
                     if copies > 1:
                         value = ""
                     elif spans.is_valid and (own := _own_spans(spans, digest)):
                         value = kept_pieces(value.encode(), own)[0].decode("utf-8", "ignore")
                     texts.append(value)
-                columns = [part.column(c) for c in docs.columns]
+                columns = [part.column(c) for c in names]
                 columns[place] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, docs.schema)
