@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import slices, to_arrow
 
 SPACE = "▁"
-CACHE_WORDS = 300_000
+#: Encoded words, and accepted or refused neighbours, that a worker keeps.
+CACHE_WORDS, CACHE_NEIGHBOURS = 100_000, 400_000
 INFINITE = float("inf")
 # Fixed values of the model format: kinds of pieces, and kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -199,7 +200,7 @@ class Transducer:
         one, two = self._label(left), self._label(right)
         known = self._merged(list(one + two)) == [x for x in (one, two) if x]
         self.asked += 1
-        if self.asked > 4 * CACHE_WORDS:
+        if self.asked > CACHE_NEIGHBOURS:
             self.asked = 0
             self.follows.clear()
         self.follows.setdefault(left, {})[right] = known

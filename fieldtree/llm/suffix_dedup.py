@@ -39,7 +39,7 @@ from .common import slices, stored, to_arrow, unused, utf8
 
 LENGTH, GRAM = 200, 64
 BLOCK = 4096
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Texts are hashed in pieces of at most so many starting places.
 PIECE = 1 << 19
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -194,13 +194,13 @@ class _Fingerprints:
     def __init__(self, data: np.ndarray):
         self.data, self.grams = data, None
 
-    def __call__(self, places: np.ndarray) -> tuple[list[int], list[int]]:
+    def __call__(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.grams is None:
             self.grams = [(np.uint64(s), gram_hashes(self.data, s)) for s in (1, 2)]
         out = []
         for seed, grams in self.grams:
             left = _join(grams[places], grams[places + GRAM], seed)
-            out.append(_join(left, _join(grams[places + 2 * GRAM], grams[places + LENGTH - GRAM], seed), seed).view(np.int64).tolist())
+            out.append(_join(left, _join(grams[places + 2 * GRAM], grams[places + LENGTH - GRAM], seed), seed).view(np.int64))
         return out[0], out[1]
 
 
@@ -218,7 +218,7 @@ def shard_repeats(rows: list[tuple[int, int, bool, bytes, int, int, bytes]]) ->
     """Spans of repeated strings in a shard, and what other shards have to be asked.
 
     ``rows``: anchor, block, whether there are others, digest of the text, first start, count of
-    starts, bytes. Returns rows (digest, start, end) and (fingerprint, fingerprint, digest or None, start).
+    starts, bytes. Returns rows (digest, start, end), and per run (fingerprints, fingerprints, known to be repeated, digest, starts).
     """
     entries: dict[tuple[int, bytes], list[int]] = {}
     for k, row in enumerate(rows):
@@ -264,8 +264,7 @@ def shard_repeats(rows: list[tuple[int, int, bool, bytes, int, int, bytes]]) ->
                 fresh = [i for i, (f, g) in enumerate(zip(marks, together[places].tolist())) if not f or not (g in named or named.add(g))]
                 places, marks = places[fresh], [marks[i] for i in fresh]
             if marks:
-                digest, at = rows[own[0]][3], rows[own[0]][4] - begin
-                asked += [(x, y, None if f else digest, at + p) for x, y, f, p in zip(*prints(places), marks, places.tolist())]
+                asked.append((*prints(places), np.array(marks), rows[own[0]][3], places + (rows[own[0]][4] - begin)))
     return spans, asked
 
 
@@ -326,7 +325,8 @@ def _recurring(rows: DataFrame, block_runs: int) -> DataFrame:
     """
     mark = F.xxhash64("key", "run")
     counted = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high")
-    wide = counted.select(F.col("anchor").alias("of"), F.ceil(F.col("n") / block_runs).cast("int").alias("blocks"))
+    # Stored, so that the join deals out both of its sides itself and a large anchor can be split.
+    wide = stored(counted.select(F.col("anchor").alias("of"), F.ceil(F.col("n") / block_runs).cast("int").alias("blocks")), "recurring-anchors")
     return rows.join(wide, F.col("anchor") == F.col("of")).select("anchor", "key", "run", F.pmod(mark, F.col("blocks")).cast("int").alias("block"), (F.col("blocks") > 1).alias("wide"))
 
 
@@ -384,9 +384,15 @@ def _shards(runs: DataFrame, shard_bytes: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             spans, asked = shard_repeats(held)
-            rows = [(None, None, d, a, b) for d, a, b in spans] + [(*q, None) for q in asked]
-            for lo in range(0, len(rows), 50_000):
-                yield _batch(arrow, rows[lo : lo + 50_000])
+            for lo in range(0, len(spans), 50_000):
+                some = spans[lo : lo + 50_000]
+                yield _batch(arrow, [(None, None, d, a, b) for d, a, b in some])
+            for lo in range(0, len(asked), 500):
+                one, two, known, digests, starts = zip(*asked[lo : lo + 500])
+                which = np.repeat(np.arange(len(starts), dtype=np.int32), [len(x) for x in starts])
+                names = pa.DictionaryArray.from_arrays(pa.array(which, mask=np.concatenate(known)), pa.array(digests, pa.binary())).cast(pa.binary())
+                starts = pa.array(np.concatenate(starts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), names, starts, pa.nulls(len(starts), pa.int64())], schema=arrow)
 
         for batch in batches:
             for part in slices(batch):
