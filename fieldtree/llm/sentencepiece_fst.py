@@ -36,9 +36,12 @@ from pyspark.sql import functions as F
 from .common import slices, to_arrow
 
 SPACE = "▁"
-#: Encoded words, and accepted or refused neighbours, that a worker keeps.
-CACHE_WORDS, CACHE_NEIGHBOURS = 100_000, 400_000
+#: Encoded words, and accepted or refused neighbours, that a task keeps.
+CACHE_WORDS, CACHE_NEIGHBOURS = 200_000, 400_000
+#: Texts are encoded together by about so many characters.
+GROUP_CHARS = 6 << 20
 INFINITE = float("inf")
+_POWERS = np.cumprod(np.full(256, 0xC2B2AE3D27D4EB4F, np.uint64))
 # Fixed values of the model format: kinds of pieces, and kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -166,9 +169,12 @@ class Transducer:
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not crossing else re.compile(r"(?s).+")
         # A character without a piece costs more than any piece (unigram), as in the library.
         self.unknown_cost = 10.0 - min((s for s, t in zip(self.scores, self.kinds) if t == NORMAL), default=0.0)
+        self.split = not crossing
         self.plain: np.ndarray | None = None
+        self.table: tuple | None = None
         #: The acceptor: for a piece those that may follow it, as far as they have been asked for.
         self.follows: dict[int, dict[int, bool]] = {}
+        self.edges: tuple[dict[str, list], dict[str, list]] = {}, {}
         self.asked = 0
         self.packing = "H" if len(self.pieces) <= 1 << 16 else "I"
         #: Encoded stretches, packed; the older half is dropped when the newer one is full.
@@ -178,27 +184,72 @@ class Transducer:
     def _unknown_ids(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode()] if self.fallback else [self.unknown]
 
+    def _best(self, symbols: list[str]) -> int:
+        """The pair that is merged next: the best-scored one, the leftmost of equals; -1 if there is none."""
+        best, at = None, -1
+        for k in range(len(symbols) - 1):
+            piece = self.ids.get(symbols[k] + symbols[k + 1])
+            if piece is not None and (best is None or self.scores[piece] > best):
+                best, at = self.scores[piece], k
+        return at
+
     def _merged(self, symbols: list[str]) -> list[str]:
-        """What merging makes of a few symbols: always the best-scored pair, the leftmost of equals."""
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                piece = self.ids.get(symbols[k] + symbols[k + 1])
-                if piece is not None and (best is None or self.scores[piece] > best):
-                    best, at = self.scores[piece], k
-            if at < 0:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        """What merging makes of a few symbols."""
+        while (k := self._best(symbols)) >= 0:
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
         return symbols
 
     def _label(self, k: int) -> str:
         """The characters of a piece; a character without one has the number -2 less its code."""
         return self.pieces[k] if k >= 0 else "" if k == -1 else chr(-2 - k)
 
+    def _edge(self, piece: str, side: int) -> list[tuple[str, float]]:
+        """What stands at a piece's left (0) or right (1) end while it is merged, each with the cost of
+        the merge that consumes it; empty if merging the piece's characters doesn't give the piece."""
+        known = self.edges[side].get(piece)
+        if known is None:
+            known, symbols, made = [(piece[-side], INFINITE)], list(piece), piece[-side]
+            while len(symbols) > 1:
+                k = self._best(symbols)
+                if k < 0:
+                    break
+                symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+                if symbols[-side] != made:
+                    made = symbols[-side]
+                    known[-1] = known[-1][0], -self.scores[self.ids[made]]
+                    known.append((made, INFINITE))
+            known = known if len(symbols) == 1 else []
+            if len(self.edges[side]) > CACHE_NEIGHBOURS:  # characters without a piece are unlimited
+                self.edges[side].clear()
+            self.edges[side][piece] = known
+        return known
+
+    def _joins(self, one: str, two: str) -> bool:
+        """Whether merging the characters of both leaves just the two.
+
+        Scores fall from a piece's parts to the piece, so merges run by score within either side. A
+        merge over the border happens if its score beats those of the merges that would consume its
+        two parts (at the same score the one further left goes first). Runs of white space have one
+        score in common and are merged out instead.
+        """
+        if not one or not two:
+            return bool(self._edge(one or two, 0))
+        if SPACE * 2 in one + two:
+            return self._merged(list(one + two)) == [one, two]
+        left, right = self._edge(one, 1), self._edge(two, 0)
+        if not left or not right:
+            return False
+        ids, scores = self.ids, self.scores
+        for x, x_cost in left:
+            for y, y_cost in right:
+                piece = ids.get(x + y)
+                if piece is not None and (cost := -scores[piece]) < x_cost and cost <= y_cost:
+                    return False
+        return True
+
     def _accepts(self, left: int, right: int) -> bool:
-        """Whether merging the two pieces' characters gives just the two again (-1: the beginning)."""
-        one, two = self._label(left), self._label(right)
-        known = self._merged(list(one + two)) == [x for x in (one, two) if x]
+        """Whether one piece may follow another (-1: the beginning)."""
+        known = self._joins(self._label(left), self._label(right))
         self.asked += 1
         if self.asked > CACHE_NEIGHBOURS:
             self.asked = 0
@@ -305,6 +356,64 @@ class Transducer:
             found = [self._packed(s) if x is None else x for s, x in zip(stretches, found)]
         return np.frombuffer(b"".join(found), self.packing)
 
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of several texts one after another, and the number of ids of each.
+
+        The same as ``encode`` of each; a stretch that occurs more than once is looked up once.
+        """
+        raw = [self.normalise(t).replace(SPACE, " ").encode() for t in texts]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        whole = b"".join(raw)
+        if not whole:
+            return np.zeros(0, self.packing), np.zeros(len(texts), np.int64)
+        data, ends = np.frombuffer(whole, np.uint8), np.cumsum(sizes)
+        begins = (ends - sizes)[sizes > 0]
+        if self.split:
+            space = data == 32
+            starts = space.copy()
+            starts[1:] &= ~space[:-1]
+            starts[begins] = True
+            at = np.flatnonzero(starts)
+        else:
+            at = begins
+        long = np.diff(np.concatenate([at, [len(data)]]))
+        offset = np.arange(len(data)) - np.repeat(at, long)
+        codes = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _POWERS[offset & 255], at)
+        _, first, which = np.unique(codes, return_index=True, return_inverse=True)
+        alike = at[first][which]
+        if (long[first][which] != long).any() or (data[np.repeat(alike, long) + offset] != data).any():  # two stretches, one code
+            made = [self.encode(t) for t in texts]
+            return np.concatenate(made), np.array([len(m) for m in made], np.int64)
+        stretches = [whole[a : a + n].decode().replace(" ", SPACE) for a, n in zip(at[first].tolist(), long[first].tolist())]
+        found = list(map(self.cache.get, stretches))
+        packed = [self._packed(s) if x is None else x for s, x in zip(stretches, found)]
+        ids = np.frombuffer(b"".join(packed), self.packing)
+        counts = np.array([len(x) for x in packed], np.int64) // ids.itemsize
+        flat, own = _gather(ids, np.cumsum(counts) - counts, counts, which)
+        total = np.concatenate([[0], np.cumsum(own)])
+        text_of = np.searchsorted(at, ends)  # stretches up to each text's end
+        return flat, np.diff(np.concatenate([[0], total[text_of]]))
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of several runs of ids, the same as ``decode`` of each."""
+        if self.table is None:
+            made = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else b"" for p, k in zip(self.pieces, self.kinds)]
+            sizes = np.array([len(m) for m in made], np.int64)
+            special = np.array([k not in (NORMAL, USER, BYTE) for k in self.kinds])
+            self.table = np.frombuffer(b"".join(made), np.uint8), np.cumsum(sizes) - sizes, sizes, special
+        data, begins, sizes, special = self.table
+        stops = np.cumsum(counts)
+        if special[ids].any():
+            return [self.decode(ids[a:b]) for a, b in zip((stops - counts).tolist(), stops.tolist())]
+        flat, own = _gather(data, begins, sizes, ids)
+        total = np.concatenate([[0], np.cumsum(own)])
+        raw, out = flat.tobytes(), []
+        for a, b, k in zip(total[stops - counts].tolist(), total[stops].tolist(), counts.tolist()):
+            if self.dummy and k and raw[a : a + 1] == b" ":
+                a += 1
+            out.append(raw[a:b].decode("utf-8", "replace"))
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         pieces, kinds = self.pieces, self.kinds
         numbers = ids.tolist()
@@ -332,6 +441,13 @@ class Transducer:
         return text.replace(SPACE, " ")
 
 
+def _gather(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``data`` one after another, by number, and the size of each."""
+    own = sizes[which]
+    shift = begins[which] - (np.cumsum(own) - own)
+    return data[np.repeat(shift, own) + np.arange(own.sum())], own
+
+
 def read_model(path: str) -> bytes:
     with open(path, "rb") as source:
         return source.read()
@@ -350,33 +466,17 @@ def encoded(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = None
         for batch in batches:
-            fst = fst or _compiled(sent.value)
+            fst = fst or Transducer(sent.value)
             for part in slices(batch):
-                # Ids take more room than text: smaller pieces again.
-                for lo in range(0, part.num_rows, 512):
-                    some = part.slice(lo, 512)
-                    ids, sums, intact = [], [], []
-                    for value in some.column("text").to_pylist():
-                        made = fst.encode(value)
-                        back = fst.decode(made)
-                        ids.append(made.astype(np.int32))
-                        sums.append(hashlib.sha256(back.encode()).hexdigest())
-                        intact.append(back == value)
-                    lengths = np.array([len(x) for x in ids], np.int64)
-                    flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), flat)
-                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(lengths), lists.cast(arrow.field("ids").type), pa.array(sums), pa.array(intact)], schema=arrow)
+                # A batch of very long rows is cut further.
+                step = max(1, part.num_rows * GROUP_CHARS // max(part.nbytes, GROUP_CHARS))
+                for lo in range(0, part.num_rows, step):
+                    some = part.slice(lo, step)
+                    texts = some.column("text").to_pylist()
+                    ids, counts = fst.encode_all(texts)
+                    back = fst.decode_all(ids, counts)
+                    sums = [hashlib.sha256(t.encode()).hexdigest() for t in back]
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(counts), lists.cast(arrow.field("ids").type), pa.array(sums), pa.array([b == t for b, t in zip(back, texts)])], schema=arrow)
 
     return rows.mapInArrow(run, schema)
-
-
-_COMPILED: dict[bytes, Transducer] = {}
-
-
-def _compiled(model: bytes) -> Transducer:
-    """One compiled model per worker process, since its tasks share the cache of words."""
-    name = hashlib.sha256(model).digest()
-    if name not in _COMPILED:
-        _COMPILED.clear()
-        _COMPILED[name] = Transducer(model)
-    return _COMPILED[name]
