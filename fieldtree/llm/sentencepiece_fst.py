@@ -276,17 +276,15 @@ class Transducer:
 
     def shortest(self, text: str) -> list[int]:
         """The pieces on the shortest path through the lattice of an input."""
-        n = len(text)
-        last, back = [None] * (n + 1), [0] * (n + 1)
         if self.kind == BPE:
-            self._accepted(text, last, back)
-        else:
-            weight = [0.0] + [INFINITE] * n
-            for at, own in enumerate(self.lattice(text)):
-                for stop, k in own:
-                    cost = weight[at] + (self.unknown_cost if k < 0 else -self.scores[k])
-                    if cost < weight[stop]:
-                        weight[stop], last[stop], back[stop] = cost, k, at
+            return self._accepted(text)
+        n = len(text)
+        last, back, weight = [None] * (n + 1), [0] * (n + 1), [0.0] + [INFINITE] * n
+        for at, own in enumerate(self.lattice(text)):
+            for stop, k in own:
+                cost = weight[at] + (self.unknown_cost if k < 0 else -self.scores[k])
+                if cost < weight[stop]:
+                    weight[stop], last[stop], back[stop] = cost, k, at
         path, at = [], n
         while at:
             if last[at] is None:
@@ -295,39 +293,53 @@ class Transducer:
             at = back[at]
         return path[::-1]
 
-    def _accepted(self, text: str, last: list[int | None], back: list[int]) -> None:
-        """Least paths of a byte-pair model: composition with the pieces and the acceptor in one sweep.
+    def _accepted(self, text: str) -> list[int]:
+        """The one path of finite weight of a byte-pair model, found depth first.
 
-        Each position has one state of finite weight, since merging leaves one encoding of each
-        prefix; so the first accepted arc to a position is its least path, and arcs to positions that
-        have one need not be followed.
+        Merging leaves one encoding of each prefix, so the product of the lattice with the acceptor has
+        at most one state of finite weight at a position, and a position that leads nowhere need not be
+        reached again. Longer pieces are tried first; most are right at once.
         """
         arcs, final, root, follows = self.arcs, self.final, self.arcs[0], self.follows
-        n = len(text)
-        last[0] = -1
-        for at in range(n):
-            left = last[at]
-            if left is None:
-                continue
+        n, at, left = len(text), 0, -1
+        path: list[int] = []
+        trail: list[tuple[int, int, list[tuple[int, int]]]] = []
+        dead: set[int] = set()
+        ways: list[tuple[int, int]] | None = None
+        while at < n:
+            if ways is None:
+                state, stop = root.get(text[at]), at + 1
+                ways = [] if state is not None and final[state] is not None else [(stop, -2 - ord(text[at]))]
+                while state is not None:
+                    k = final[state]
+                    if k is not None:
+                        ways.append((stop, k))
+                    if stop == n:
+                        break
+                    state, stop = arcs[state].get(text[stop]), stop + 1
             row = follows.get(left)
             if row is None:
                 row = follows[left] = {}
-            state, stop = root.get(text[at]), at + 1
-            if (state is None or final[state] is None) and last[stop] is None and self._accepts(left, k := -2 - ord(text[at])):
-                last[stop], back[stop] = k, at
-            while state is not None:
-                if last[stop] is None:
-                    k = final[state]
-                    if k is not None:
-                        known = row.get(k)
-                        if known is None:
-                            known = self._accepts(left, k)
-                            row = follows.setdefault(left, row)
-                        if known:
-                            last[stop], back[stop] = k, at
-                if stop == n:
+            while ways:
+                stop, k = ways.pop()
+                if stop in dead:
+                    continue
+                known = row.get(k)
+                if known is None:
+                    known = self._accepts(left, k)
+                    row = follows.setdefault(left, {})
+                if known:
+                    trail.append((at, left, ways))
+                    path.append(k)
+                    at, left, ways = stop, k, None
                     break
-                state, stop = arcs[state].get(text[stop]), stop + 1
+            else:
+                dead.add(at)
+                if not trail:
+                    raise ValueError("no path through the lattice")
+                at, left, ways = trail.pop()
+                path.pop()
+        return path
 
     def encode_stretch(self, text: str) -> list[int]:
         out: list[int] = []
