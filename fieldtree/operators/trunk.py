@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import value
+from ..storage import stored
 from .fixpoint import ancestors
 from .tree import climb, labels_of
 
@@ -20,7 +21,7 @@ BROADCAST_NODES = 1_000_000
 def trunk_chain(nodes: DataFrame) -> DataFrame:
     """node, f and next: the nodes from the global minimum to the root, each with the one above."""
     lowest = nodes.agg(F.min(value("f", "node")).alias("v")).select(F.col("v.id").alias("id"))
-    path = ancestors(nodes.select("node", "saddle"), "node", "saddle").join(lowest, "id", "left_semi").select(F.col("ancestor").alias("node"))
+    path = ancestors(nodes.select("node", "saddle"), "node", "saddle", of=lowest).select(F.col("ancestor").alias("node"))
     return nodes.join(path, "node").select("node", "f", F.col("saddle").alias("next"))
 
 
@@ -55,14 +56,14 @@ def as_of(vertices: DataFrame, chain: DataFrame) -> DataFrame:
 
 def trunk_labels(field: DataFrame, basin: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, arc and arc_value like ``labels_of``: climb to the trunk, then look up on it."""
-    chain = trunk_chain(nodes).select("node", "f")
+    chain = stored(trunk_chain(nodes).select("node", "f"), "trunk")
     if chain.limit(BROADCAST_NODES + 1).count() > BROADCAST_NODES:
         return labels_of(field, basin, nodes)
     on = chain.select("node")
     start = field.select("id", "f").join(basin.select("id", F.col("basin").alias("arc")), "id")
     # The trunk's nodes absorb: nothing climbs on from them.
     side = nodes.join(on, "node", "left_anti")
-    reached = climb(start, side).join(field.select("id", "f"), "id")
+    reached = stored(climb(start, side).join(field.select("id", "f"), "id"), "reached")
     off = reached.join(on, F.col("arc") == F.col("node"), "left_anti").select("id", "arc")
     looked = as_of(reached.join(on, F.col("arc") == F.col("node"), "left_semi").select("id", "f"), chain)
     at = nodes.select(F.col("node").alias("arc"), F.col("f").alias("arc_value"))
