@@ -39,7 +39,7 @@ SPACE = "▁"
 #: Encoded words, and accepted or refused neighbours, that a task keeps.
 CACHE_WORDS, CACHE_NEIGHBOURS = 200_000, 400_000
 #: Texts are encoded together by about so many characters.
-GROUP_CHARS = 6 << 20
+GROUP_CHARS = 2 << 20
 INFINITE = float("inf")
 _POWERS = np.cumprod(np.full(256, 0xC2B2AE3D27D4EB4F, np.uint64))
 # Fixed values of the model format: kinds of pieces, and kinds of models.
