@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtree.llm.common import stored, table, unused
+from fieldtree.llm.jaccard_dedup import similar_removed
 from fieldtree.llm.quality_classifier import fit, score
 from fieldtree.llm.queries import TOKENIZER
 from fieldtree.llm.sentencepiece_fst import encoded, read_model
-from fieldtree.llm.simhash_dedup import near_duplicates_removed
 from fieldtree.llm.source_mixing import mixed
 from fieldtree.llm.suffix_dedup import cut_repeats
 
@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the least id."""
-    return near_duplicates_removed(docs, words=5, limit=4)
+    """One document of each group of near copies (Jaccard 0.8 or more on five-word shingles), that with the least id."""
+    return similar_removed(docs, words=5)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

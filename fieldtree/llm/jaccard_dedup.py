@@ -1,0 +1,332 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles: two texts are linked at 0.8 or more.
+
+*Sets.* Words as in operator 5: lower-cased (A to Z), split at ASCII white space; a text's set holds the
+XXH64 values (seed 42) of its shingles, a text of fewer words is one shingle. Texts with equal sets
+(128-bit digest) are one node from here on; texts without words are one node too.
+
+*Search.* Two sets of at least 0.8 similarity share a value among the first ``n - ceil(0.8 n) + 1`` of
+either, in any one order of all values. So every pair to link meets in the bucket of such a value: none is
+lost. The order takes values that are frequent in a sample of documents last, which keeps buckets small;
+the sample decides on speed only, never on results.
+
+*Links.* Pairs of a bucket of at most ``SMALL`` sets are written once each. Those whose sets' parities
+differ in more bits than similar sets may differ in values are ruled out (which is exact), and the rest
+are verified on whole sets. A
+larger bucket first gives pairs with its first set; where these don't connect it, blocks of its sets are
+compared by matrix products of their memberships, and give a spanning forest of their links. Connected
+components over the links are the groups.
+
+Nulls: a null text has no words; a null id is never the least of its group unless all are null.
+Repeated ids and rows are one document's copies. Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import slices, stored, to_arrow, unused, utf8
+from .components import components
+
+SEED = 42
+#: Least similarity, as a fraction of whole numbers.
+OVER, UNDER = 4, 5
+#: Bits by which pairs are ruled out before whole sets are fetched.
+PARITY_BITS = 1024
+#: Buckets of more sets than this are not written as pairs; blocks that they are cut into.
+SMALL, BLOCK = 32, 128
+#: One in so many documents is counted for the order; a value counts as frequent from so many, and so many values are kept.
+SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 1 << 16
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Of one text: rising, each value once, as signed numbers."""
+    found = text.lower().split()
+    if not found:
+        return np.empty(0, np.int64)
+    whole = b" ".join(found)
+    digest = xxhash.xxh64_intdigest
+    if len(found) <= words:
+        return np.array([digest(whole, SEED)], np.uint64).view(np.int64)
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
+    ends = np.cumsum(lengths)
+    starts = (ends - lengths)[: len(found) - words + 1]
+    return np.unique(np.array([digest(whole[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())], np.uint64).view(np.int64))
+
+
+def alike(shared, n, m):
+    """Whether sets of n and m values that share so many are at least 0.8 similar, in whole numbers."""
+    return (OVER + UNDER) * shared >= OVER * (n + m)
+
+
+def prefix(values: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first values of a set in the order (frequency, value); as many as a similar set must meet."""
+    if not len(values):
+        return values
+    count = np.zeros(len(values), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, values), len(often) - 1)
+        count = np.where(often[at] == values, counts[at], 0)
+    return values[np.lexsort((values, count))][: len(values) - -(-OVER * len(values) // UNDER) + 1]
+
+
+def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                for t in part.column("payload").to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words))], names=["value"])
+
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("payload")
+    found = sample.mapInArrow(run, "value long").groupBy("value").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "value").limit(MOST_FREQUENT).collect()
+    values = np.array([r["value"] for r in found], np.int64)
+    order = np.argsort(values)
+    return values[order], np.array([r["count"] for r in found], np.int64)[order]
+
+
+def parity(values: np.ndarray) -> bytes:
+    """``PARITY_BITS`` bits; two sets differ in no fewer values than their parities differ in bits."""
+    return np.packbits(np.bincount(values & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1).tobytes()
+
+
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    """doc_id, sig, n, first and bits of every row: the set's digest, size, prefix and parity."""
+    often, counts = _frequent(rows, words)
+    schema = "doc_id long, sig binary, n int, first array<long>, bits binary"
+    arrow = to_arrow(rows, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = [shingle_set(t, words) for t in part.column("payload").to_pylist()]
+                made = [prefix(s, often, counts) for s in sets]
+                first = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(np.concatenate([*made, np.empty(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), first.cast(arrow.field("first").type), pa.array([parity(s) for s in sets], pa.binary())], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """Rows of pairs (a, b) of small buckets and of large ones' first set, and the members of large ones with their sizes."""
+    schema = "a long, b long, members array<long>, sizes array<long>, same binary"
+    arrow = to_arrow(nodes, schema)
+
+    def rows(token: np.ndarray, node: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((node, n, token))
+        token, node, n = token[order], node[order], n[order]
+        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        sizes = np.diff(np.r_[starts, len(token)])
+        many = np.repeat(sizes, sizes)
+        pairs, members, lengths = [np.empty((0, 2), np.int64)], [], []
+        for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            members.append(node[s : s + m])
+            lengths.append(n[s : s + m])
+            near = OVER * n[s + 1 : s + m] <= UNDER * n[s]
+            pairs.append(np.stack([np.full(near.sum(), node[s]), node[s + 1 : s + m][near]], 1))
+        keep = (many > 1) & (many <= SMALL)
+        token, node, n = token[keep], node[keep], n[keep]
+        for k in range(1, SMALL):
+            same = token[k:] == token[:-k]
+            if not same.any():
+                break
+            same &= OVER * n[k:] <= UNDER * n[:-k]
+            pairs.append(np.stack([node[:-k][same], node[k:][same]], 1))
+        found = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+        none = lambda k, t: pa.nulls(k, t)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), *(none(len(found), f.type) for f in list(arrow)[2:])], schema=arrow)
+        for m, s in zip(members, lengths):
+            yield pa.RecordBatch.from_arrays([none(1, pa.int64()), none(1, pa.int64()), pa.array([m.tolist()], arrow.field("members").type), pa.array([s.tolist()], arrow.field("sizes").type), pa.array([_digest(np.sort(m))], pa.binary())], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            now = tuple(np.asarray(batch.column(c)).astype(np.int64) for c in ("token", "node", "n"))
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # sorted: the last token may go on
+            if held and (cut or held[-1][0][-1] != now[0][0]):
+                yield from rows(*(np.concatenate(c) for c in zip(*held, tuple(c[:cut] for c in now))))
+                held = []
+            elif cut:
+                yield from rows(*(c[:cut] for c in now))
+            held.append(tuple(c[cut:] for c in now))
+        if held:
+            yield from rows(*(np.concatenate(c) for c in zip(*held)))
+
+    filed = nodes.select("node", "n", F.explode("first").alias("token"))
+    return filed.repartition("token").sortWithinPartitions("token").mapInArrow(run, schema)
+
+
+def _sets(rows: DataFrame, nodes: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """node and its set, as bytes, of the nodes needed; made again from the texts, which are smaller."""
+    wanted = stored(nodes.join(needed, "node", "left_semi").select("node", "sig", "least"), "wanted")
+    schema = "sig binary, set binary"
+    arrow = to_arrow(rows, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = [shingle_set(t, words) for t in part.column("payload").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=arrow)
+
+    ids = wanted.select(F.col("least").alias("id")).distinct()
+    made = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("payload").mapInArrow(run, schema)
+    return made.join(wanted.select("node", "sig"), "sig").groupBy("node").agg(F.first("set").alias("set"))
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that parities don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                both = np.asarray(batch.column("n")).astype(np.int64)
+                yield batch.select(["a", "b"]).filter(pa.array((OVER + UNDER) * apart <= (UNDER - OVER) * both))
+
+    left, right = (nodes.select(F.col("node").alias(f"{k}_node"), F.col("bits").alias(k), F.col("n").alias(f"{k}_n")) for k in "xy")
+    return pairs.join(left, F.col("a") == F.col("x_node")).join(right, F.col("b") == F.col("y_node")).select("a", "b", "x", "y", (F.col("x_n") + F.col("y_n")).alias("n")).mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                good.append(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = (sets.select(F.col("node").alias(f"{k}_node"), F.col("set").alias(k)) for k in "xy")
+    return pairs.join(left, F.col("a") == F.col("x_node")).join(right, F.col("b") == F.col("y_node")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def block_links(nodes: list[int], groups: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among some sets, beyond those that their groups stand for."""
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, len(values), 1 << 14):
+        part = (place >= lo) & (place < lo + (1 << 14))
+        has = np.zeros((len(sets), min(1 << 14, len(values) - lo)), np.float32)
+        has[held[part], place[part] - lo] = 1
+        shared += has @ has.T
+    n = np.array([len(s) for s in sets])
+    above = {g: g for g in groups}
+
+    def top(g: int) -> int:
+        while above[g] != g:
+            above[g] = g = above[above[g]]
+        return g
+
+    out = []
+    for i, j in np.argwhere(np.triu(alike(shared.astype(np.int64), n[:, None], n[None, :]), 1)).tolist():
+        x, y = top(groups[i]), top(groups[j])
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            out.append((nodes[i], nodes[j]))
+    return out
+
+
+def _open(large: DataFrame, linked: DataFrame) -> DataFrame:
+    """same, node, n and group of large buckets that ``linked`` (node and component) leaves in more than one group."""
+    flat = large.select("same", F.explode(F.arrays_zip("members", "sizes")).alias("m")).select("same", F.col("m.members").alias("node"), F.col("m.sizes").alias("n"))
+    flat = flat.join(linked.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("same", "node", "n", F.coalesce("component", "node").alias("group"))
+    apart = flat.groupBy("same").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select(F.col("same").alias("of"))
+    return flat.join(apart, F.col("same") == F.col("of"), "left_semi")
+
+
+def _large(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the groups of open buckets."""
+    cut = "same binary, i int, j int, node long, grp long"
+    arrow = to_arrow(open_, cut)
+
+    def blocks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        node, n, group = (np.asarray(table.column(c)) for c in ("node", "n", "group"))
+        order = np.lexsort((node, n, group))
+        node, n, group = node[order], n[order], group[order]
+        at = [slice(k, k + BLOCK) for k in range(0, len(node), BLOCK)]
+        out = []
+        for i, x in enumerate(at):
+            for j in range(i, len(at)):
+                y = at[j]
+                one = group[x][0] == group[y][-1]
+                if not one and OVER * n[y].min() <= UNDER * n[x].max() and OVER * n[x].min() <= UNDER * n[y].max():
+                    both = np.r_[node[x], node[y]] if i < j else node[x]
+                    out.append(pa.table([pa.array([key[0].as_py()] * len(both), pa.binary()), pa.array([i] * len(both), pa.int32()), pa.array([j] * len(both), pa.int32()), pa.array(both), pa.array(np.r_[group[x], group[y]] if i < j else group[x])], schema=arrow))
+        return pa.concat_tables(out) if out else arrow.empty_table()
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = block_links(table.column("node").to_pylist(), table.column("grp").to_pylist(), [np.frombuffer(s, np.int64) for s in table.column("set").to_pylist()])
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    filed = open_.groupBy("same").applyInArrow(blocks, cut)
+    return filed.join(sets.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("same", "i", "j", "node", "grp", "set").groupBy("same", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+    """doc_id, sig and component_id, the least doc_id of the group of similar texts, for every row."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("payload"))
+    made = stored(_sketches(rows, words), "sketches")
+    nodes = stored(made.groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    found = stored(_buckets(nodes), "buckets")
+    pairs = stored(_possible(found.filter("members IS NULL").select("a", "b").distinct(), nodes), "pairs")
+    large = stored(found.filter("members IS NOT NULL").dropDuplicates(["same"]).select("members", "sizes", "same"), "large")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    edges = stored(_verified(pairs, stored(_sets(rows, nodes, ends, words), "sets")), "links")
+    linked = components(edges)
+    if not large.isEmpty():
+        open_ = stored(_open(large, linked), "open")
+        if not open_.isEmpty():
+            sets = stored(_sets(rows, nodes, open_.select("node").distinct(), words), "large-sets")
+            linked = components(edges.unionByName(stored(_large(open_, sets), "large-links")))
+    named = nodes.select("sig", "least", "node").join(linked.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("sig", "least", F.coalesce("component", "node").alias("component"))
+    groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_set = named.join(groups, "component").select(F.col("sig").alias("of"), "component_id")
+    return made.select("doc_id", "sig").join(by_set, F.col("sig") == F.col("of")).select("doc_id", "sig", "component_id")
+
+
+def similar_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+    """``docs`` without the rows of a group of similar texts but one, that of the least id.
+
+    Of rows that repeat that id one stays; which one is not defined. A row without an id stays if its
+    group has no id at all, since nothing tells which to keep.
+    """
+    kept_, mark_ = unused(docs, "kept", "mark")
+    named = stored(similar(docs, key, text, words), "groups")
+    own = named.filter("doc_id = component_id")
+    out = docs.join(own.select(F.col("doc_id").alias(kept_)).distinct(), F.col(key).cast("long") == F.col(kept_), "left_semi")
+    if not own.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([key])
+    lone = named.filter("component_id IS NULL").select(F.col("sig").alias(kept_)).distinct()
+    if not lone.isEmpty():
+        marked = _marked(docs.filter(F.col(key).isNull()), text, words, mark_)
+        out = out.unionByName(marked.join(lone, F.col(mark_) == F.col(kept_), "left_semi").select(*docs.columns))
+    return out
+
+
+def _marked(docs: DataFrame, text: str, words: int, name: str) -> DataFrame:
+    """``docs`` with the digest of its set in a further column."""
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                made = [_digest(shingle_set((t or "").encode(), words)) for t in part.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=[*columns, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))

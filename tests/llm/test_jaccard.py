@@ -1,0 +1,71 @@
+import random
+
+import pytest
+
+from fieldtree.llm import jaccard_dedup as J
+
+
+def plain_groups(texts):
+    """Group of each text by comparing all pairs; the least index."""
+    sets = [set(J.shingle_set((t or "").encode(), 5).tolist()) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if both * 5 >= either * 4 and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+@pytest.fixture(scope="module")
+def texts(prose, odd_texts):
+    """Near copies of many similarities, chains of them, and a line common to all of some."""
+    draw = random.Random(5)
+    out = list(odd_texts)
+    for k in range(12):
+        base = prose(100 + 10 * k, 50 + k).split(" ")
+        for edits in (0, 1, 2, 3, 4, 5):
+            now = list(base)
+            for _ in range(edits):
+                now[draw.randrange(len(now))] = f"new{draw.random()}"
+            out.append(" ".join(now))
+    line = prose(30, 77)
+    return out + [f"{line} {prose(12 + k, 500 + k)}" for k in range(25)] + [f"{line} tail{k} word{k}" for k in range(20)]
+
+
+@pytest.mark.parametrize("small", [2, 32])
+def test_groups_are_those_of_all_pairs(spark, texts, monkeypatch, small):
+    monkeypatch.setattr(J, "SMALL", small)
+    monkeypatch.setattr(J, "BLOCK", 8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    goal = plain_groups(texts)
+    assert len(set(goal)) < len(texts) - 20
+    assert {r.doc_id: r.component_id for r in J.similar(df).collect()} == dict(enumerate(goal))
+
+
+def test_stage_takes_similarity_of_four_fifths(spark, prose):
+    """A near copy of 0.83 whose fingerprint is more than 4 bits away goes, and one of less than 0.8 stays."""
+    import corpus_pipeline as C
+    from fieldtree.llm.simhash_dedup import fingerprint
+
+    base = prose(200, 9).split(" ")
+    near, far = list(base), list(base)
+    for k in range(4):
+        near[20 + 40 * k] = f"near{k}"
+    for k in range(9):
+        far[10 + 20 * k] = f"far{k}"
+    rows = [(k, " ".join(t), "en", "s", 1) for k, t in enumerate((base, near, far))]
+    assert (fingerprint(rows[0][1].encode(), 5) ^ fingerprint(rows[1][1].encode(), 5)).bit_count() > 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in C.near_dedup(spark, df, "").collect()) == [0, 2]
+
+
+def test_odd_rows(spark, documents):
+    kept = J.similar_removed(documents)
+    assert kept.columns == documents.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and 0 in ids and 1 not in ids and None not in ids
+    assert J.similar_removed(documents.limit(0)).count() == 0
+    lone = documents.filter("doc_id IS NULL")
+    assert J.similar_removed(lone).count() == 1
