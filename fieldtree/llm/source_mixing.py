@@ -7,8 +7,12 @@ the expected tokens are a stated share of all. Whether it is kept is decided by
 so it doesn't depend on partitions and a second run keeps the same ones.
 
 Token counts, cells and marginals cover all documents. Cells are aggregates: the fitting works on a
-table of one row per cell, in DataFrame operations, stored after each round. The documents
+table of one row per cell: on the driver up to ``DRIVER_CELLS`` cells, and beyond that in DataFrame
+operations, stored after each round. The documents
 are only joined with that table; it is broadcast if its size on disk is below the engine's threshold.
+Rounds go on, at least ``ROUNDS``, until no step of a round changes a weight by more than ``TOLERANCE``
+of it. Marginals may contradict each other where cells are empty; then the fitting stops when it no
+longer gets closer, and a warning says by how much the marginals are missed.
 
 Default targets: each value's share of tokens to a power below 1, so that large sources, languages
 and topics give way to small ones. Nulls in source, language or topic count as a value of their own;
@@ -19,12 +23,23 @@ fate. Empty tables give empty results; other columns are kept by ``mixed`` and i
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, unused
 
+#: Least number of rounds, and the number in ``mixing_sql``, which has no loop.
 ROUNDS = 8
+#: Largest relative change of a weight in the last round.
+TOLERANCE = 1e-3
+#: Fitting ends at so many rounds, or if so many rounds lower the largest change by less than a fiftieth.
+MOST_ROUNDS, STALL_ROUNDS = 400, 8
+#: Tables of at most so many cells (some 10 MB) are fitted by the driver, where a round costs no jobs.
+DRIVER_CELLS = 1 << 17
 #: Share of all tokens to keep, and the power of each marginal.
 KEEP, POWERS = 0.6, {"source": 0.5, "lang": 0.7, "topic": 0.7}
 #: Steps of the search for the factor of the probabilities.
@@ -48,11 +63,46 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(SALT), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _settled(seen: list[float], rounds: int) -> bool:
+    """Whether fitting ends, after rounds with these largest changes; with a warning if marginals are missed."""
+    if len(seen) >= rounds and seen[-1] <= TOLERANCE:
+        return True
+    if len(seen) >= max(rounds, MOST_ROUNDS) or len(seen) >= rounds + STALL_ROUNDS and seen[-1] > 0.98 * seen[-1 - STALL_ROUNDS]:
+        warnings.warn(f"raking does not meet all marginals: round {len(seen)} still changes weights by up to {seen[-1]:.2g} of them", stacklevel=3)
+        return True
+    return False
+
+
+def _rake_here(cells: DataFrame, powers: dict[str, float], rounds: int) -> DataFrame:
+    """``rake`` on the driver."""
+    table = cells.toArrow()
+    tokens, weight = np.array(table.column("tokens").fill_null(0), np.float64), np.ones(table.num_rows)
+    fits = []
+    for dim, power in powers.items():
+        at = np.asarray(table.column(dim).combine_chunks().dictionary_encode(null_encoding="encode").indices)
+        n = np.bincount(at, tokens)
+        goal = np.where(n > 0, n, 0.0) ** power * (n > 0)
+        fits.append((at, goal / (goal.sum() or 1.0) * tokens.sum(), n > 0))
+    seen: list[float] = []
+    while table.num_rows and not (seen and _settled(seen, rounds)):
+        most = 0.0
+        for at, target, some in fits:
+            have = np.bincount(at, tokens * weight)
+            ratio = np.where(some, target / np.where(some, have, 1.0), 1.0)
+            most = max(most, float(np.abs(ratio - 1).max()))
+            weight = weight * ratio[at]
+        seen.append(most)
+    return cells.sparkSession.createDataFrame(table.append_column("weight", pa.array(weight)))
+
+
 def rake(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (the columns of ``powers`` and tokens) with a weight that meets all marginals.
 
-    A marginal's target is the tokens' share to the given power, scaled to sum to all tokens.
+    A marginal's target is the tokens' share to the given power, scaled to sum to all tokens. ``rounds``
+    is the least number of rounds.
     """
+    if cells.count() <= DRIVER_CELLS:
+        return _rake_here(cells, powers, rounds)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     now = cells.withColumn("weight", F.lit(1.0))
     targets = {}
@@ -60,14 +110,19 @@ def rake(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS) -> Da
         sums = stored(cells.groupBy(dim).agg(F.sum("tokens").alias("n")).filter("n > 0"), f"marginal-{dim}")
         scale = sums.agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(power)))).first()[0]
         targets[dim] = sums.select(F.col(dim).alias("t"), (F.pow(F.col("n").cast("double"), F.lit(power)) / scale * float(total)).alias("target"))
-    for _ in range(rounds):
+    off, seen = unused(cells, "off")[0], []
+    while True:
+        now = now.withColumn(off, F.lit(0.0))
         for dim in powers:
             have = now.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have")).withColumnRenamed(dim, "h")
             ratio = have.join(targets[dim], F.col("h").eqNullSafe(F.col("t"))).select("h", (F.col("target") / F.col("have")).alias("ratio"))
-            now = now.join(ratio, F.col(dim).eqNullSafe(F.col("h")), "left").withColumn("weight", F.col("weight") * F.coalesce("ratio", F.lit(1.0))).select(*cells.columns, "weight")
+            now = now.join(ratio, F.col(dim).eqNullSafe(F.col("h")), "left").withColumn("weight", F.col("weight") * F.coalesce("ratio", F.lit(1.0))).withColumn(off, F.greatest(off, F.abs(F.coalesce("ratio", F.lit(1.0)) - 1))).select(*cells.columns, "weight", off)
         # Stored, so that the planner sees that cells are few, where they are, and sends them whole.
         now = stored(now, "raked")
-    return now
+        seen.append(now.agg(F.max(off)).first()[0] or 0.0)
+        now = now.drop(off)
+        if _settled(seen, rounds):
+            return now
 
 
 def probabilities(cells: DataFrame, keep: float) -> DataFrame:

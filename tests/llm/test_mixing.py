@@ -43,3 +43,38 @@ def test_odd_rows(spark, documents):
 @pytest.mark.parametrize("text,topic", [("a | b", "table"), ("NOW!!", "shout"), ("x***", "marks"), ("a License", "licence"), ("plain", "prose"), (None, "prose")])
 def test_topics(spark, text, topic):
     assert spark.createDataFrame([(text,)], "text string").select(M.topic_of()).first()[0] == topic
+
+
+def off(made, powers):
+    """Largest relative deviation of a marginal from its target."""
+    total, most = made.tokens.sum(), 0.0
+    for dim, power in powers.items():
+        have = (made.tokens * made.weight).groupby(made[dim]).sum()
+        goal = made.tokens.groupby(made[dim]).sum().astype(float) ** power
+        most = max(most, (have / (goal / goal.sum() * total) - 1).abs().max())
+    return most
+
+
+def test_correlated_cells_converge(spark):
+    """Each source mostly in one language, and one hot source: the production settings meet the marginals."""
+    rows = [(f"s{k}", f"l{g}", "t", (40 if k == 0 else 1) * (1000 if k % 4 == g else 1 + k)) for k in range(20) for g in range(4)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    made = M.rake(cells, M.POWERS).toPandas()
+    assert list(made.columns) == [*cells.columns, "weight"]
+    assert off(made, M.POWERS) <= 2 * 1e-3
+
+
+def test_contradicting_marginals_are_reported(spark):
+    cells = spark.createDataFrame([("a", "en", "t", 900), ("b", "de", "t", 100)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="does not meet"):
+        assert M.rake(cells, M.POWERS).count() == 2
+
+
+def test_both_ways_of_fitting_agree(spark, monkeypatch):
+    cells = spark.createDataFrame([("a", "en", "t", 900), ("b", "de", "t", 100), ("a", "de", "t", 50), (None, "en", "t", 7), ("b", "en", "t", 0)], "source string, lang string, topic string, tokens long")
+    monkeypatch.setattr(M, "DRIVER_CELLS", 0)
+    monkeypatch.setattr(M, "TOLERANCE", 1.0)
+    there = {r[:3]: r.weight for r in M.rake(cells, M.POWERS, rounds=3).collect()}
+    monkeypatch.setattr(M, "DRIVER_CELLS", 9)
+    again = {r[:3]: r.weight for r in M.rake(cells, M.POWERS, rounds=3).collect()}
+    assert there.keys() == again.keys() and all(abs(there[k] - again[k]) < 1e-9 for k in there)
