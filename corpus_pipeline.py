@@ -37,8 +37,8 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that the tokens kept have the target marginals."""
-    return mixed(docs)
+    """Documents sampled, and repeated where their weight asks for it, so that the tokens kept have the target marginals."""
+    return mixed(docs, repeats=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ Default targets: each value's share of tokens to a power below 1, so that large
 and topics give way to small ones. Nulls in source, language or topic count as a value of their own;
 null texts have no tokens; null ids hash as the empty string. Documents without tokens get their
 cell's probability like others; a cell with no tokens at all has weight 1. Repeated rows share their
-fate. Empty tables give empty results; other columns are kept by ``mixed`` and ignored otherwise.
+fate. ``mixed`` can repeat rows instead of stopping at 1; ``mixing_report`` is what the SQL states and
+doesn't: its cells at 1 fall short of their weight. Empty tables give empty results; other columns are kept by ``mixed`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -160,10 +161,21 @@ def mixing_report(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     return rows.select("doc_id", "source", "lang", F.col(names["topic"]).alias("topic"), F.col(names["tokens"]).alias("tokens"), F.round(names["weight"], 6).alias("weight"), F.round(probability, 6).alias("probability"), (uniform(F.col("doc_id")) < probability).alias("kept"))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The sampled rows of ``docs``, with their columns."""
-    rows, names = calibrated(docs, **options)
-    return rows.filter(uniform(F.col(key)) < F.col(names["probability"])).select(*docs.columns)
+def mixed(docs: DataFrame, key: str = "doc_id", keep: float = KEEP, repeats: bool = False, **options) -> DataFrame:
+    """The sampled rows of ``docs``, with their columns.
+
+    With ``repeats``, a row whose weight times ``keep`` is above 1 comes that often on average, so that the
+    sample has the target marginals and the stated share of tokens, which probabilities of at most 1 can't
+    give to a value with too few tokens. A row without tokens comes at most once.
+    """
+    rows, names = calibrated(docs, keep=keep, **options)
+    if not repeats:
+        return rows.filter(uniform(F.col(key)) < F.col(names["probability"])).select(*docs.columns)
+    often = F.col(names["weight"]) * keep
+    often = F.when(F.col(names["tokens"]) > 0, often).otherwise(F.least(F.lit(1.0), often))
+    copies, copy = unused(rows, "copies", "copy")
+    made = rows.withColumn(copies, (F.floor(often) + (uniform(F.col(key)) < often - F.floor(often)).cast("int")).cast("int"))
+    return made.filter(F.col(copies) > 0).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*docs.columns)
 
 
 def mixing_sql(keep: float = KEEP, powers: dict[str, float] | None = None, rounds: int = ROUNDS) -> str:

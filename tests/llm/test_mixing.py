@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +80,27 @@ def test_both_ways_of_fitting_agree(spark, monkeypatch):
     monkeypatch.setattr(M, "DRIVER_CELLS", 9)
     again = {r[:3]: r.weight for r in M.rake(cells, M.POWERS, rounds=3).collect()}
     assert there.keys() == again.keys() and all(abs(there[k] - again[k]) < 1e-9 for k in there)
+
+
+def test_stage_has_the_target_marginals(spark):
+    """One hot source, each source mostly in one language: the stage's tokens have the raked marginals."""
+    import corpus_pipeline as C
+
+    draw = random.Random(3)
+    rows = []
+    for i in range(24000):
+        source = 0 if draw.random() < 0.33 else draw.randint(1, 11)
+        lang = source % 3 if draw.random() < 0.8 else draw.randint(0, 2)
+        rows.append((i, "w " * 9 + "!!" * (draw.random() < 0.05), f"l{lang}", f"s{source}", 18))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    report = M.calibrated(df)[0].drop("doc_id", "n_chars", "text").toPandas()
+    made = C.mixing(spark, df, "")
+    assert made.columns == df.columns
+    kept = made.withColumns({"topic": M.topic_of(), "tokens": M.tokens_of()}).toPandas()
+    total = report.tokens.sum()
+    assert abs(kept.tokens.sum() / total - M.KEEP) < 0.02
+    for dim, power in M.POWERS.items():
+        goal = report.tokens.groupby(report[dim]).sum().astype(float) ** power
+        share = kept.tokens.groupby(kept[dim]).sum() / kept.tokens.sum()
+        assert (share / (goal / goal.sum()) - 1).abs().max() < 0.08
+    assert kept.doc_id.duplicated().any()
