@@ -1,19 +1,23 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers (operator 9).
 
-A model file is compiled into three transducers: the normaliser (characters to characters), the
-pieces (a trie whose paths read a piece's characters and write its id, with arcs that write byte
-pieces for characters without a piece), and, for byte-pair models, an acceptor of neighbouring
-pieces. Composing them with an input gives a lattice; its shortest path in the tropical semiring
-(weights add along a path, the least path wins) is the encoding.
+A model file is compiled into transducers: the normaliser (characters to characters; a function, so
+composed with a text it gives a text again), the pieces (a trie whose paths read a piece's characters
+and write its number), the fallback (an arc for each character without a piece, which writes byte
+pieces), and, for byte-pair models, an acceptor of neighbouring pieces. Composing them with an input
+gives a lattice of weighted arcs; its shortest path in the tropical semiring (weights add along a
+path, the least path wins) is the encoding. Many inputs are composed and relaxed together in numpy,
+one position of each in a step; long ones without white space alone, by the same rule.
 
 Weights. In a unigram model an arc weighs the negative score of its piece, and states of the lattice
 are positions. In a byte-pair model the encoding is what repeated merging leaves, and it is the only
 path on which each two neighbours are what merging makes of the two alone. So an arc weighs 1, and
 the acceptor gives other neighbours infinite weight; states are positions with their last piece.
-Either way the result is that of the model's own library.
+That holds if scores fall from merge to merge within every piece; a byte-pair model in which they
+don't is refused (``Transducer.verify``). Either way the result is that of the model's own library.
 
 White space separates the lattice where no piece can cross it, so a word's shortest path is found
-once and kept in a bounded cache. Whole texts are encoded.
+once and kept in a bounded cache. Whole texts are encoded: very long ones in cuts at white space of
+about ``GROUP_CHARS`` characters, so beyond the text and its ids memory doesn't grow with them.
 
 Nulls: a null text is empty and has no pieces; a null id stays null. Repeated rows give repeated
 results, an empty table an empty one; other columns are ignored. The placeholder character U+2581 in
@@ -25,7 +29,6 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +39,18 @@ from pyspark.sql import functions as F
 from .common import slices, to_arrow
 
 SPACE = "▁"
+#: A character that isn't white space ahead of one that is: where a text may be cut.
+_BREAK = re.compile(f"[^ {SPACE}][ {SPACE}]")
+#: Added to piece numbers, of which those of characters without a piece are negative.
+_OTHER = 0x110002
 #: Encoded words, and accepted or refused neighbours, that a task keeps.
 CACHE_WORDS, CACHE_NEIGHBOURS = 200_000, 400_000
 #: Texts are encoded together by about so many characters.
-GROUP_CHARS = 2 << 20
+GROUP_CHARS = 1 << 20
+#: Inputs are composed together by so many characters; longer ones than ``STEPS`` are relaxed alone.
+LATTICE_CHARS, STEPS = 1 << 18, 64
+#: Ids are decoded by so many.
+DECODE_IDS = 1 << 18
 INFINITE = float("inf")
 _POWERS = np.cumprod(np.full(256, 0xC2B2AE3D27D4EB4F, np.uint64))
 # Fixed values of the model format: kinds of pieces, and kinds of models.
@@ -74,6 +85,49 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         yield tag >> 3, value
 
 
+class _Table:
+    """Whole numbers (not -1) to small ones, asked and filled by arrays: open addressing."""
+
+    def __init__(self, bits: int):
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values; -1 where there is none."""
+        out, todo, at = np.full(len(keys), -1, np.int32), np.arange(len(keys)), self._slots(keys)
+        while len(todo):
+            held = self.keys[at]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            on = ~hit & (held != -1)
+            todo, at = todo[on], (at[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New keys, each once."""
+        self.used += len(keys)
+        if 2 * self.used > len(self.keys):
+            own = self.keys != -1
+            keys, values = np.concatenate([self.keys[own], keys]), np.concatenate([self.values[own], values])
+            self.__init__(max(self.bits + 1, int(np.ceil(np.log2(4 * len(keys) + 2)))))
+            self.used = len(keys)
+        at = self._slots(keys)
+        while len(keys):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[free]
+            own = self.keys[at] == keys
+            self.values[at[own]] = values[own]
+            keys, values, at = keys[~own], values[~own], (at[~own] + 1) & (len(self.keys) - 1)
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)
+
+
 class Normaliser:
     """Character rewriting: the longest matching rule at each place, then white space by the flags."""
 
@@ -104,9 +158,8 @@ class Normaliser:
                 stack.append((under, down))
         return out
 
-    def __call__(self, text: str) -> str:
-        if not text:
-            return ""
+    def rewritten(self, text: str) -> str:
+        """By the rules alone."""
         if self.rules:
             data, out, at = text.encode(), [], 0
             while at < len(data):
@@ -120,12 +173,23 @@ class Normaliser:
                     out.append(data[at : at + n])
                     at += n
             text = b"".join(out).decode()
+        return text
+
+    def spaced(self, text: str, begins: bool = True, ends: bool = True) -> str:
+        """White space by the flags, for a text or a cut of one: the states are the text's beginning, its
+        inside and its end, and cuts are made ahead of white space, so that only the first and the last
+        cut have an edge to trim."""
         if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if self.dummy and text:
+            text = re.sub(" +", " ", text)
+            text = text.lstrip(" ") if begins else text
+            text = text.rstrip(" ") if ends else text
+        if self.dummy and begins and text:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
+    def __call__(self, text: str) -> str:
+        return self.spaced(self.rewritten(text))
+
 
 class Transducer:
     """A model compiled for encoding and decoding."""
@@ -152,35 +216,58 @@ class Transducer:
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): k for k, (p, t) in enumerate(zip(self.pieces, self.kinds)) if t == BYTE}
         self.ids = {p: k for k, (p, t) in enumerate(zip(self.pieces, self.kinds)) if t in (NORMAL, USER)}
-        #: The trie: a state per prefix; a state's arcs by character, and the piece that ends there or None.
-        self.arcs: list[dict[str, int]] = [{}]
-        self.final: list[int | None] = [None]
-        for piece, k in self.ids.items():
-            state = 0
-            for c in piece:
-                if c not in self.arcs[state]:
-                    self.arcs[state][c] = len(self.arcs)
-                    self.arcs.append({})
-                    self.final.append(None)
-                state = self.arcs[state][c]
-            self.final[state] = k
+        self._compile_trie()
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        #: Stretches of the input that no piece can leave.
-        self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if not crossing else re.compile(r"(?s).+")
         # A character without a piece costs more than any piece (unigram), as in the library.
         self.unknown_cost = 10.0 - min((s for s, t in zip(self.scores, self.kinds) if t == NORMAL), default=0.0)
         self.split = not crossing
         self.plain: np.ndarray | None = None
         self.table: tuple | None = None
-        #: The acceptor: for a piece those that may follow it, as far as they have been asked for.
-        self.follows: dict[int, dict[int, bool]] = {}
+        #: The acceptor: pairs of pieces, as far as they have been asked for, and whether one may follow the other.
+        self.follows = _Table(16)
         self.edges: tuple[dict[str, list], dict[str, list]] = {}, {}
-        self.asked = 0
         self.packing = "H" if len(self.pieces) <= 1 << 16 else "I"
         #: Encoded stretches, packed; the older half is dropped when the newer one is full.
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _compile_trie(self) -> None:
+        """The trie as arrays: a state per prefix (0: the root), arcs by state and character, and the piece that ends at a state (-1: none)."""
+        alphabet = sorted({c for p in self.ids for c in p})
+        number = {c: k + 1 for k, c in enumerate(alphabet)}
+        self.classes = np.zeros((ord(alphabet[-1]) if alphabet else 0) + 2, np.int32)
+        self.classes[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.width = len(alphabet) + 1
+        states, final = {"": 0}, [-1]
+        keys, targets = [], []
+        for piece, k in self.ids.items():
+            state = 0
+            for n in range(1, len(piece) + 1):
+                prefix = piece[:n]
+                next_ = states.get(prefix)
+                if next_ is None:
+                    next_ = states[prefix] = len(final)
+                    final.append(-1)
+                    keys.append(state * self.width + number[piece[n - 1]])
+                    targets.append(next_)
+                state = next_
+            final[state] = k
+        self.final = np.array(final, np.int32)
+        self.arcs = _Table(max(4, int(np.ceil(np.log2(2 * len(keys) + 2)))))
+        self.arcs.put(np.array(keys, np.int64), np.array(targets, np.int32))
+        self.costs = np.array([-s for s in self.scores] if self.kind != BPE else [1.0] * len(self.scores))
+
+    def verify(self) -> Transducer:
+        """Itself, unless merging the characters of some piece of a byte-pair model takes a better score after a worse one."""
+        for piece in self.ids if self.kind == BPE else ():
+            symbols, last = list(piece), INFINITE
+            while (k := self._best(symbols)) >= 0:
+                symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+                if (now := self.scores[self.ids[symbols[k]]]) > last:
+                    raise ValueError(f"merges of the piece {piece!r} don't fall in score")
+                last = now
+        return self
+
     def _unknown_ids(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode()] if self.fallback else [self.unknown]
 
@@ -247,137 +334,277 @@ class Transducer:
                     return False
         return True
 
-    def _accepts(self, left: int, right: int) -> bool:
-        """Whether one piece may follow another (-1: the beginning)."""
-        known = self._joins(self._label(left), self._label(right))
-        self.asked += 1
-        if self.asked > CACHE_NEIGHBOURS:
-            self.asked = 0
-            self.follows.clear()
-        self.follows.setdefault(left, {})[right] = known
-        return known
-
-    def lattice(self, text: str) -> list[list[tuple[int, int]]]:
-        """The composition of an input with the pieces: for each position the arcs (end, piece) that start there."""
-        out, arcs, final = [], self.arcs, self.final
-        for at in range(len(text)):
-            found, state = [], 0
-            for stop in range(at, len(text)):
-                state = arcs[state].get(text[stop])
-                if state is None:
-                    break
-                k = final[state]
-                if k is not None:
-                    found.append((stop + 1, k))
-            if not found or found[0][0] > at + 1:
-                found.append((at + 1, -2 - ord(text[at])))
-            out.append(found)
-        return out
-
-    def shortest(self, text: str) -> list[int]:
-        """The pieces on the shortest path through the lattice of an input."""
-        if self.kind == BPE:
-            return self._accepted(text)
-        n = len(text)
-        last, back, weight = [None] * (n + 1), [0] * (n + 1), [0.0] + [INFINITE] * n
-        for at, own in enumerate(self.lattice(text)):
-            for stop, k in own:
-                cost = weight[at] + (self.unknown_cost if k < 0 else -self.scores[k])
-                if cost < weight[stop]:
-                    weight[stop], last[stop], back[stop] = cost, k, at
-        path, at = [], n
-        while at:
-            if last[at] is None:
-                raise ValueError("no path through the lattice")
-            path.append(last[at])
-            at = back[at]
-        return path[::-1]
-
-    def _accepted(self, text: str) -> list[int]:
-        """The one path of finite weight of a byte-pair model, found depth first.
-
-        Merging leaves one encoding of each prefix, so the product of the lattice with the acceptor has
-        at most one state of finite weight at a position, and a position that leads nowhere need not be
-        reached again. Longer pieces are tried first; most are right at once.
+    def accepts(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The acceptor: whether one piece may follow another (-1: the beginning)."""
+        codes = (left.astype(np.int64) + _OTHER << np.int64(23)) | right.astype(np.int64) + _OTHER
+        known = self.follows.get(codes)
+        if len(new := np.flatnonzero(known < 0)):
+            fresh, place = np.unique(codes[new], return_inverse=True)
+            label = self._label
+            made = np.array([self._joins(label(a), label(b)) for a, b in zip((fresh >> 23) - _OTHER, (fresh & ((1 << 23) - 1)) - _OTHER)], np.int32)
+            known[new] = made[place]
+            if self.follows.used > CACHE_NEIGHBOURS:
+                self.follows = _Table(16)
+            self.follows.put(fresh, made)
+        return known > 0
+
+    def lattice(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The composition of inputs with pieces and fallback: arcs (start, stop, piece, weight), by start, longer ones first.
+
+        ``codes``: the inputs' characters one after another; ``ends``: for each the end of its input. All
+        places walk down the trie in step. A character without a piece has the number -2 less its code.
         """
-        arcs, final, root, follows = self.arcs, self.final, self.arcs[0], self.follows
-        n, at, left = len(text), 0, -1
-        path: list[int] = []
-        trail: list[tuple[int, int, list[tuple[int, int]]]] = []
-        dead: set[int] = set()
-        ways: list[tuple[int, int]] | None = None
-        while at < n:
-            if ways is None:
-                state, stop = root.get(text[at]), at + 1
-                ways = [] if state is not None and final[state] is not None else [(stop, -2 - ord(text[at]))]
-                while state is not None:
-                    k = final[state]
-                    if k is not None:
-                        ways.append((stop, k))
-                    if stop == n:
-                        break
-                    state, stop = arcs[state].get(text[stop]), stop + 1
-            row = follows.get(left)
-            if row is None:
-                row = follows[left] = {}
-            while ways:
-                stop, k = ways.pop()
-                if stop in dead:
-                    continue
-                known = row.get(k)
-                if known is None:
-                    known = self._accepts(left, k)
-                    row = follows.setdefault(left, {})
-                if known:
-                    trail.append((at, left, ways))
-                    path.append(k)
-                    at, left, ways = stop, k, None
-                    break
+        own = self.classes[np.minimum(codes, len(self.classes) - 1)]
+        places, states, depth = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0
+        starts, stops, pieces = [], [], []
+        while len(places):
+            on = np.flatnonzero(places + depth < ends[places])
+            places, states = places[on], states[on]
+            states = self.arcs.get(states * self.width + own[places + depth]).astype(np.int64)
+            depth += 1
+            on = states >= 0
+            if depth == 1:
+                bare = np.flatnonzero(~on | (self.final[np.maximum(states, 0)] < 0))
+                starts, stops, pieces = [places[bare]], [places[bare] + 1], [-2 - codes[places[bare]].astype(np.int64)]
+            places, states = places[on], states[on]
+            read = self.final[states]
+            some = np.flatnonzero(read >= 0)
+            starts.append(places[some])
+            stops.append(places[some] + depth)
+            pieces.append(read[some].astype(np.int64))
+        start, stop, piece = np.concatenate(starts), np.concatenate(stops), np.concatenate(pieces)
+        order = np.argsort(start * np.int64(1 << 20) - stop + start, kind="stable")
+        start, stop, piece = start[order], stop[order], piece[order]
+        weight = np.where(piece >= 0, self.costs[np.maximum(piece, 0)] if len(self.costs) else 0.0, 1.0 if self.kind == BPE else self.unknown_cost)
+        return start, stop, piece, weight
+
+    def shortest(self, inputs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces on the shortest path of each input's lattice, one input after another, and their numbers.
+
+        Relaxation goes by position: all arcs that end at a position are settled before those that start
+        there are relaxed, for all inputs in step. A byte-pair model's state is an arc (position and last
+        piece); a unigram model's state is a position, so only its best arc goes on.
+        """
+        sizes = np.array([len(t) for t in inputs], np.int64)
+        codes = np.frombuffer("".join(inputs).encode("utf-32-le", "surrogatepass"), np.uint32)
+        last = np.cumsum(sizes)
+        begins = last - sizes
+        start, stop, piece, weight = self.lattice(codes, np.repeat(last, sizes))
+        out_first = np.searchsorted(start, np.arange(len(codes) + 1))
+        by_stop = np.argsort(stop, kind="stable")
+        in_first = np.searchsorted(stop[by_stop], np.arange(len(codes) + 2))
+        best, back = np.full(len(start), INFINITE), np.full(len(start), -1, np.int64)
+        falling = np.argsort(-sizes, kind="stable")
+        rising = -sizes[falling]
+        for step in range(int(sizes.max(initial=0))):
+            here = begins[falling[: np.searchsorted(rising, -step)]] + step
+            if step:
+                count = in_first[here + 1] - in_first[here]
+                before, at = by_stop[_ranges(in_first[here], count)], np.repeat(here, count)
+                live = np.isfinite(best[before])
+                before, at = before[live], at[live]
+                if self.kind != BPE:
+                    order = np.lexsort((start[before], best[before], at))
+                    before, at = before[order], at[order]
+                    first = np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]
+                    before, at = before[first], at[first]
             else:
-                dead.add(at)
-                if not trail:
-                    raise ValueError("no path through the lattice")
-                at, left, ways = trail.pop()
-                path.pop()
-        return path
-
-    def encode_stretch(self, text: str) -> list[int]:
-        out: list[int] = []
-        for k in self.shortest(text):
-            if k >= 0:
-                out.append(k)
-            elif self.fallback or not out or out[-1] != self.unknown:  # neighbouring unknowns are one piece
-                out += self._unknown_ids(chr(-2 - k))
+                before, at = np.full(len(here), -1), here
+            count = out_first[at + 1] - out_first[at]
+            after, before = _ranges(out_first[at], count), np.repeat(before, count)
+            far = (best[before] if step else 0.0) + weight[after]
+            if self.kind == BPE:
+                allowed = self.accepts(piece[before] if step else before, piece[after])
+                after, before, far = after[allowed], before[allowed], far[allowed]
+            if (at[1:] == at[:-1]).any():  # several states at a position: the least comes last, and stays
+                order = np.lexsort((-far, after))
+                after, before, far = after[order], before[order], far[order]
+            best[after], back[after] = far, before
+        count = in_first[last + 1] - in_first[last]
+        ending, own = by_stop[_ranges(in_first[last], count)], np.repeat(np.arange(len(inputs)), count)
+        order = np.lexsort((start[ending], best[ending], own))
+        ending, own = ending[order], own[order]
+        first = np.concatenate([[True], own[1:] != own[:-1]])[: len(own)]
+        now = ending[first]
+        if len(now) != len(inputs) or not np.isfinite(best[now]).all():
+            raise ValueError("no path through the lattice")
+        path, owner, live = [], [], np.arange(len(inputs))
+        while len(now):
+            path.append(piece[now])
+            owner.append(live)
+            now = back[now]
+            live, now = live[now >= 0], now[now >= 0]
+        path, owner = np.concatenate([np.zeros(0, np.int64), *path[::-1]]), np.concatenate([np.zeros(0, np.int64), *owner[::-1]])
+        return path[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(inputs))
+
+    def _shortest_alone(self, text: str) -> np.ndarray:
+        """``shortest`` of one long input, position by position; what all open paths share is written out now and then."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, reach = len(codes), max(map(len, self.ids), default=1)
+        open_: dict[int, list[tuple[float, int, int]]] = {0: [(0.0, -1, -1)]}  # weight, last piece, step into the trail
+        trail: list[tuple[int, int]] = []
+        accepted: dict[tuple[int, int], bool] = {}
+        done: list[np.ndarray] = []
+
+        def traced(step: int) -> list[int]:
+            out = []
+            while step >= 0:
+                out.append(step)
+                step = trail[step][1]
+            return out[::-1]
+
+        for lo in range(0, n, LATTICE_CHARS):
+            some = codes[lo : lo + LATTICE_CHARS + reach]
+            start, stop, piece, weight = self.lattice(some, np.full(len(some), len(some)))
+            cut = int(np.searchsorted(start, min(LATTICE_CHARS, n - lo)))
+            first = np.searchsorted(start[:cut], np.arange(min(LATTICE_CHARS, n - lo) + 1)).tolist()
+            stop, piece, weight = (stop[:cut] + lo).tolist(), piece[:cut].tolist(), weight[:cut].tolist()
+            if len(accepted) > CACHE_NEIGHBOURS:
+                accepted.clear()
+            for at in range(lo, min(lo + LATTICE_CHARS, n)):
+                states = open_.pop(at, ())
+                if self.kind != BPE and len(states) > 1:
+                    states = (min(states),)
+                for far, left, step in states:
+                    for arc in range(first[at - lo], first[at - lo + 1]):
+                        k = piece[arc]
+                        if self.kind == BPE:
+                            known = accepted.get((left, k))
+                            if known is None:
+                                known = accepted[left, k] = self._joins(self._label(left), self._label(k))
+                            if not known:
+                                continue
+                        trail.append((k, step))
+                        open_.setdefault(stop[arc], []).append((far + weight[arc], k, len(trail) - 1))
+            ways = [[traced(s[2]) for s in states] for states in open_.values()]
+            flat = [w for some in ways for w in some]
+            if not flat:
+                raise ValueError("no path through the lattice")
+            same = next((i for i, x in enumerate(zip(*flat)) if len(set(x)) > 1), min(map(len, flat)))
+            done.append(np.array([trail[s][0] for s in flat[0][:same]], np.int64))
+            kept: list[tuple[int, int]] = []
+            for states, some in zip(open_.values(), ways):
+                for i, way in enumerate(some):
+                    step = -1
+                    for s in way[same:]:
+                        kept.append((trail[s][0], step))
+                        step = len(kept) - 1
+                    states[i] = states[i][:2] + (step,)
+            trail = kept
+        if n not in open_:
+            raise ValueError("no path through the lattice")
+        done.append(np.array([trail[s][0] for s in traced(min(open_[n])[2])], np.int64))
+        return np.concatenate(done)
+
+    def _written(self, path: np.ndarray) -> bytes:
+        """The packed ids of a path: byte pieces for characters without one, or the unknown piece, once for neighbours."""
+        if (path < 0).any():
+            out: list[int] = []
+            for k in path.tolist():
+                if k >= 0:
+                    out.append(k)
+                elif self.fallback or not out or out[-1] != self.unknown:
+                    out += self._unknown_ids(chr(-2 - k))
+            path = np.array(out, np.int64)
+        return path.astype(self.packing).tobytes()
+
+    def _solve(self, stretches: list[str]) -> list[bytes]:
+        """The packed ids of some stretches; short ones are composed and relaxed together."""
+        out: list[bytes] = [b""] * len(stretches)
+        group, size = [], 0
+
+        def flush() -> None:
+            path, counts = self.shortest([stretches[k] for k in group])
+            packed, width = np.maximum(path, 0).astype(self.packing).tobytes(), np.dtype(self.packing).itemsize
+            stops = np.cumsum(counts)
+            for k, a, b in zip(group, ((stops - counts) * width).tolist(), (stops * width).tolist()):
+                out[k] = packed[a:b]
+            bare = np.unique(np.searchsorted(stops, np.flatnonzero(path < 0), "right"))
+            for i, a, b in zip(bare.tolist(), (stops - counts)[bare].tolist(), stops[bare].tolist()):
+                out[group[i]] = self._written(path[a:b])
+
+        for k, text in enumerate(stretches):
+            if len(text) > STEPS:
+                out[k] = self._written(self._shortest_alone(text))
+                continue
+            group.append(k)
+            size += len(text)
+            if size >= LATTICE_CHARS:
+                flush()
+                group, size = [], 0
+        if group:
+            flush()
         return out
 
-    def _packed(self, stretch: str) -> bytes:
-        made = self.older.get(stretch)
-        if made is None:
-            made = array(self.packing, self.encode_stretch(stretch)).tobytes()
-        if len(stretch) < 256:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache, self.older = {}, self.cache
-            self.cache[stretch] = made
-        return made
+    def _packed(self, stretches: list[str]) -> list[bytes]:
+        """The packed ids of distinct stretches, by the cache where it has them."""
+        found = list(map(self.cache.get, stretches))
+        if None in found:
+            missing = [k for k, x in enumerate(found) if x is None]
+            older = [self.older.get(stretches[k]) for k in missing]
+            unseen = [k for k, x in zip(missing, older) if x is None]
+            for k, x in zip(missing, older):
+                found[k] = x
+            for k, x in zip(unseen, self._solve([stretches[k] for k in unseen])):
+                found[k] = x
+            for k in missing:
+                if len(stretches[k]) < 256:
+                    if len(self.cache) >= CACHE_WORDS:
+                        self.cache, self.older = {}, self.cache
+                    self.cache[stretches[k]] = found[k]
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
-        stretches = self.stretch.findall(self.normalise(text))
-        found = list(map(self.cache.get, stretches))
-        if None in found:
-            found = [self._packed(s) if x is None else x for s, x in zip(stretches, found)]
-        return np.frombuffer(b"".join(found), self.packing)
+        return self.encode_all([text])[0]
+
+    def cuts(self, text: str) -> Iterator[str]:
+        """A text normalised, in cuts of about ``GROUP_CHARS`` at the beginning of white space, where no piece crosses it."""
+        text = self.normalise.rewritten(text)
+        lo = 0
+        while lo < len(text) or not lo:
+            hi = min(lo + GROUP_CHARS, len(text))
+            if hi < len(text) and self.split:
+                # Ahead of a run of white space (of a run that is cut, its beginning).
+                found = _BREAK.search(text, hi)
+                hi = found.start() + 1 if found else len(text)
+            else:
+                hi = len(text)
+            yield self.normalise.spaced(text[lo:hi], lo == 0, hi == len(text))
+            if hi == len(text):
+                return
+            lo = hi
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of several texts one after another, and the number of ids of each.
 
-        The same as ``encode`` of each; a stretch that occurs more than once is looked up once.
+        A stretch that occurs more than once is looked up once.
         """
-        raw = [self.normalise(t).replace(SPACE, " ").encode() for t in texts]
+        made, counts, group, owner, size = [], np.zeros(len(texts), np.int64), [], [], 0
+
+        def flush() -> None:
+            ids, own = self._encode_cuts(group)
+            made.append(ids)
+            np.add.at(counts, owner, own)
+
+        for k, text in enumerate(texts):
+            for cut in self.cuts(text):
+                group.append(cut)
+                owner.append(k)
+                size += len(cut)
+                if size >= GROUP_CHARS:
+                    flush()
+                    group, owner, size = [], [], 0
+        if group:
+            flush()
+        return np.concatenate([np.zeros(0, self.packing), *made]), counts
+
+    def _encode_cuts(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [t.replace(SPACE, " ").encode() for t in cuts]
         sizes = np.array([len(r) for r in raw], np.int64)
         whole = b"".join(raw)
         if not whole:
-            return np.zeros(0, self.packing), np.zeros(len(texts), np.int64)
+            return np.zeros(0, self.packing), np.zeros(len(cuts), np.int64)
         data, ends = np.frombuffer(whole, np.uint8), np.cumsum(sizes)
         begins = (ends - sizes)[sizes > 0]
         if self.split:
@@ -394,11 +621,9 @@ class Transducer:
         _, first, which = np.unique(codes, return_index=True, return_inverse=True)
         alike = at[first][which]
         if (long[first][which] != long).any() or (data[np.repeat(alike, long) + offset] != data).any():  # two stretches, one code
-            made = [self.encode(t) for t in texts]
-            return np.concatenate(made), np.array([len(m) for m in made], np.int64)
+            first = which = np.arange(len(at))
         stretches = [whole[a : a + n].decode().replace(" ", SPACE) for a, n in zip(at[first].tolist(), long[first].tolist())]
-        found = list(map(self.cache.get, stretches))
-        packed = [self._packed(s) if x is None else x for s, x in zip(stretches, found)]
+        packed = self._packed(stretches)
         ids = np.frombuffer(b"".join(packed), self.packing)
         counts = np.array([len(x) for x in packed], np.int64) // ids.itemsize
         flat, own = _gather(ids, np.cumsum(counts) - counts, counts, which)
@@ -417,9 +642,9 @@ class Transducer:
         stops = np.cumsum(counts)
         if special[ids].any():
             return [self.decode(ids[a:b]) for a, b in zip((stops - counts).tolist(), stops.tolist())]
-        flat, own = _gather(data, begins, sizes, ids)
-        total = np.concatenate([[0], np.cumsum(own)])
-        raw, out = flat.tobytes(), []
+        raw = b"".join([_gather(data, begins, sizes, ids[lo : lo + DECODE_IDS])[0].tobytes() for lo in range(0, len(ids), DECODE_IDS)])
+        total = np.concatenate([[0], np.cumsum(sizes[ids])])
+        out = []
         for a, b, k in zip(total[stops - counts].tolist(), total[stops].tolist(), counts.tolist()):
             if self.dummy and k and raw[a : a + 1] == b" ":
                 a += 1
@@ -470,6 +695,7 @@ def encoded(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "tex
 
     The model's file, of fixed size, goes out as a broadcast and is compiled once in a task.
     """
+    Transducer(model).verify()
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string, intact boolean"

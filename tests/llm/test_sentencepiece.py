@@ -31,6 +31,60 @@ def test_same_as_the_library(bpe):
         assert own.decode(ids) == library.decode(ids.tolist())
 
 
+def test_a_path_through_the_lattice_is_the_encoding(bpe):
+    """The arcs of a word's lattice, their weights, and what the acceptor leaves of them."""
+    own, library = bpe
+    text = own.normalise("unrelated")
+    codes = P.np.frombuffer(text.encode("utf-32-le"), P.np.uint32)
+    start, stop, piece, weight = own.lattice(codes, P.np.full(len(codes), len(codes)))
+    spans = {(a, b) for a in range(len(text)) for b in range(a + 1, len(text) + 1) if text[a:b] in own.ids}
+    assert set(zip(start.tolist(), stop.tolist())) == spans and len(start) == len(spans) > len(text)
+    assert (weight == 1).all() and all(own.pieces[k] == text[a:b] for a, b, k in zip(start, stop, piece))
+
+    def paths(at, left):
+        if at == len(text):
+            return [[]]
+        return [[k, *rest] for a, b, k in zip(start.tolist(), stop.tolist(), piece.tolist()) if a == at and own.accepts(P.np.array([left]), P.np.array([k]))[0] for rest in paths(b, k)]
+
+    assert paths(0, -1) == [library.encode("unrelated")] == [own.shortest([text])[0].tolist()]
+
+
+def test_long_inputs(bpe, monkeypatch):
+    """Cut at white space, or relaxed alone with the shared part written out: the same ids."""
+    own, library = bpe
+    monkeypatch.setattr(P, "GROUP_CHARS", 50)
+    monkeypatch.setattr(P, "LATTICE_CHARS", 40)
+    monkeypatch.setattr(P, "DECODE_IDS", 7)
+    draw = random.Random(3)
+    for t in [*texts(200, 4), " ".join(texts(60, 5)), "".join(draw.choice("abcdefgh漢é") for _ in range(3000)), " " * 300, "z" * 500, "  a  ".join(texts(30, 6))]:
+        own.cache, own.older = {}, {}
+        ids = own.encode(t)
+        assert ids.tolist() == library.encode(t), t
+        assert own.decode_all(ids, P.np.array([len(ids)])) == [library.decode(ids.tolist())]
+
+
+def test_memory_of_a_long_text(bpe):
+    import tracemalloc
+
+    own = bpe[0]
+    text = " ".join(texts(400_000, 7))
+    tracemalloc.start()
+    ids, counts = own.encode_all([text])
+    own.decode_all(ids, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 + 16 * len(text.encode())
+
+
+def test_merges_out_of_order_are_refused():
+    model = message(1, 2, message(1, 2, b"<unk>") + message(3, 0, b"\x02"))
+    for p, s in {"a": -9.0, "b": -9.0, "c": -9.0, "ab": -5.0, "abc": -1.0}.items():
+        model += message(1, 2, message(1, 2, p.encode()) + message(2, 5, struct.pack("<f", s)))
+    model += message(2, 2, message(3, 0, b"\x02"))
+    with pytest.raises(ValueError, match="fall in score"):
+        P.Transducer(model).verify()
+
+
 def message(number, kind, value):
     return bytes([number << 3 | kind]) + (bytes([len(value)]) + value if kind == 2 else value)
 
