@@ -14,13 +14,15 @@ in step, as matrices; entries of one batch see each other through an exact searc
 beam of ``EF`` entries. Shard results are merged by exact distance and id.
 
 Distances of results are Euclidean in double precision on the original vectors. The graph itself is
-walked in single precision.
+walked on vectors less the shard's median, scaled to at most 1, by sums of squared differences: in
+single precision, or in double where components differ too much in size for that.
 
 Nulls: a row whose vector is null, zero, or holds null or non-finite components takes no part,
 neither as a query nor as a candidate, nor does a row without an id. Vectors of other lengths than the
-most common one are an error of the data and raise. Repeated rows with one id count once. Empty
-tables give empty results; other columns are ignored. With fewer candidates than asked for, all
-are returned: shards of at most ``EF`` entries are searched whole.
+most common one are an error of the data and raise. Repeated rows with one id count once; an id with
+several different vectors is as far as the nearest of them, be it asked for or found. Empty tables
+give empty results; other columns are ignored. With fewer candidates than asked for, all are
+returned: shards of at most ``EF`` entries are searched whole.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from .common import stored, to_arrow
 SHARD_ENTRIES = 16_384
 LINKS, BUILD_EF, EF = 16, 80, 160
 QUERY_BATCH = 256
+#: One task searches at most so many shards, some 16 MB each at 64 dimensions.
+MOST_TOGETHER = 8
 #: An entry goes up a level with this chance.
 UP = 1 / LINKS
 
@@ -48,12 +52,38 @@ def usable(vector: str = "embedding") -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
+def scaling(vectors: np.ndarray) -> tuple[np.ndarray, float, float, type]:
+    """Of a shard: a first scale, the middle on that scale, the scale of what differs from it, and the precision that will do.
+
+    Scales are powers of two, so they round nothing.
+    """
+    if not vectors.size:
+        return np.zeros(vectors.shape[1:]), 1.0, 1.0, np.float32
+    whole = 2.0 ** -np.ceil(np.log2(max(np.abs(vectors).max(), 2.0**-1000)) + 1)
+    scaled = vectors * whole
+    middle = np.partition(scaled, len(scaled) // 2, axis=0)[len(scaled) // 2]
+    off = np.abs(scaled - middle)
+    most = max(off.max(), 2.0**-1000)
+    inner = float(2.0 ** -np.ceil(np.log2(most)))
+    spread = np.median(off.max(axis=1)) if len(off) > 1 else most
+    return middle, whole, inner, np.float32 if spread > most * 2.0**-10 else np.float64
+
+
+def euclid(off: np.ndarray) -> np.ndarray:
+    """Lengths of rows; scaled where squares would leave the range of doubles."""
+    most = np.abs(off).max(initial=0.0)
+    if 1e-140 < most < 1e150 or not most:
+        return np.sqrt((off**2).sum(axis=1))
+    scale = 2.0 ** np.floor(np.log2(np.maximum(np.abs(off).max(axis=1), 2.0**-1000)))
+    return np.sqrt(((off / scale[:, None]) ** 2).sum(axis=1)) * scale
+
+
 class Graph:
     """The graph of one shard: levels of entries with neighbour matrices."""
 
     def __init__(self, vectors: np.ndarray, levels: np.ndarray):
-        self.vectors = np.ascontiguousarray(vectors, np.float32)
-        self.norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        self.middle, self.whole, self.inner, self.kind = scaling(vectors)
+        self.vectors = self.placed(vectors)
         self.levels = levels
         self.top = int(levels.max(initial=0))
         n = len(vectors)
@@ -61,18 +91,28 @@ class Graph:
         self.near = [np.full((n, w), -1, np.int32) for w in self.width]
         self.entry = -1
 
+    def placed(self, points: np.ndarray) -> np.ndarray:
+        """Points as the graph measures them; a query far outside is brought to its edge, where all entries are alike far."""
+        made = (np.asarray(points, np.float64) * self.whole - self.middle) * self.inner
+        most = np.abs(made).max(axis=1, initial=1.0)
+        with np.errstate(invalid="ignore"):
+            made = np.where(np.isfinite(most)[:, None], made / np.maximum(most / 2.0**40, 1.0)[:, None], 0.0)
+        return np.ascontiguousarray(made, self.kind)
+
     # Distances are squared; rows of ``points`` are queries.
-    def _far(self, points: np.ndarray, norms: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _far(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of each query to its own row of entries."""
-        return self.norms[at] + norms[:, None] - 2 * np.einsum("bmd,bd->bm", self.vectors[at], points)
+        off = self.vectors[at]
+        off -= points[:, None]
+        return np.einsum("bmd,bmd->bm", off, off)
 
-    def _descend(self, points: np.ndarray, norms: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
+    def _descend(self, points: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
         """The local nearest entry on a level, for all queries in step."""
-        best = self._far(points, norms, at[:, None])[:, 0]
+        best = self._far(points, at[:, None])[:, 0]
         live = np.arange(len(points))
         while len(live):
             around = self.near[level][at[live]]
-            far = np.where(around >= 0, self._far(points[live], norms[live], np.maximum(around, 0)), np.inf)
+            far = np.where(around >= 0, self._far(points[live], np.maximum(around, 0)), np.inf)
             k = far.argmin(axis=1)
             least = far[np.arange(len(live)), k]
             better = least < best[live]
@@ -80,14 +120,14 @@ class Graph:
             best[live], at[live] = least[better], around[better, k[better]]
         return at
 
-    def _beam(self, points: np.ndarray, norms: np.ndarray, start: np.ndarray, level: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    def _beam(self, points: np.ndarray, start: np.ndarray, level: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``ef`` best entries that each query reaches, nearest first: entries (-1: none) and distances."""
         b, n = len(points), len(self.vectors)
         rows = np.arange(b)
         seen = np.zeros((b, n), bool)
-        ids, far = np.full((b, ef), -1, np.int32), np.full((b, ef), np.inf, np.float32)
+        ids, far = np.full((b, ef), -1, np.int32), np.full((b, ef), np.inf, self.kind)
         done = np.ones((b, ef), bool)
-        ids[:, 0], far[:, 0], done[:, 0] = start, self._far(points, norms, start[:, None])[:, 0], False
+        ids[:, 0], far[:, 0], done[:, 0] = start, self._far(points, start[:, None])[:, 0], False
         seen[rows, start] = True
         live = rows
         while len(live):
@@ -114,7 +154,7 @@ class Graph:
                 continue
             packed = np.full((len(live), most), -1, np.int32)
             packed[r, (np.cumsum(fresh, axis=1) - 1)[r, c]] = around[r, c]
-            new = np.where(packed >= 0, self._far(points[live], norms[live], np.maximum(packed, 0)), np.inf).astype(np.float32)
+            new = np.where(packed >= 0, self._far(points[live], np.maximum(packed, 0)), np.inf).astype(self.kind)
             all_ids, all_far = np.concatenate([ids[live], packed], axis=1), np.concatenate([far[live], new], axis=1)
             all_done = np.concatenate([done[live], packed < 0], axis=1)
             keep = np.argpartition(all_far, ef - 1, axis=1)[:, :ef]
@@ -126,10 +166,9 @@ class Graph:
         """Of each row of candidates, nearest first, those nearer to the owner than to any chosen before."""
         b, m = ids.shape
         out, count = np.full((b, width), -1, np.int32), np.zeros(b, np.int64)
-        spread = np.full((b, m), np.inf, np.float32)  # of each candidate to the nearest chosen one
+        spread = np.full((b, m), np.inf, self.kind)  # of each candidate to the nearest chosen one
         rows = np.arange(b)
         vectors = self.vectors[np.maximum(ids, 0)]
-        norms = self.norms[np.maximum(ids, 0)]
         for k in range(m):
             good = (ids[:, k] >= 0) & (far[:, k] < spread[:, k]) & (count < width) & (ids[:, k] != owner)
             r = rows[good]
@@ -137,8 +176,9 @@ class Graph:
                 continue
             out[r, count[r]] = ids[r, k]
             count[r] += 1
-            to = norms[r] + norms[r, k][:, None] - 2 * np.einsum("bmd,bd->bm", vectors[r], vectors[r, k])
-            spread[r] = np.minimum(spread[r], to)
+            off = vectors[r]
+            off -= vectors[r, k][:, None]
+            spread[r] = np.minimum(spread[r], np.einsum("bmd,bmd->bm", off, off))
         # Free places go to the nearest of those passed over.
         for k in range(m):
             r = rows[(ids[:, k] >= 0) & (count < np.minimum(width, LINKS)) & (ids[:, k] != owner)]
@@ -160,18 +200,18 @@ class Graph:
             at += len(batch)
 
     def _insert(self, batch: np.ndarray) -> None:
-        points, norms = self.vectors[batch], self.norms[batch]
+        points = self.vectors[batch]
         start = np.full(len(batch), self.entry)
-        inner = norms[:, None] + norms[None] - 2 * points @ points.T
+        inner = np.concatenate([self._far(points[lo : lo + 32], np.broadcast_to(batch, (len(points[lo : lo + 32]), len(batch)))) for lo in range(0, len(batch), 32)])
         np.fill_diagonal(inner, np.inf)
         for level in range(self.top, -1, -1):
             here = np.flatnonzero(self.levels[batch] >= level)
             above = np.flatnonzero(self.levels[batch] < level)
             if len(above):
-                start[above] = self._descend(points[above], norms[above], start[above], level)
+                start[above] = self._descend(points[above], start[above], level)
             if not len(here):
                 continue
-            ids, far = self._beam(points[here], norms[here], start[here], level, BUILD_EF)
+            ids, far = self._beam(points[here], start[here], level, BUILD_EF)
             start[here] = ids[:, 0]
             mates = inner[np.ix_(here, here)]
             k = min(2 * LINKS, len(here) - 1)
@@ -204,7 +244,7 @@ class Graph:
             wide[rows, width + offset] = by[np.repeat(f, s) + offset]
             wide.sort(axis=1)
             wide[:, 1:][wide[:, 1:] == wide[:, :-1]] = -1
-            far = np.where(wide >= 0, self._far(self.vectors[t], self.norms[t], np.maximum(wide, 0)), np.inf)
+            far = np.where(wide >= 0, self._far(self.vectors[t], np.maximum(wide, 0)), np.inf)
             by_far = far.argsort(axis=1)
             wide, far = np.take_along_axis(wide, by_far, 1), np.take_along_axis(far, by_far, 1)
             full = (wide >= 0).sum(axis=1) > width
@@ -214,17 +254,16 @@ class Graph:
             self.near[level][t] = made
 
     def search(self, points: np.ndarray, k: int, ef: int = EF) -> np.ndarray:
-        """Entries, nearest first in single precision; all of them where the graph has at most ``ef``."""
-        points = np.ascontiguousarray(points, np.float32)
+        """Entries, nearest first as the graph measures; all of them where it has at most ``ef``."""
         n = len(self.vectors)
         if n <= max(ef, k):
             return np.broadcast_to(np.arange(n, dtype=np.int32), (len(points), n))
-        norms = np.einsum("ij,ij->i", points, points)
+        points = self.placed(points)
         at = np.full(len(points), self.entry)
         for level in range(self.top, 0, -1):
-            at = self._descend(points, norms, at, level)
+            at = self._descend(points, at, level)
         # More than k, since single precision may order close ones otherwise.
-        return self._beam(points, norms, at, 0, max(ef, k))[0][:, : k + 16]
+        return self._beam(points, at, 0, max(ef, k))[0][:, : k + 16]
 
     def flat(self) -> bytes:
         """Levels one after another as flat arrays; entries without links on a level are left out."""
@@ -310,38 +349,38 @@ def build_index(rows: DataFrame, key: str = "vec_id", vector: str = "embedding",
             yield flush()
 
     coded = distinct.withColumn("code", F.xxhash64("v")).withColumn("shard", F.pmod(F.xxhash64("code", F.lit(7)), F.lit(shards)).cast("int"))
-    dealt = coded.repartition(shards, "shard").sortWithinPartitions("shard", "code", "v").select("shard", "v", "ids", "code")
+    dealt = coded.repartitionById(shards, "shard").sortWithinPartitions("shard", "code", "v").select("shard", "v", "ids", "code")
     return stored(dealt.mapInArrow(run, schema), "index")
 
 
 def search_index(index: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, ef: int = EF) -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` nearest found of each query but itself."""
-    shards = [r.shard for r in index.select("shard").collect()]  # one number per ``SHARD_ENTRIES`` vectors
+    spark = index.sparkSession
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    # Shards that one task searches, so that a query's vector is sent once for all of them.
+    together = max(1, min(MOST_TOGETHER, shards // (2 * spark.sparkContext.defaultParallelism)))
+    tasks = -(-shards // together)
     schema = "query_id long, vec_id long, score double"
     arrow = to_arrow(index, schema)
     asked = queries.filter(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("query_id"), F.transform(F.col(vector), lambda x: x.cast("double") + F.lit(0.0)).alias("v")).distinct()
     nothing = F.lit(None)
-    left = index.select("shard", F.lit(0).alias("kind"), "vectors", "ids", "counts", "graph", nothing.cast("long").alias("query_id"), nothing.cast("array<double>").alias("v"))
-    right = asked.select(F.explode(F.array(*(F.lit(s) for s in shards)) if shards else F.array().cast("array<int>")).alias("shard"), F.lit(1).alias("kind"), *(nothing.cast("binary").alias(c) for c in ("vectors", "ids", "counts", "graph")), "query_id", "v")
-    both = left.unionByName(right).repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "kind", "query_id")
+    left = index.select(F.floor(F.col("shard") / together).cast("int").alias("task"), F.lit(0).alias("kind"), "vectors", "ids", "counts", "graph", nothing.cast("long").alias("query_id"), nothing.cast("array<double>").alias("v"))
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(1).alias("kind"), *(nothing.cast("binary").alias(c) for c in ("vectors", "ids", "counts", "graph")), "query_id", "v")
+    both = left.unionByName(right).repartitionById(tasks, "task").sortWithinPartitions("kind", "query_id").select("kind", "vectors", "ids", "counts", "graph", "query_id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
+        held: list[dict] = []
         for batch in batches:
-            kind, shard = np.asarray(batch.column("kind")), np.asarray(batch.column("shard"))
-            cuts = sorted({0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)})
-            for a, b in zip(cuts, cuts[1:]):
-                part = batch.slice(a, b - a)
-                if b > a and kind[a] == 0:
-                    state = _loaded(part)
-                    continue
-                for lo in range(0, b - a, QUERY_BATCH):
-                    some = part.slice(lo, QUERY_BATCH)
-                    points, own = _vectors(some.column("v"), np.float64), np.asarray(some.column("query_id"))
+            cut = int(np.searchsorted(np.asarray(batch.column("kind")), 1))  # a task's shards come ahead of its queries
+            held += [_loaded(batch.slice(i, 1)) for i in range(cut)]
+            for lo in range(cut, batch.num_rows, QUERY_BATCH):
+                some = batch.slice(lo, QUERY_BATCH)
+                points, own = _vectors(some.column("v"), np.float64), np.asarray(some.column("query_id"))
+                for state in held:
                     q, ids, far = _nearest(state, points, own, k, ef)
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids), pa.array(far)], schema=arrow)
 
-    found = both.mapInArrow(run, schema)
+    found = both.mapInArrow(run, schema).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -358,17 +397,17 @@ def _nearest(state: dict, points: np.ndarray, own: np.ndarray, k: int, ef: int)
     qs, ids, far = [], [], []
     for query, point, entries_ in zip(own.tolist(), points, found):
         entries_ = entries_[entries_ >= 0]
-        exact = np.sqrt(((state["vectors"][entries_] - point) ** 2).sum(axis=1))
+        exact = euclid(state["vectors"][entries_] - point)
         order = np.argsort(exact, kind="stable")
-        rows = []
+        nearest: dict[int, float] = {}  # an id comes first with the nearest of its vectors
         for e in order.tolist():
-            for i in state["ids"][state["begins"][entries_[e]] : state["begins"][entries_[e] + 1]].tolist():
-                if i != query:
-                    rows.append((exact[e], i))
             # Entries at one distance are read through before the count is taken.
-            if len(rows) >= k and e != order[-1] and exact[e] > (sorted(rows)[k - 1][0]):
+            if len(nearest) >= k and exact[e] > sorted(nearest.values())[k - 1]:
                 break
-        rows = sorted(rows)[:k]
+            for i in state["ids"][state["begins"][entries_[e]] : state["begins"][entries_[e] + 1]].tolist():
+                if i != query:
+                    nearest.setdefault(i, exact[e])
+        rows = sorted((x, i) for i, x in nearest.items())[:k]
         qs += [query] * len(rows)
         ids += [i for _, i in rows]
         far += [x for x, _ in rows]
