@@ -3,8 +3,10 @@
 ``write_stream`` packs bytes into a well-formed MPEG-1 Layer III stream: an ID3v2 tag, a
 variable-bitrate (Xing) frame with a seek table, then silent frames that carry the bytes behind
 their empty side information. ``parse_stream`` reads any such stream: it skips tags, resynchronises
-on frame headers, reads Xing tables, verifies checksums and gives the exact duration (samples and
-rate) and the byte offset of each frame.
+on frame headers, reads Xing and VBRI tables and the encoder's delay, verifies the checksums of all three
+layers and gives the exact duration (samples, those without delay and padding, and rate) and the byte
+offset of each frame. A tag counts only if it ends inside the data and the end, another tag or a frame
+follows it; what is neither tag nor frame is counted as skipped.
 
 Nulls and empty texts give a stream of one 64-byte payload of zeros. Repeated rows give repeated
 results; an empty table gives an empty one; other columns are ignored. A stream of ``n`` payload
@@ -58,6 +60,16 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return value
 
 
+def crc16_bits(data: bytes, bits: int, value: int = 0xFFFF) -> int:
+    """Of the first bits of some bytes, high bit first."""
+    for byte in data[: bits >> 3]:
+        value = (value << 8 & 0xFFFF) ^ int(CRC16[(value >> 8) ^ byte])
+    for k in range(bits & 7):
+        top = (value >> 15) ^ (data[bits >> 3] >> (7 - k) & 1)
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return value
+
+
 @dataclass(frozen=True)
 class Header:
     version: int  # 1, 2 or 3 for 2.5
@@ -68,6 +80,7 @@ class Header:
     mono: bool
     length: int
     samples: int
+    joint: int = -1  # of joint stereo the mode extension, else -1
 
     @property
     def side(self) -> int:
@@ -75,6 +88,40 @@ class Header:
         return ((17 if self.mono else 32) if self.version == 1 else (9 if self.mono else 17)) if self.layer == 3 else 0
 
 
+# Fixed values of the format: of Layer II's tables of allocations the widths of their fields, as (width, subbands).
+LAYER2_A = ((4, 11), (3, 12), (2, 4))
+LAYER2_B = ((4, 11), (3, 12), (2, 7))
+LAYER2_C = ((4, 2), (3, 6))
+LAYER2_D = ((4, 2), (3, 10))
+LAYER2_LOW = ((4, 4), (3, 7), (2, 19))
+
+
+def _layer2_widths(head: Header) -> list[int]:
+    each = head.kbits // (1 if head.mono else 2)
+    if head.version > 1:
+        table = LAYER2_LOW
+    elif each < 56:
+        table = LAYER2_D if head.rate == 32000 else LAYER2_C
+    else:
+        table = LAYER2_A if head.rate == 48000 or each <= 80 else LAYER2_B
+    return [width for width, n in table for _ in range(n)]
+
+
+def covered_bits(head: Header, body: bytes) -> int:
+    """Bits behind the checksum that it covers, in a frame of Layer I or II: allocations, and in Layer II the selectors too."""
+    channels = 1 if head.mono else 2
+    widths = [4] * 32 if head.layer == 1 else _layer2_widths(head)
+    bound = min(4 * head.joint + 4, len(widths)) if head.joint >= 0 else len(widths)
+    bits = selectors = 0
+    whole = int.from_bytes(body[:64].ljust(64, b"\0"), "big")
+    for k, width in enumerate(widths):
+        for _ in range(channels if k < bound else 1):
+            used = whole >> (512 - bits - width) & ((1 << width) - 1)
+            bits += width
+            selectors += 2 * (channels if k >= bound else 1) * bool(used)
+    return bits + (selectors if head.layer == 2 else 0)
+
+
 _HEADERS: dict[bytes, Header | None] = {}
 
 
@@ -96,7 +143,7 @@ def parse_header(four: bytes) -> Header | None:
             samples = 384 if layer == 1 else 576 if layer == 3 and version > 1 else 1152
             pad = four[2] >> 1 & 1
             length = (samples // 32 * kbits * 1000 // rate + pad) * 4 if layer == 1 else samples // 8 * kbits * 1000 // rate + pad
-            out = Header(version, layer, not four[1] & 1, kbits, rate, four[3] >> 6 == 3, length, samples)
+            out = Header(version, layer, not four[1] & 1, kbits, rate, four[3] >> 6 == 3, length, samples, four[3] >> 4 & 3 if four[3] >> 6 == 1 else -1)
     if len(_HEADERS) < 100_000:
         _HEADERS[four] = out
     return out
@@ -152,9 +199,13 @@ class Stream:
     skipped: int = 0  # bytes outside tags and frames
     checksums: int = 0
     bad_checksums: int = 0
+    delay: int = 0  # samples ahead of the sound and behind it, if the encoder says so
+    padding: int = 0
+    table: str | None = None  # Xing, Info or VBRI
     table_frames: int | None = None  # what the variable-bitrate table says
     table_bytes: int | None = None
     toc: bytes | None = None
+    seek_points: list[tuple[int, int]] = field(default_factory=list)  # of a VBRI table: frames ahead, and byte offset
     table_at: int | None = None
     audio_bytes: int = 0
 
@@ -162,18 +213,33 @@ class Stream:
     def seconds(self) -> float:
         return self.samples / self.rate if self.rate else 0.0
 
+    @property
+    def sounding(self) -> int:
+        """Samples without the encoder's delay and padding."""
+        return max(0, self.samples - self.delay - self.padding)
 
-def _tag_size(data: bytes, at: int) -> int:
-    if data[at : at + 3] == b"ID3" and len(data) >= at + 10 and max(data[at + 6 : at + 10]) < 128:
-        size = 0
+
+def _tag_said(data: bytes, at: int) -> int:
+    """The size that a tag at a place gives itself; 0 if there is none or it ends outside the data."""
+    size = 0
+    if data[at : at + 3] == b"ID3" and len(data) >= at + 10 and max(data[at + 6 : at + 10]) < 128 and 255 not in data[at + 3 : at + 5]:
         for b in data[at + 6 : at + 10]:
             size = size << 7 | b
-        return 10 + size + 10 * bool(data[at + 5] & 16)
-    if data[at : at + 3] == b"TAG" and len(data) == at + 128:
-        return 128
-    if data[at : at + 8] == b"APETAGEX" and len(data) >= at + 32:
-        return struct.unpack_from("<I", data, at + 12)[0] + 32
-    return 0
+        size += 10 + 10 * bool(data[at + 5] & 16)
+    elif data[at : at + 3] == b"TAG" and len(data) == at + 128:
+        size = 128
+    elif data[at : at + 8] == b"APETAGEX" and len(data) >= at + 32:
+        size = struct.unpack_from("<I", data, at + 12)[0] + 32
+    return size if at + size <= len(data) else 0
+
+
+def _tag_size(data: bytes, at: int) -> int:
+    """The size of a tag at a place, if the end, another tag or a frame follows it."""
+    size = _tag_said(data, at)
+    end = at + size
+    while size and data[end : end + 1] == b"\0" and not at:  # the first tag may be padded
+        end += 1
+    return end - at if size and (end == len(data) or _tag_said(data, end) or parse_header(data[end : end + 4])) else 0
 
 
 def _tag_frames(tag: bytes) -> dict[str, bytes]:
@@ -226,7 +292,8 @@ def parse_stream(data: bytes) -> Stream:
         broken = False
         first, head = head is None, now
         lead = at + 4 + now.side
-        if first and data[lead : lead + 4] in (b"Xing", b"Info"):
+        if first and now.layer == 3 and data[lead : lead + 4] in (b"Xing", b"Info"):
+            out.table = data[lead : lead + 4].decode()
             flags, lead = struct.unpack_from(">I", data, lead + 4)[0], lead + 8
             out.table_at = at
             for bit, width in ((1, 4), (2, 4), (4, 100), (8, 4)):
@@ -239,9 +306,24 @@ def parse_stream(data: bytes) -> Stream:
                     elif bit == 4:
                         out.toc = value
                     lead += width
+            if data[lead : lead + 4] in (b"LAME", b"Lavc", b"Lavf") and lead + 24 <= at + now.length:
+                both = int.from_bytes(data[lead + 21 : lead + 24], "big")
+                out.delay, out.padding = both >> 12, both & 0xFFF
+        elif first and now.layer == 3 and data[at + 36 : at + 40] == b"VBRI" and now.length >= 62:
+            out.table, out.table_at = "VBRI", at
+            _, out.delay, _, out.table_bytes, out.table_frames, entries, scale, width, step = struct.unpack_from(">HHHIIHHHH", data, at + 40)
+            raw = data[at + 62 : min(at + 62 + entries * width, at + now.length)]
+            if 0 < width <= 4 and len(raw) == entries * width:
+                sizes = [int.from_bytes(raw[k : k + width], "big") * scale for k in range(0, len(raw), width)]
+                out.seek_points = [(k * step, at + int(x)) for k, x in enumerate(np.cumsum([now.length, *sizes])[:-1])]
         else:
-            if now.protected and now.side:
+            if now.protected and now.layer == 3:
                 protected.setdefault(now.side, []).append(at)
+            elif now.protected:
+                bits = covered_bits(now, data[at + 6 : at + now.length])
+                good = crc16_bits(data[at + 6 : at + now.length], bits, crc16_bits(data[at + 2 : at + 4], 16)) == int.from_bytes(data[at + 4 : at + 6], "big")
+                out.checksums += 1
+                out.bad_checksums += not good
             out.offsets.append(at)
             out.headers.append(now)
             out.samples += now.samples
