@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh as scratch
 from ..storage import shared_dir, stored
 
 __all__ = ["open_shared", "row_map", "scratch", "shared_dir", "slices", "stored", "table", "to_arrow", "unused", "utf8"]
@@ -22,11 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/fieldtree/{uuid.uuid4().hex}/{name}"
-
-
 def utf8(text: str | Column) -> Column:
     """Whole text as UTF-8 bytes; null counts as empty."""
     return F.encode(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "UTF-8")

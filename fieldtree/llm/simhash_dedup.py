@@ -17,9 +17,17 @@ a spanning forest of its links, at most one row per fingerprint. A bucket of mor
 ``BUCKET_ROWS`` fingerprints is cut into blocks, and each pair of blocks is a bucket of its own.
 Connected components over these rows are the duplicate groups.
 
+*Similarity* (``similar``). Fingerprints within a few bits are nearly always similar texts, but the reverse
+doesn't hold: shingle sets of Jaccard similarity 0.8 differ in 10 of 64 bits on average and in up to 17,
+and at that radius the pigeonhole search compares a fixed share of all pairs. So the search gives
+candidates, which are checked on whole sets, and similar texts that are further apart come from the
+prefixes of their sets, without loss (``shingle_sets``). Groups that the search has found are not compared
+within themselves again.
+
 Nulls: a null text has no words; a null id is never the least of its group unless all are null.
 Repeated ids and rows stay, with equal results. Empty tables give empty results; other columns are
-ignored (``near_duplicates_removed`` keeps them).
+ignored (``near_duplicates_removed`` and ``similar_removed`` keep them). Long texts are taken in pieces
+of a megabyte; beyond the text, a set takes eight bytes a word.
 """
 
 from __future__ import annotations
@@ -28,14 +36,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, to_arrow, unused, utf8
+from .common import row_map, slices, stored, to_arrow, unused, utf8
 from .components import components
+from .shingle_sets import as_set, digest, filed, frequent, large_links, parity, possible, prefix, shingles, small_pairs, star_pairs, verified
 
-BITS, SEED = 64, 42
+BITS = 64
 #: Largest radius and finest histogram that thresholds are planned with.
 WIDEST, HISTOGRAM_BITS = 3, 16
 BUCKET_ROWS = 1 << 14
@@ -43,22 +51,19 @@ BUCKET_ROWS = 1 << 14
 ROW_COST, PAIR_COST = 4000, 8
 
 
+def majority(hashes: Iterator[np.ndarray] | list[np.ndarray]) -> int:
+    """The bits that are set in more than half of some hashes, unsigned."""
+    counts, total = np.zeros(BITS, np.int64), 0
+    for some in hashes:
+        total += len(some)
+        for lo in range(0, len(some), 1 << 14):
+            counts += np.unpackbits(some[lo : lo + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int((np.uint64(1) << np.flatnonzero(counts * 2 > total).astype(np.uint64)).sum())
+
+
 def fingerprint(text: bytes, words: int) -> int:
     """Of one text, unsigned."""
-    found = text.lower().split()
-    if not found:
-        return 0
-    if len(found) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(found), SEED)
-    whole = b" ".join(found)
-    ends = np.cumsum([len(w) + 1 for w in found])
-    starts = (ends - [len(w) + 1 for w in found])[: len(found) - words + 1]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(whole[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words - 1 :] - 1).tolist())], np.uint64)
-    counts = np.zeros(BITS, np.int64)
-    for lo in range(0, len(hashes), 1 << 14):
-        counts += np.unpackbits(hashes[lo : lo + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int((np.uint64(1) << np.flatnonzero(counts * 2 > len(hashes)).astype(np.uint64)).sum())
+    return majority(shingles(text, words))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
@@ -204,11 +209,23 @@ def plan(prints: DataFrame, limit: int) -> Plan | None:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some), pa.array(total[some])], names=["part", "value", "n"])
 
+    share = np.diag(together) / count
+    alike = share**2 + (1 - share) ** 2
     near = [np.zeros(1 << min(len(b), HISTOGRAM_BITS), np.int64) for b in parts]
     summed = prints.mapInArrow(run, "part int, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toPandas()
     for k, own in summed.groupby("part"):
         near[k][own["value"]] = own["n"]
-    return Plan(parts, [within(h, WIDEST) for h in near], limit)
+    return Plan(parts, [unseen(within(h, WIDEST), alike[b[HISTOGRAM_BITS:]]) for h, b in zip(near, parts)], limit)
+
+
+def unseen(near: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """``within`` for wider parts: of the bits beyond the histogram, each equal with its own chance, some may differ."""
+    chance = np.zeros(len(near))
+    chance[0] = 1
+    for share in alike:
+        chance = chance * share + np.concatenate([[0], chance[:-1]]) * (1 - share)
+    shells = np.diff(near, axis=0, prepend=0)
+    return np.stack([sum(shells[k] * chance[: r - k + 1].sum() for k in range(r + 1)) for r in range(len(near))])
 
 
 def flips(width: int, radius: int) -> np.ndarray:
@@ -371,36 +388,98 @@ def hex_print(fp: str = "fp"):
 
 
 def near_duplicates_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, limit: int = 4) -> DataFrame:
-    """``docs`` without the rows of a duplicate group but one, that of the least id.
+    """``docs`` without the rows of a duplicate group but one (``_removed``)."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("payload")).withColumn("mark", F.unhex(F.md5("payload")))
+    made = stored(row_map(rows, "doc_id long, mark binary, fp long", lambda i, m, t: (i, m, _signed(fingerprint(t, words))), ["doc_id", "mark", "payload"]), "fingerprints")
+    classes = stored(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    return _removed(docs, _components_of(made, classes, components(links(classes.select("fp"), limit)), "fp", "fp"), key, text)
 
-    Of rows that repeat that id one stays; which one is not defined. A row without an id stays if its
-    group has no id at all, since nothing tells which to keep.
-    """
-    kept_, of_ = unused(docs, "kept", "of")
-    named = stored(near_duplicates(docs, key, text, words, limit).select("doc_id", "component_id"), "groups")
-    least = named.filter("doc_id = component_id").select(F.col("doc_id").alias(kept_)).distinct()
-    out = docs.join(least, F.col(key).cast("long") == F.col(kept_), "left_semi")
-    if not named.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates([key])
-    if not named.filter("component_id IS NULL").isEmpty():
-        # Groups of rows that all lack an id: fingerprints tell which rows these are.
-        lone = near_duplicates(docs, key, text, words, limit).filter("component_id IS NULL").select(F.col("fp").alias(of_)).distinct()
-        without = docs.filter(F.col(key).isNull())
-        marked = fingerprint_column(without, text, words, kept_).join(lone, F.col(kept_) == F.col(of_), "left_semi")
-        out = out.unionByName(marked.select(*docs.columns))
-    return out
 
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
-def fingerprint_column(docs: DataFrame, text: str, words: int, name: str) -> DataFrame:
-    """``docs`` with its fingerprint in a further column."""
-    from pyspark.sql.types import LongType, StructField, StructType
 
-    columns = docs.columns
+def _sketches(rows: DataFrame, words: int) -> DataFrame:
+    """doc_id, mark, sig, n, fp, first and bits of every row (doc_id, mark, payload): of its shingles the set's
+    digest and size, the fingerprint, the set's prefix and its parity. One pass over the texts; no shuffle."""
+    often, counts = frequent(rows, words)
+    schema = "doc_id long, mark binary, sig binary, n int, fp long, first array<long>, bits binary"
+    arrow = to_arrow(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                made = np.array([fingerprint((t or "").encode(), words) for t in part.column(text).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made.view(np.int64))], names=[*columns, name])
+                made = []
+                for t in part.column("payload").to_pylist():
+                    hashes = list(shingles(t, words))
+                    own = as_set(hashes)
+                    made.append((digest(own), len(own), _signed(majority(hashes)), prefix(own, often, counts), parity(own)))
+                sig, n, fp, first, bits = zip(*made)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([*first, np.empty(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), lists.cast(arrow.field("first").type), pa.array(bits, pa.binary())], schema=arrow)
+
+    return rows.select("doc_id", "mark", "payload").mapInArrow(run, schema)
+
+
+def _candidates(nodes: DataFrame, limit: int) -> DataFrame:
+    """a and b: sets with one fingerprint, and sets whose fingerprints the search links."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("top"))
+    equal = nodes.join(first, "fp").filter("node <> top").select(F.col("top").alias("a"), F.col("node").alias("b"))
+    at = lambda k: first.select(F.col("fp").alias(f"fp_{k}"), F.col("top").alias(f"top_{k}"))
+    near = links(nodes.select("fp").distinct(), limit).join(at("a"), F.col("a") == F.col("fp_a")).join(at("b"), F.col("b") == F.col("fp_b"))
+    return equal.unionByName(near.select(F.least("top_a", "top_b").alias("a"), F.greatest("top_a", "top_b").alias("b"))).distinct()
+
+
+def _grouped(nodes: DataFrame, rows: DataFrame, words: int, limit: int) -> DataFrame:
+    """node and component of the sets that are linked to others, over all links of 0.8 similarity or more."""
+    found = verified(possible(_candidates(nodes, limit), nodes), nodes, rows, words)
+    searched = components(found)
+    named = nodes.join(searched.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "first", F.coalesce("component", "node").alias("group"))
+    small, large = filed(stored(named, "grouped-nodes"))
+    pairs = small_pairs(small).unionByName(star_pairs(large)).distinct()
+    edges = found.unionByName(verified(possible(pairs, nodes), nodes, rows, words))
+    linked = components(edges)
+    more = None if large.isEmpty() else large_links(large, linked, nodes, rows, words)
+    return linked if more is None else components(edges.unionByName(more))
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, limit: int = 4) -> DataFrame:
+    """doc_id, mark (a digest of the text), component (a number of the group of similar texts) and component_id,
+    the group's least doc_id, for every row. Where ids repeat, several groups can have one least id."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("payload")).withColumn("mark", F.unhex(F.md5("payload")))
+    made = stored(_sketches(rows, words), "sketches")
+    nodes = made.groupBy("sig").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "fp", "first", "bits"))).withColumn("node", F.monotonically_increasing_id())
+    nodes = stored(nodes, "nodes")
+    linked = _grouped(nodes, rows.select("doc_id", "payload"), words, limit)
+    return _components_of(made.select("doc_id", "mark", "sig"), nodes.select("sig", "least", "node"), linked, "sig", "node")
+
+
+def _components_of(made: DataFrame, classes: DataFrame, linked: DataFrame, value: str, node: str) -> DataFrame:
+    """doc_id, mark, component and component_id of every row, by its class (``value``) and the classes' components."""
+    named = classes.join(linked.withColumnRenamed("node", "of"), F.col(node) == F.col("of"), "left").select(F.col(value).alias("of"), "least", F.coalesce("component", node).alias("component"))
+    groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return made.join(named.join(groups, "component").select("of", "component", "component_id"), F.col(value) == F.col("of")).select("doc_id", "mark", "component", "component_id")
+
+
+def similar_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, limit: int = 4) -> DataFrame:
+    """``docs`` without the rows of a group of similar texts but one (``_removed``)."""
+    return _removed(docs, similar(docs, key, text, words, limit), key, text)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+def _removed(docs: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` without the rows of each group (``named``: doc_id, mark, component, component_id) but one.
+
+    That with the least id stays; if several texts of the group have it, that with the least MD5; if rows
+    repeat both, one of them, and which one is not defined. A row without an id goes if its group has an
+    id; groups without any id stay whole, since nothing tells which to keep.
+    """
+    mark_, id_, of_ = unused(docs, "mark", "id", "of")
+    named = stored(named, "groups")
+    first = named.filter("doc_id = component_id").groupBy(F.col("component").alias("of")).agg(F.min("mark").alias("first"), F.count(F.lit(1)).alias("n"))
+    joined = named.join(first, F.col("component") == F.col("of"))
+    gone = joined.filter("doc_id IS NULL OR doc_id <> component_id OR mark <> first").select(F.col("doc_id").alias(id_), F.col("mark").alias(of_)).distinct()
+    rows = docs.withColumn(mark_, F.unhex(F.md5(utf8(text))))
+    out = rows.join(gone, (F.col(mark_) == F.col(of_)) & F.col(key).cast("long").eqNullSafe(F.col(id_)), "left_anti")
+    if not joined.filter("doc_id = component_id AND mark = first AND n > 1").groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
+        out = out.filter(F.col(key).isNotNull()).dropDuplicates([key, mark_]).unionByName(out.filter(F.col(key).isNull()))
+    return out.select(*docs.columns)

@@ -90,3 +90,32 @@ def test_table(spark, documents, odd_texts):
     lone = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "c d")], "doc_id long, text string")
     assert S.near_duplicates_removed(lone).count() == 3
     assert S.near_duplicates_removed(documents.limit(0)).count() == 0
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """The copy (4, A) of (2, A) goes and (4, B) stays; two groups with one least id don't mix."""
+    rows = [(2, "a b c d e f"), (4, "a b c d e f"), (4, "u v w x y z"), (4, "u v w x y z"), (9, "u v w x y z"), (9, "k l m n o p")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, mark string")
+    for removed in (S.near_duplicates_removed, S.similar_removed):
+        out = removed(df)
+        assert out.columns == df.columns
+        assert sorted((r.doc_id, r.text[0]) for r in out.collect()) == [(2, "a"), (4, "u"), (9, "k")]
+
+
+def test_long_texts_in_pieces(monkeypatch, prose):
+    from fieldtree.llm import shingle_sets
+
+    texts = [prose(300, 5) + "  \n\t" + prose(50, 6), "a b", " a  b ", "x" * 700, " ".join("abcde"), " " * 90]
+    whole = [(S.fingerprint(t.encode(), w), shingle_sets.shingle_set(t.encode(), w).tolist()) for t in texts for w in (1, 4, 5)]
+    monkeypatch.setattr(shingle_sets, "PIECE", 16)
+    assert whole == [(S.fingerprint(t.encode(), w), shingle_sets.shingle_set(t.encode(), w).tolist()) for t in texts for w in (1, 4, 5)]
+
+
+def test_estimate_counts_the_bits_beyond_the_histogram():
+    """Random values of 24 bits: those within a radius, estimated from 16 bits and the chances of the others."""
+    draw = np.random.default_rng(1)
+    values = draw.integers(0, 1 << 24, 400_000)
+    near = S.unseen(S.within(np.bincount(values & 0xFFFF, minlength=1 << 16), 3), np.full(8, 0.5))
+    for r in range(4):
+        found = np.mean([(np.bitwise_count(values ^ v) <= r).sum() for v in range(0, 1 << 24, 1 << 18)])
+        assert abs(near[r].mean() - found) < 0.2 * found + 0.5

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from fieldtree.llm import jaccard_dedup as J
+from fieldtree.llm import shingle_sets as J
+from fieldtree.llm import simhash_dedup as S
 
 
 def plain_groups(texts):
@@ -41,7 +42,7 @@ def test_groups_are_those_of_all_pairs(spark, texts, monkeypatch, small):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     goal = plain_groups(texts)
     assert len(set(goal)) < len(texts) - 20
-    assert {r.doc_id: r.component_id for r in J.similar(df).collect()} == dict(enumerate(goal))
+    assert {r.doc_id: r.component_id for r in S.similar(df).collect()} == dict(enumerate(goal))
 
 
 def test_stage_takes_similarity_of_four_fifths(spark, prose):
@@ -62,10 +63,10 @@ def test_stage_takes_similarity_of_four_fifths(spark, prose):
 
 
 def test_odd_rows(spark, documents):
-    kept = J.similar_removed(documents)
+    kept = S.similar_removed(documents)
     assert kept.columns == documents.columns
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 0 in ids and 1 not in ids and None not in ids
-    assert J.similar_removed(documents.limit(0)).count() == 0
+    assert S.similar_removed(documents.limit(0)).count() == 0
     lone = documents.filter("doc_id IS NULL")
-    assert J.similar_removed(lone).count() == 1
+    assert S.similar_removed(lone).count() == 1
