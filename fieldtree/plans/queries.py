@@ -63,9 +63,15 @@ def _boundaries(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame,
 
 
 def _two(edge: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The boundaries of the two components with the most boundary vertices, ties to the smaller."""
-    top = [r.comp for r in edge.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(2).collect()]
-    return edge.filter(F.col("comp") == top[0]), edge.filter(F.col("comp") == top[-1])
+    """The boundaries of the components with the most and second most boundary vertices, ties to the smaller.
+
+    Without a second component the second boundary is empty, without any both are.
+    """
+    n = F.struct((-F.count(F.lit(1))).alias("n"), F.col("comp"))
+    sizes = edge.groupBy("comp").agg(n.alias("at"))
+    first = sizes.agg(F.min("at").alias("first"))
+    second = sizes.join(first, F.col("at") > F.col("first")).agg(F.min("at").alias("second"))
+    return edge.join(F.broadcast(first.select("first.comp")), "comp", "left_semi"), edge.join(F.broadcast(second.select("second.comp")), "comp", "left_semi")
 
 
 def _queries_of(name: str) -> dict[str, Query]:

@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by this process, oldest first.
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where the setting is absent (one machine)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one where the setting is absent and all runs on one machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if configured:
@@ -17,12 +20,42 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fieldtree-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``release`` can delete."""
+    folder = f"{shared_dir(spark)}/fieldtree/{uuid.uuid4().hex}"
+    _written.append(folder)
+    return f"{folder}/{name}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: a cut lineage, safe from lost executors, of known size."""
-    path = f"{shared_dir(df.sparkSession)}/fieldtree/{uuid.uuid4().hex}/{name}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """Now, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Delete what was written to the shared folder since a mark, but the last few; the number of folders.
+
+    Results that still read these tables must have been written elsewhere or not be needed any more.
+    """
+    stop = max(since, len(_written) - but)
+    folders = _written[since:stop]
+    del _written[since:stop]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        at = path(folder)
+        at.getFileSystem(conf).delete(at, True)
+    return len(folders)
