@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh as scratch
-from ..storage import shared_dir, stored
+from ..storage import discarded, shared_dir, stored
 
-__all__ = ["open_shared", "row_map", "scratch", "shared_dir", "slices", "stored", "table", "to_arrow", "unused", "utf8"]
+__all__ = ["discarded", "open_shared", "row_map", "scratch", "shared_dir", "slices", "stored", "table", "to_arrow", "unused", "utf8"]
 
 #: Rows of one output batch hold at most about this many bytes of text.
 BATCH_BYTES = 8 << 20

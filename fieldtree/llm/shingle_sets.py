@@ -13,7 +13,8 @@ lets through: they are larger than the texts.
 ``n - ceil(0.8 n) + 1`` of either, in any one order of all values, so every pair to link meets in the bucket of
 such a value. The order takes values that are frequent in a sample of documents last, which keeps buckets
 small; the sample decides on speed only, never on results. Pairs of a bucket of at most ``SMALL`` sets are
-written once each. A larger bucket first gives pairs with its first set; where these don't connect it, its
+written if enough values are left behind the shared one, which holds at the first value that two similar sets
+share, and if parities of the sets (a bit per value or two) don't rule them out. A larger bucket first gives pairs with its first set; where these don't connect it, its
 sets are dealt to blocks by size, and pairs of blocks whose sizes can be similar are compared by matrix
 products of their memberships.
 """
@@ -38,8 +39,8 @@ SEED = 42
 OVER, UNDER = 4, 5
 #: Long texts are cut into pieces of about so many bytes.
 PIECE = 1 << 20
-#: Bits by which pairs are ruled out before whole sets are fetched.
-PARITY_BITS = 1024
+#: Least number of bits by which pairs are ruled out before whole sets are fetched.
+PARITY_BITS = 64
 #: Buckets of more sets than this are not written as pairs; blocks that they are cut into.
 SMALL, BLOCK = 32, 128
 #: Candidates are checked in blocks of about so many values.
@@ -117,8 +118,15 @@ def frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parity(values: np.ndarray) -> bytes:
-    """``PARITY_BITS`` bits; two sets differ in no fewer values than their parities differ in bits."""
-    return np.packbits(np.bincount(values & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1).tobytes()
+    """A power of two of bits, one per value or more; two sets differ in no fewer values than their parities differ in bits."""
+    bits = max(PARITY_BITS, 1 << max(0, len(values) - 1).bit_length())
+    return np.packbits(np.bincount(values & (bits - 1), minlength=bits) & 1).tobytes()
+
+
+def parities_differ(x: bytes, y: bytes) -> int:
+    """In how many bits, the longer one folded to the shorter one's size (which parities allow)."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
 
 
 def digest(values: np.ndarray) -> bytes:
@@ -130,11 +138,9 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
-                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                both = np.asarray(batch.column("n")).astype(np.int64)
-                yield batch.select(["a", "b"]).filter(pa.array((OVER + UNDER) * apart <= (UNDER - OVER) * both))
+            apart = np.array([parities_differ(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())], np.int64)
+            both = np.asarray(batch.column("n")).astype(np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((OVER + UNDER) * apart <= (UNDER - OVER) * both))
 
     left, right = (nodes.select(F.col("node").alias(f"{k}_node"), F.col("bits").alias(k), F.col("n").alias(f"{k}_n")) for k in "xy")
     joined = pairs.join(left, F.col("a") == F.col("x_node")).join(right, F.col("b") == F.col("y_node"))
@@ -194,48 +200,62 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) ->
     return stored(keyed.groupBy("component", "i", "j").cogroup(sets.groupBy("of", "first", "second")).applyInArrow(check, "a long, b long"), "links")
 
 
-def filed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """token, node, n and group of the sets in small buckets, and of those in large ones (stored)."""
-    rows = nodes.select("node", "n", "group", F.explode("first").alias("token"))
-    many = rows.groupBy("token").count().filter(F.col("count") > SMALL).select(F.col("token").alias("large"))
-    many = stored(many, "large-tokens")
-    if many.isEmpty():
-        return rows, rows.limit(0)
-    large = stored(rows.join(many, F.col("token") == F.col("large"), "left_semi"), "large-buckets")
-    return rows.join(many, F.col("token") == F.col("large"), "left_anti"), large
-
-
-def small_pairs(filed: DataFrame) -> DataFrame:
-    """Pairs of the sets of each bucket (at most ``SMALL`` sets) that are of different groups and can be similar by size."""
-    schema = "a long, b long"
-    arrow = to_arrow(filed, schema)
+def buckets(nodes: DataFrame) -> DataFrame:
+    """Of sets (node, n, first, group): rows (a, b) of pairs of different groups that meet in a small bucket and can
+    be similar, and rows (token, node, n, group) of the members of large buckets; stored."""
+    schema = "a long, b long, token long, node long, n long, group long"
+    arrow = to_arrow(nodes, schema)
 
-    def rows(token: np.ndarray, node: np.ndarray, n: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+    def pairs_of(token: np.ndarray, node: np.ndarray, n: np.ndarray, group: np.ndarray, place: np.ndarray) -> np.ndarray:
         order = np.lexsort((node, n, token))
-        token, node, n, group = token[order], node[order], n[order], group[order]
+        token, node, n, group, place = token[order], node[order], n[order], group[order], place[order]
         pairs = [np.empty((0, 2), np.int64)]
         for k in range(1, SMALL):
             same = token[k:] == token[:-k]
             if not same.any():
                 break
-            same &= (OVER * n[k:] <= UNDER * n[:-k]) & (group[k:] != group[:-k])
+            # The values to share, if similar; so many must be left from the shared one on in either set.
+            least = -(-OVER * (n[k:] + n[:-k]) // (OVER + UNDER))
+            same &= (group[k:] != group[:-k]) & (n[k:] - place[k:] >= least) & (n[:-k] - place[:-k] >= least)
             pairs.append(np.stack([node[:-k][same], node[k:][same]], 1))
-        found = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=arrow)
+        return np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+
+    def answer(token: np.ndarray, node: np.ndarray, n: np.ndarray, group: np.ndarray, place: np.ndarray, large: bool = False) -> Iterator[pa.RecordBatch]:
+        """Of whole buckets (sorted by token), or of a part of a large one."""
+        size = np.ones(len(token), bool) if large else np.bincount(np.cumsum(np.r_[False, token[1:] != token[:-1]]))[np.cumsum(np.r_[False, token[1:] != token[:-1]])] > SMALL
+        none = lambda k: pa.nulls(k, pa.int64())
+        if size.any():
+            yield pa.RecordBatch.from_arrays([none(size.sum()), none(size.sum()), *(pa.array(x[size]) for x in (token, node, n, group))], schema=arrow)
+        found = pairs_of(*(x[~size] for x in (token, node, n, group, place)))
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), *(none(len(found)) for _ in range(4))], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
+        held, going = None, None  # going: a large bucket whose beginning has been written
         for batch in batches:
-            now = tuple(np.asarray(batch.column(c)).astype(np.int64) for c in ("token", "node", "n", "group"))
+            now = tuple(np.asarray(batch.column(c)).astype(np.int64) for c in ("token", "node", "n", "group", "place"))
             held = now if held is None else tuple(map(np.concatenate, zip(held, now)))
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # sorted: the last token may go on
+            if going is not None and len(held[0]):
+                stop = int(np.searchsorted(held[0], going, "right"))
+                if stop:
+                    yield from answer(*(c[:stop] for c in held), large=True)
+                    held = tuple(c[stop:] for c in held)
+            if not len(held[0]):
+                continue
+            going = None
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # sorted: the last token may go on
             if cut:
-                yield rows(*(c[:cut] for c in held))
+                yield from answer(*(c[:cut] for c in held))
                 held = tuple(c[cut:] for c in held)
+            if len(held[0]) > SMALL:
+                going = int(held[0][-1])
+                yield from answer(*held, large=True)
+                held = tuple(c[:0] for c in held)
         if held is not None and len(held[0]):
-            yield rows(*held)
+            yield from answer(*held)
 
-    return filed.repartition("token").sortWithinPartitions("token").select("token", "node", "n", "group").mapInArrow(run, schema).distinct()
+    rows = nodes.select("node", "n", "group", F.posexplode("first").alias("place", "token")).select("token", "node", "n", "group", "place")
+    return stored(rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, schema), "buckets")
 
 
 def _distinct_buckets(large: DataFrame) -> DataFrame:

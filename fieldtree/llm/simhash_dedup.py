@@ -39,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_map, slices, stored, to_arrow, unused, utf8
+from .common import discarded, row_map, slices, stored, to_arrow, unused, utf8
 from .components import components
-from .shingle_sets import as_set, digest, filed, frequent, large_links, parity, possible, prefix, shingles, small_pairs, star_pairs, verified
+from .shingle_sets import as_set, buckets, digest, frequent, large_links, parity, possible, prefix, shingles, star_pairs, verified
 
 BITS = 64
 #: Largest radius and finest histogram that thresholds are planned with.
@@ -435,8 +435,9 @@ def _grouped(nodes: DataFrame, rows: DataFrame, words: int, limit: int) -> DataF
     found = verified(possible(_candidates(nodes, limit), nodes), nodes, rows, words)
     searched = components(found)
     named = nodes.join(searched.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "first", F.coalesce("component", "node").alias("group"))
-    small, large = filed(stored(named, "grouped-nodes"))
-    pairs = small_pairs(small).unionByName(star_pairs(large)).distinct()
+    met = buckets(named)
+    large = met.filter("token IS NOT NULL").select("token", "node", "n", "group")
+    pairs = met.filter("token IS NULL").select("a", "b").unionByName(star_pairs(large)).distinct()
     edges = found.unionByName(verified(possible(pairs, nodes), nodes, rows, words))
     linked = components(edges)
     more = None if large.isEmpty() else large_links(large, linked, nodes, rows, words)
@@ -449,9 +450,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("payload")).withColumn("mark", F.unhex(F.md5("payload")))
     made = stored(_sketches(rows, words), "sketches")
     nodes = made.groupBy("sig").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "fp", "first", "bits"))).withColumn("node", F.monotonically_increasing_id())
-    nodes = stored(nodes, "nodes")
+    nodes, made = stored(nodes, "nodes"), discarded(made, stored(made.select("doc_id", "mark", "sig"), "rows"))
     linked = _grouped(nodes, rows.select("doc_id", "payload"), words, limit)
-    return _components_of(made.select("doc_id", "mark", "sig"), nodes.select("sig", "least", "node"), linked, "sig", "node")
+    return _components_of(made, nodes.select("sig", "least", "node"), linked, "sig", "node")
 
 
 def _components_of(made: DataFrame, classes: DataFrame, linked: DataFrame, value: str, node: str) -> DataFrame:
