@@ -37,7 +37,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: a cut lineage, safe from lost executors, of known size."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.stored_at = _written[-1]
+    return made
 
 
 def mark() -> int:
@@ -53,9 +55,22 @@ def release(spark: SparkSession, since: int = 0, but: int = 0) -> int:
     stop = max(since, len(_written) - but)
     folders = _written[since:stop]
     del _written[since:stop]
+    _delete(spark, folders)
+    return len(folders)
+
+
+def discarded(table: DataFrame, then: DataFrame) -> DataFrame:
+    """``then``, after the table (of ``stored``), which nothing reads any more, has been deleted."""
+    if table.stored_at in _written:
+        _written.remove(table.stored_at)
+    _delete(table.sparkSession, [table.stored_at])
+    return then
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in folders:
         at = path(folder)
         at.getFileSystem(conf).delete(at, True)
-    return len(folders)
+    spark._jvm.System.gc()  # the engine deletes shuffles of tables that are gone once they are collected
