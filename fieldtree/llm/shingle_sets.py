@@ -14,9 +14,10 @@ lets through: they are larger than the texts.
 such a value. The order takes values that are frequent in a sample of documents last, which keeps buckets
 small; the sample decides on speed only, never on results. Pairs of a bucket of at most ``SMALL`` sets are
 written if enough values are left behind the shared one, which holds at the first value that two similar sets
-share, and if parities of the sets (a bit per value or two) don't rule them out. A larger bucket first gives pairs with its first set; where these don't connect it, its
-sets are dealt to blocks by size, and pairs of blocks whose sizes can be similar are compared by matrix
-products of their memberships.
+share, and if parities of the sets (a bit per value or two) don't rule them out. A larger bucket first gives
+pairs with its first set; where these don't connect it, its sets are dealt to blocks by size, and pairs of
+blocks whose sizes can be similar are compared by their parities. The pairs left are checked like others; a
+block with very many of them is compared whole, by matrix products of memberships.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +44,9 @@ PIECE = 1 << 20
 #: Least number of bits by which pairs are ruled out before whole sets are fetched.
 PARITY_BITS = 64
 #: Buckets of more sets than this are not written as pairs; blocks that they are cut into.
-SMALL, BLOCK = 32, 128
+SMALL, BLOCK = 32, 256
+#: A block in which parities leave more pairs per set than this is compared whole.
+DENSE = 4
 #: Candidates are checked in blocks of about so many values.
 BLOCK_VALUES = 1 << 22
 #: Size of the bitmap of wanted documents, a power of two.
@@ -233,7 +237,9 @@ def buckets(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, going = None, None  # going: a large bucket whose beginning has been written
         for batch in batches:
-            now = tuple(np.asarray(batch.column(c)).astype(np.int64) for c in ("token", "node", "n", "group", "place"))
+            token, node, packed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "node", "packed"))
+            group = pa.compute.coalesce(batch.column("group"), batch.column("node"))
+            now = (token, node, packed >> 32, group.to_numpy(zero_copy_only=False), packed & 0xFFFFFFFF)
             held = now if held is None else tuple(map(np.concatenate, zip(held, now)))
             if going is not None and len(held[0]):
                 stop = int(np.searchsorted(held[0], going, "right"))
@@ -254,7 +260,8 @@ def buckets(nodes: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield from answer(*held)
 
-    rows = nodes.select("node", "n", "group", F.posexplode("first").alias("place", "token")).select("token", "node", "n", "group", "place")
+    # Few sets have a group other than themselves; rows are many, so they are kept narrow.
+    rows = nodes.select("node", "n", F.nullif("group", "node").alias("group"), F.posexplode("first").alias("place", "token")).select("token", "node", "group", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("packed"))
     return stored(rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, schema), "buckets")
 
 
@@ -306,6 +313,19 @@ def block_links(nodes: list[int], groups: list[int], sets: list[np.ndarray]) ->
     return out
 
 
+def screened(n: np.ndarray, group: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Rows (i, j) of the pairs of different groups that sizes and parities don't rule out."""
+    width = min(map(len, bits)) // 8
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, width), axis=0) for b in bits])
+    apart = np.zeros((len(n), len(n)), np.int64)
+    for k in range(width):
+        apart += np.bitwise_count(folded[:, k, None] ^ folded[None, :, k])
+    n = n.astype(np.int64)
+    both = n[:, None] + n[None, :]
+    near = (OVER * n[:, None] <= UNDER * n[None, :]) & (OVER * n[None, :] <= UNDER * n[:, None])
+    return np.argwhere(np.triu(near & (group[:, None] != group[None, :]) & ((OVER + UNDER) * apart <= (UNDER - OVER) * both), 1))
+
+
 def large_links(large: DataFrame, linked: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame | None:
     """Links between the groups (``linked``: node, component) that meet in a large bucket; None if none has two groups."""
     named = _distinct_buckets(large).drop("group").join(linked.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("token", "node", "n", F.coalesce("component", "node").alias("group"))
@@ -330,14 +350,30 @@ def large_links(large: DataFrame, linked: DataFrame, nodes: DataFrame, rows: Dat
     key = ("token", "c", "i", "d", "j")
     dealt = dealt.select("token", "node", "group", F.explode(units).alias("u")).select("token", "u.*", "node", "group")
     mixed = dealt.groupBy(*key).agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select(*key)
-    dealt = stored(dealt.join(mixed, list(key), "left_semi"), "open-blocks")
-    known = nodes.select(F.col("node").alias("of"), "sig", "least").join(dealt.select("node").distinct(), F.col("of") == F.col("node"), "left_semi")
-    known = stored(known, "open-nodes")
+    dealt = dealt.join(mixed, list(key), "left_semi")
+    measured = dealt.join(nodes.select(F.col("node").alias("of"), "n", "bits"), F.col("node") == F.col("of")).select(*key, "node", F.col("group").alias("grp"), "n", "bits")
+    schema = f"a long, b long, {', '.join(f'{k} {t}' for k, t in measured.select(*key).dtypes)}, node long, grp long"
+    arrow = to_arrow(rows, schema)
+
+    def screen(table: pa.Table) -> pa.Table:
+        found = screened(table.column("n").to_numpy(), table.column("grp").to_numpy(), table.column("bits").to_pylist())
+        if len(found) > DENSE * table.num_rows:
+            return pa.table([pa.nulls(table.num_rows, pa.int64())] * 2 + [table.column(c) for c in (*key, "node", "grp")], schema=arrow)
+        node = table.column("node").to_numpy()[found]
+        ends = np.sort(node.reshape(-1, 2), axis=1)
+        return pa.table([pa.array(ends[:, 0]), pa.array(ends[:, 1]), *(pa.nulls(len(found), f.type) for f in list(arrow)[2:])], schema=arrow)
+
+    seen = stored(measured.groupBy(*key).applyInArrow(screen, schema), "screened")
+    links = verified(seen.filter("a IS NOT NULL").select("a", "b").distinct(), nodes, rows, words)
+    dense = seen.filter("a IS NULL").drop("a", "b")
+    if dense.isEmpty():
+        return links
+    known = stored(nodes.select(F.col("node").alias("of"), "sig", "least").join(dense.select("node").distinct(), F.col("of") == F.col("node"), "left_semi"), "open-nodes")
     sets = sets_of(rows, known, words).dropDuplicates(["sig"]).join(known.select("of", "sig"), "sig")
-    grouped = dealt.withColumnRenamed("group", "grp").join(sets.select("of", "set"), F.col("node") == F.col("of")).select(*key, "node", "grp", "set")
+    grouped = dense.join(sets.select("of", "set"), F.col("node") == F.col("of")).select(*key, "node", "grp", "set")
 
     def compare(table: pa.Table) -> pa.Table:
         found = block_links(table.column("node").to_pylist(), table.column("grp").to_pylist(), [np.frombuffer(s, np.int64) for s in table.column("set").to_pylist()])
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return stored(grouped.groupBy(*key).applyInArrow(compare, "a long, b long"), "large-links")
+    return links.unionByName(stored(grouped.groupBy(*key).applyInArrow(compare, "a long, b long"), "large-links"))

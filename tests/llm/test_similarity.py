@@ -35,10 +35,11 @@ def texts(prose, odd_texts):
     return out + [f"{line} {prose(12 + k, 500 + k)}" for k in range(25)] + [f"{line} tail{k} word{k}" for k in range(20)]
 
 
-@pytest.mark.parametrize("small", [2, 32])
-def test_groups_are_those_of_all_pairs(spark, texts, monkeypatch, small):
+@pytest.mark.parametrize("small,dense", [(2, 4), (2, -1), (32, 4)])
+def test_groups_are_those_of_all_pairs(spark, texts, monkeypatch, small, dense):
     monkeypatch.setattr(J, "SMALL", small)
     monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "DENSE", dense)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     goal = plain_groups(texts)
     assert len(set(goal)) < len(texts) - 20
@@ -70,3 +71,11 @@ def test_odd_rows(spark, documents):
     assert S.similar_removed(documents.limit(0)).count() == 0
     lone = documents.filter("doc_id IS NULL")
     assert S.similar_removed(lone).count() == 1
+
+
+def test_parities_bound_the_difference():
+    draw = J.np.random.default_rng(2)
+    for n, m in ((5, 7), (60, 70), (60, 300), (1000, 1200), (0, 3)):
+        x = J.np.unique(draw.integers(-(1 << 62), 1 << 62, n))
+        y = J.np.unique(J.np.concatenate([x[: n // 2], draw.integers(-(1 << 62), 1 << 62, m - n // 2)]))
+        assert 0 < J.parities_differ(J.parity(x), J.parity(y)) <= len(J.np.setxor1d(x, y)) and J.parities_differ(J.parity(x), J.parity(x)) == 0
