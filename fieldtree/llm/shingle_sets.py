@@ -47,8 +47,8 @@ PARITY_BITS = 64
 SMALL, BLOCK = 32, 256
 #: A block in which parities leave more pairs per set than this is compared whole.
 DENSE = 4
-#: Candidates are checked in blocks of about so many values.
-BLOCK_VALUES = 1 << 22
+#: Candidates are checked in blocks of about so many values; blocks of large buckets, which are compared whole, hold fewer.
+BLOCK_VALUES, LARGE_VALUES = 1 << 21, 1 << 19
 #: Size of the bitmap of wanted documents, a power of two.
 BITMAP_BITS = 1 << 23
 #: One in so many documents is counted for the order; a value counts as frequent from so many, and so many values are kept.
@@ -288,13 +288,16 @@ def star_pairs(large: DataFrame) -> DataFrame:
 
 def block_links(nodes: list[int], groups: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the links among some sets, beyond those that their groups stand for."""
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    held = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = np.concatenate(sets)
+    held = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    order = np.argsort(place, kind="stable")
+    place, held = place[order], held[order]
+    place = np.cumsum(np.concatenate([[False], place[1:] != place[:-1]]))  # the number of each value
     shared = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, len(values), 1 << 14):
-        part = (place >= lo) & (place < lo + (1 << 14))
-        has = np.zeros((len(sets), min(1 << 14, len(values) - lo)), np.float32)
-        has[held[part], place[part] - lo] = 1
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, 1 << 12):
+        a, b = np.searchsorted(place, [lo, lo + (1 << 12)])
+        has = np.zeros((len(sets), 1 << 12), np.float32)
+        has[held[a:b], place[a:b] - lo] = 1
         shared += has @ has.T
     n = np.array([len(s) for s in sets])
     above = {g: g for g in groups}
@@ -333,7 +336,7 @@ def large_links(large: DataFrame, linked: DataFrame, nodes: DataFrame, rows: Dat
     open_ = stored(named.join(apart, F.col("token") == F.col("of"), "left_semi").withColumn("class", _size_class()), "open-buckets")
     if open_.isEmpty():
         return None
-    counts = open_.groupBy("token", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    counts = open_.groupBy("token", "class").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / LARGE_VALUES)).cast("int").alias("blocks"))
     of = lambda k: counts.select(F.col("token").alias(f"t{k}"), (F.col("class") - k).alias(f"c{k}"), F.col("blocks").alias(f"b{k}"))
     dealt = open_
     for k in (0, 1, -1):  # blocks of a row's own class, the next and the one before
