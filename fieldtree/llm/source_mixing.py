@@ -1,10 +1,12 @@
 """Mixing sources to target weights (operator 2): raking, then calibrated sampling.
 
 Documents fall into cells by source, language and topic. Iterative proportional fitting gives each
-cell a weight such that weight times tokens has the target marginals of all three. A document is
-kept with a probability proportional to its cell's weight, at most 1, with the factor set so that
-the expected tokens are a stated share of all. Whether it is kept is decided by a hash of its id,
-so it doesn't depend on partitions and a second run keeps the same ones.
+cell a weight such that weight times tokens has the target marginals of all three. Probabilities are
+fitted the same way, with the bound of 1 inside the fitting: cells that reach it stay there, and the
+others make up for them, so that the expected tokens of the sample have the target marginals. What they
+sum to is the stated share of all tokens, or ``SLACK`` of the share at which the scarcest value would
+have to be kept whole, if that is less. Whether a document is kept is decided by a hash of its id, so it
+doesn't depend on partitions and a second run keeps the same ones.
 
 Token counts, cells and marginals cover all documents. Cells are aggregates: the fitting works on a
 table of one row per cell: on the driver up to ``DRIVER_CELLS`` cells, and beyond that in DataFrame
@@ -18,8 +20,8 @@ Default targets: each value's share of tokens to a power below 1, so that large
 and topics give way to small ones. Nulls in source, language or topic count as a value of their own;
 null texts have no tokens; null ids hash as the empty string. Documents without tokens get their
 cell's probability like others; a cell with no tokens at all has weight 1. Repeated rows share their
-fate. ``mixed`` can repeat rows instead of stopping at 1; ``mixing_report`` is what the SQL states and
-doesn't: its cells at 1 fall short of their weight. Empty tables give empty results; other columns are kept by ``mixed`` and ignored otherwise.
+fate. ``mixed`` can repeat rows instead, and then keeps the stated share in any case. Texts of any length
+are only counted, in the engine. Empty tables give empty results; other columns are kept by ``mixed`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, unused
 
-#: Least number of rounds, and the number in ``mixing_sql``, which has no loop.
-ROUNDS = 8
+#: Least numbers of rounds, of weights and of probabilities, and the numbers in ``mixing_sql``, which has no loop.
+ROUNDS, BOUNDED_ROUNDS = 8, 30
 #: Largest relative change of a weight in the last round.
 TOLERANCE = 1e-3
 #: Fitting ends at so many rounds, or if so many rounds lower the largest change by less than a fiftieth.
@@ -43,8 +45,8 @@ MOST_ROUNDS, STALL_ROUNDS = 400, 8
 DRIVER_CELLS = 1 << 17
 #: Share of all tokens to keep, and the power of each marginal.
 KEEP, POWERS = 0.6, {"source": 0.5, "lang": 0.7, "topic": 0.7}
-#: Steps of the search for the factor of the probabilities.
-FACTOR_STEPS = 40
+#: Of the largest share at which no value of a marginal has too few tokens, as much is kept at most.
+SLACK = 0.9
 SALT = "mix|"
 
 
@@ -74,72 +76,82 @@ def _settled(seen: list[float], rounds: int) -> bool:
     return False
 
 
-def _rake_here(cells: DataFrame, powers: dict[str, float], rounds: int) -> DataFrame:
-    """``rake`` on the driver."""
+def _shares(n: np.ndarray, power: float) -> np.ndarray:
+    goal = np.where(n > 0, n, 0.0) ** power * (n > 0)
+    return goal / (goal.sum() or 1.0)
+
+
+def _fitted_here(cells: DataFrame, powers: dict[str, float], rounds: int, keep: float | None) -> DataFrame:
+    """``_fitted`` on the driver."""
     table = cells.toArrow()
-    tokens, weight = np.array(table.column("tokens").fill_null(0), np.float64), np.ones(table.num_rows)
+    tokens = np.array(table.column("tokens").fill_null(0), np.float64)
     fits = []
     for dim, power in powers.items():
         at = np.asarray(table.column(dim).combine_chunks().dictionary_encode(null_encoding="encode").indices)
         n = np.bincount(at, tokens)
-        goal = np.where(n > 0, n, 0.0) ** power * (n > 0)
-        fits.append((at, goal / (goal.sum() or 1.0) * tokens.sum(), n > 0))
+        fits.append((at, _shares(n, power) * tokens.sum(), n > 0, n))
+    share = 1.0 if keep is None else min([keep, *(SLACK * float((n[some] / target[some]).min()) for _, target, some, n in fits if some.any())])
+    value = np.full(table.num_rows, share)
     seen: list[float] = []
     while table.num_rows and not (seen and _settled(seen, rounds)):
         most = 0.0
-        for at, target, some in fits:
-            have = np.bincount(at, tokens * weight)
-            ratio = np.where(some, target / np.where(some, have, 1.0), 1.0)
+        for at, target, some, n in fits:
+            full = (value >= 1) & (keep is not None)
+            whole, part = np.bincount(at, tokens * full, len(n)), np.bincount(at, np.where(full, 0.0, tokens * value), len(n))
+            goal = target * share
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = np.where(some, np.where((part > 0) & (goal > whole), (goal - whole) / part, goal / (whole + part)), 1.0)
             most = max(most, float(np.abs(ratio - 1).max()))
-            weight = weight * ratio[at]
+            value = value * ratio[at]
         seen.append(most)
-    return cells.sparkSession.createDataFrame(table.append_column("weight", pa.array(weight)))
-
+    if keep is not None:
+        value = np.minimum(value, 1.0)
+    return cells.sparkSession.createDataFrame(table.append_column("fitted", pa.array(value)))
 
-def rake(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (the columns of ``powers`` and tokens) with a weight that meets all marginals.
 
-    A marginal's target is the tokens' share to the given power, scaled to sum to all tokens. ``rounds``
-    is the least number of rounds.
-    """
+def _fitted(cells: DataFrame, powers: dict[str, float], rounds: int, keep: float | None) -> DataFrame:
+    """``cells`` (the columns of ``powers`` and tokens) with a column fitted: weights, or probabilities that keep a share."""
     if cells.count() <= DRIVER_CELLS:
-        return _rake_here(cells, powers, rounds)
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    now = cells.withColumn("weight", F.lit(1.0))
+        return _fitted_here(cells, powers, rounds, keep)
+    total, share = float(cells.agg(F.sum("tokens")).first()[0] or 0), 1.0 if keep is None else keep
     targets = {}
     for dim, power in powers.items():
         sums = stored(cells.groupBy(dim).agg(F.sum("tokens").alias("n")).filter("n > 0"), f"marginal-{dim}")
-        scale = sums.agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(power)))).first()[0]
-        targets[dim] = sums.select(F.col(dim).alias("t"), (F.pow(F.col("n").cast("double"), F.lit(power)) / scale * float(total)).alias("target"))
-    off, seen = unused(cells, "off")[0], []
+        scale = sums.agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(power)))).first()[0] or 1.0
+        targets[dim] = sums.select(F.col(dim).alias("t"), (F.pow(F.col("n").cast("double"), F.lit(power)) / scale * total).alias("target"), "n")
+        if keep is not None and (least := targets[dim].agg(F.min(F.col("n") / F.col("target"))).first()[0]) is not None:
+            share = min(share, SLACK * least)
+    now, off, seen = cells.withColumn("fitted", F.lit(share)), unused(cells, "off")[0], []
+    full = (F.col("fitted") >= 1) & F.lit(keep is not None)
     while True:
         now = now.withColumn(off, F.lit(0.0))
         for dim in powers:
-            have = now.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have")).withColumnRenamed(dim, "h")
-            ratio = have.join(targets[dim], F.col("h").eqNullSafe(F.col("t"))).select("h", (F.col("target") / F.col("have")).alias("ratio"))
-            now = now.join(ratio, F.col(dim).eqNullSafe(F.col("h")), "left").withColumn("weight", F.col("weight") * F.coalesce("ratio", F.lit(1.0))).withColumn(off, F.greatest(off, F.abs(F.coalesce("ratio", F.lit(1.0)) - 1))).select(*cells.columns, "weight", off)
+            have = now.groupBy(F.col(dim).alias("h")).agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("whole"), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("fitted"))).alias("part"))
+            goal = F.col("target") * share
+            ratio = F.when((F.col("part") > 0) & (goal > F.col("whole")), (goal - F.col("whole")) / F.col("part")).otherwise(goal / (F.col("whole") + F.col("part")))
+            ratio = have.join(targets[dim], F.col("h").eqNullSafe(F.col("t"))).select("h", ratio.alias("ratio"))
+            now = now.join(ratio, F.col(dim).eqNullSafe(F.col("h")), "left").withColumn("fitted", F.col("fitted") * F.coalesce("ratio", F.lit(1.0))).withColumn(off, F.greatest(off, F.abs(F.coalesce("ratio", F.lit(1.0)) - 1))).select(*cells.columns, "fitted", off)
         # Stored, so that the planner sees that cells are few, where they are, and sends them whole.
         now = stored(now, "raked")
         seen.append(now.agg(F.max(off)).first()[0] or 0.0)
         now = now.drop(off)
         if _settled(seen, rounds):
-            return now
+            return now if keep is None else now.withColumn("fitted", F.least("fitted", F.lit(1.0)))
 
 
-def probabilities(cells: DataFrame, keep: float) -> DataFrame:
-    """``cells`` with a probability: weight times a factor, at most 1, that keeps the share of tokens."""
-    row = cells.agg(F.sum("tokens"), F.min(F.when(F.col("tokens") > 0, F.col("weight")))).first()
-    goal, high = keep * (row[0] or 0), 1.0 / (row[1] or 1.0)
-    low = 0.0
-    # At the upper end every cell with tokens is kept whole. Eight places are tried in one pass.
-    steps = FACTOR_STEPS
-    while steps > 0:
-        tries = [low + (high - low) * k / 8 for k in range(1, 8)]
-        sums = cells.agg(*(F.sum(F.least(F.lit(1.0), F.col("weight") * f) * F.col("tokens")) for f in tries)).first()
-        below = sum((s or 0.0) < goal for s in sums)
-        low, high = ([low, *tries])[below], ([*tries, high])[below]
-        steps -= 3
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit((low + high) / 2)))
+def rake(cells: DataFrame, powers: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
+    """``cells`` (the columns of ``powers`` and tokens) with a weight that meets all marginals.
+
+    A marginal's target is the tokens' share to the given power, scaled to sum to all tokens. ``rounds``
+    is the least number of rounds.
+    """
+    return _fitted(cells, powers, rounds, None).withColumnRenamed("fitted", "weight")
+
+
+def probabilities(cells: DataFrame, keep: float, powers: dict[str, float] | None = None, rounds: int = BOUNDED_ROUNDS) -> DataFrame:
+    """``cells`` with a probability of at most 1: expected tokens have the target marginals, and as much as they
+    allow of the share ``keep`` of all tokens."""
+    return _fitted(cells, powers or POWERS, rounds, keep).withColumnRenamed("fitted", "probability")
 
 
 def calibrated(docs: DataFrame, topic: Column | None = None, text: str = "text", keep: float = KEEP, powers: dict[str, float] | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, str]]:
@@ -147,7 +159,7 @@ def calibrated(docs: DataFrame, topic: Column | None = None, text: str = "text",
     source_, lang_, topic_, tokens_, weight_, probability_, a_, b_, c_ = unused(docs, "source", "lang", "topic", "tokens", "weight", "probability", "cell_source", "cell_lang", "cell_topic")
     rows = docs.withColumns({source_: F.col("source"), lang_: F.col("lang"), topic_: topic if topic is not None else topic_of(text), tokens_: tokens_of(text)})
     cells = stored(rows.groupBy(F.col(source_).alias("source"), F.col(lang_).alias("lang"), F.col(topic_).alias("topic")).agg(F.sum(tokens_).alias("tokens")), "cells")
-    made = probabilities(rake(cells, powers or POWERS, rounds), keep)
+    made = probabilities(rake(cells, powers or POWERS, rounds), keep, powers)
     made = stored(made.select(F.col("source").alias(a_), F.col("lang").alias(b_), F.col("topic").alias(c_), F.col("weight").alias(weight_), F.col("probability").alias(probability_)), "probabilities")
     on = [F.col(x).eqNullSafe(F.col(y)) for x, y in ((source_, a_), (lang_, b_), (topic_, c_))]
     out = rows.join(made, on[0] & on[1] & on[2]).select(*docs.columns, topic_, tokens_, weight_, probability_)
@@ -178,7 +190,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", keep: float = KEEP, repeats: boo
     return made.filter(F.col(copies) > 0).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*docs.columns)
 
 
-def mixing_sql(keep: float = KEEP, powers: dict[str, float] | None = None, rounds: int = ROUNDS) -> str:
+def mixing_sql(keep: float = KEEP, powers: dict[str, float] | None = None, rounds: int = ROUNDS, bounded: int = BOUNDED_ROUNDS) -> str:
     """DuckDB SQL for ``mixing_report`` of the table documents."""
     powers = powers or POWERS
     dims = list(powers)
@@ -191,11 +203,19 @@ def mixing_sql(keep: float = KEEP, powers: dict[str, float] | None = None, round
         for d in dims:
             steps.append(f"w{k + 1} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, w.tokens, w.weight * coalesce(t.target / sum(w.tokens * w.weight) OVER (PARTITION BY w.{d}), 1) AS weight FROM w{k} w LEFT JOIN t_{d} t ON t.{d} IS NOT DISTINCT FROM w.{d})")
             k += 1
-    # The factor: with cells by falling weight, the first j cells are kept whole and the rest in proportion.
-    steps.append(f"goal AS (SELECT {keep} * sum(tokens) AS goal FROM w{k})")
-    steps.append(f"sorted AS (SELECT weight, sum(tokens) OVER o - tokens AS whole, sum(tokens * weight) OVER (ORDER BY weight, source, lang, topic) AS part FROM w{k} WHERE tokens > 0 WINDOW o AS (ORDER BY weight DESC, source DESC, lang DESC, topic DESC))")
-    steps.append("factor AS (SELECT arg_min((goal - whole) / part, whole) FILTER (WHERE (goal - whole) / part * weight <= 1 + 1e-12) AS f FROM sorted, goal)")
+    # Probabilities: the same steps, in which cells at 1 or above count whole and the others make up for them.
+    least = " UNION ALL ".join(f"SELECT n / target AS room FROM t_{d} JOIN (SELECT {d}, sum(tokens) AS n FROM w0 GROUP BY {d}) USING ({d}) UNION ALL SELECT n / target FROM t_{d}, (SELECT sum(tokens) AS n FROM w0 WHERE {d} IS NULL) WHERE {d} IS NULL" for d in dims)
+    steps.append(f"share AS MATERIALIZED (SELECT least({keep}, {SLACK} * min(room)) AS share FROM ({least}))")
+    steps.append("p0 AS MATERIALIZED (SELECT source, lang, topic, tokens, share AS p FROM w0, share)")
+    j = 0
+    for _ in range(bounded):
+        for d in dims:
+            own = f"OVER (PARTITION BY w.{d})"
+            steps.append(f"""p{j + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, p * coalesce(CASE WHEN part > 0 AND goal > whole THEN (goal - whole) / part ELSE goal / (whole + part) END, 1) AS p FROM
+(SELECT w.*, t.target * share AS goal, sum(CASE WHEN p >= 1 THEN w.tokens ELSE 0 END) {own} AS whole, sum(CASE WHEN p >= 1 THEN 0 ELSE w.tokens * p END) {own} AS part FROM p{j} w LEFT JOIN t_{d} t ON t.{d} IS NOT DISTINCT FROM w.{d}, share))""")
+            j += 1
     return f"""WITH {', '.join(steps)}
-SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(w.weight, 6) AS weight, round(least(1, w.weight * f), 6) AS probability,
-('0x' || substr(md5('{SALT}' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE < least(1, w.weight * f) AS kept
-FROM docs d JOIN w{k} w ON w.source IS NOT DISTINCT FROM d.source AND w.lang IS NOT DISTINCT FROM d.lang AND w.topic IS NOT DISTINCT FROM d.topic, factor"""
+SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(w.weight, 6) AS weight, round(least(1, p), 6) AS probability,
+('0x' || substr(md5('{SALT}' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE < least(1, p) AS kept
+FROM docs d JOIN w{k} w ON w.source IS NOT DISTINCT FROM d.source AND w.lang IS NOT DISTINCT FROM d.lang AND w.topic IS NOT DISTINCT FROM d.topic
+JOIN p{j} q ON q.source IS NOT DISTINCT FROM d.source AND q.lang IS NOT DISTINCT FROM d.lang AND q.topic IS NOT DISTINCT FROM d.topic"""

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,6 +6,8 @@ from pyspark.sql import functions as F
 
 from fieldtree.llm import source_mixing as M
 
+SF = "/root/testdata/sf0.1"
+
 
 def test_marginals_are_met(spark):
     sizes = iter([900, 50, 30, 20, 7, 1, 400, 90, 60, 3, 11, 0])
@@ -17,9 +20,17 @@ def test_marginals_are_met(spark):
         tokens = made.tokens.groupby(made[dim].fillna("-")).sum().astype(float)
         goal = tokens**power * (tokens > 0)
         assert (have - goal / goal.sum() * total).abs().max() < 0.002 * total
-    kept = M.probabilities(spark.createDataFrame(made), 0.4).toPandas()
-    assert abs((kept.tokens * kept.probability).sum() - 0.4 * total) < 1e-3
-    assert ((kept.probability > 0) & (kept.probability <= 1)).all()
+    for keep in (0.4, 0.2):
+        kept = M.probabilities(spark.createDataFrame(made), keep, powers).toPandas()
+        share = (kept.tokens * kept.probability).sum() / total
+        # The rows without a source can't give more than all of their tokens.
+        scarce = made.tokens[made.source.isna()].sum() / total
+        goal = {dim: made.tokens.groupby(made[dim].fillna("-")).sum().astype(float) ** power for dim, power in powers.items()}
+        assert abs(share - min(keep, M.SLACK * scarce / (goal["source"]["-"] / goal["source"].sum()))) < 1e-3
+        assert ((kept.probability > 0) & (kept.probability <= 1)).all()
+        for dim in powers:
+            have = (kept.tokens * kept.probability).groupby(kept[dim].fillna("-")).sum()
+            assert (have / have.sum() - goal[dim] / goal[dim].sum()).abs().max() < 0.01 * share
 
 
 def test_sample(spark):
@@ -27,7 +38,8 @@ def test_sample(spark):
     df = spark.createDataFrame([(*r, "clash", 2.0) for r in rows], "doc_id long, text string, lang string, source string, topic string, weight double")
     report = M.mixing_report(df).cache()
     share = report.agg(F.sum(F.when(F.col("kept"), F.col("tokens"))) / F.sum("tokens")).first()[0]
-    assert abs(share - M.KEEP) < 0.05
+    expected = report.agg(F.sum(F.col("probability") * F.col("tokens")) / F.sum("tokens")).first()[0]
+    assert abs(share - expected) < 0.05 and 0.2 < expected <= M.KEEP
     kept = M.mixed(df)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in report.filter("kept").collect()}
@@ -72,6 +84,29 @@ def test_contradicting_marginals_are_reported(spark):
         assert M.rake(cells, M.POWERS).count() == 2
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are absent")
+def test_sampled_tokens_of_the_tables_have_the_target_marginals(spark):
+    """Expected tokens within 1 % of their targets on all documents."""
+    made = M.mixing_report(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
+    for dim, power in M.POWERS.items():
+        n = made.tokens.groupby(made[dim].fillna("-")).sum().astype(float)
+        have = (made.tokens * made.probability).groupby(made[dim].fillna("-")).sum()
+        assert (have / have.sum() / (n**power / (n**power).sum()) - 1).abs().max() < 0.01
+
+
+def test_sql_agrees_with_nulls(spark):
+    import duckdb
+
+    draw = random.Random(8)
+    rows = [(i if i % 90 else None, draw.choice([None, "", "a b c d !!", "x | y", "p q r s t u", "*** z"]), draw.choice([None, "en", "en", "de"]), draw.choice([None, "s", "s", "t"])) for i in range(2000)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    con = duckdb.connect()
+    con.register("documents", documents.toPandas().astype({"doc_id": "Int64"}))
+    names = ["source", "lang", "topic", "tokens", "weight", "probability", "kept"]
+    key = lambda rows: sorted(str([round(x, 5) if isinstance(x, float) else x for x in r]) for r in rows)
+    assert key(con.execute(f"SELECT {', '.join(names)} FROM ({M.mixing_sql()})").fetchall()) == key(tuple(r) for r in M.mixing_report(documents).select(*names).collect())
+
+
 def test_both_ways_of_fitting_agree(spark, monkeypatch):
     cells = spark.createDataFrame([("a", "en", "t", 900), ("b", "de", "t", 100), ("a", "de", "t", 50), (None, "en", "t", 7), ("b", "en", "t", 0)], "source string, lang string, topic string, tokens long")
     monkeypatch.setattr(M, "DRIVER_CELLS", 0)
@@ -80,6 +115,9 @@ def test_both_ways_of_fitting_agree(spark, monkeypatch):
     monkeypatch.setattr(M, "DRIVER_CELLS", 9)
     again = {r[:3]: r.weight for r in M.rake(cells, M.POWERS, rounds=3).collect()}
     assert there.keys() == again.keys() and all(abs(there[k] - again[k]) < 1e-9 for k in there)
+    bounded = {r[:3]: r.probability for r in M.probabilities(cells, 0.6, rounds=3).collect()}
+    monkeypatch.setattr(M, "DRIVER_CELLS", 0)
+    assert all(abs(bounded[r[:3]] - r.probability) < 1e-9 for r in M.probabilities(cells, 0.6, rounds=3).collect())
 
 
 def test_stage_has_the_target_marginals(spark):
