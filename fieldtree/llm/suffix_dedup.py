@@ -9,10 +9,10 @@ or in two. The exact answer takes four steps, each bounded in memory per task:
    their anchor's hash, and those whose anchor occurs once can't hold a repeated string.
 2. *Shards.* The text of the remaining runs is dealt by anchor, in blocks of at most ``BLOCK``
    runs, and blocks are put together to shards of about ``SHARD_BYTES``. Runs with equal text are
-   one entry with a count. Over the others a shard builds a suffix array (Larsson and Sadakane's
+   one entry with a count. Over all entries a shard builds a suffix array (Larsson and Sadakane's
    refinement: sort by eight bytes, then double the depth of the groups that are not yet single),
-   finds common prefixes in Kasai's order (all runs in step), and marks the strings that share
-   ``LENGTH`` bytes with a neighbour.
+   finds common prefixes in Kasai's order (all entries in step), and marks the strings that share
+   ``LENGTH`` bytes with a neighbour or whose entry counts more than once.
 3. *Merging.* Only anchors with more than one block can have equal strings in different shards.
    Their shards give their distinct strings' 128-bit fingerprints, which are dealt by value, sorted
    and looked up by binary search.
@@ -21,7 +21,8 @@ or in two. The exact answer takes four steps, each bounded in memory per task:
 Exact copies are one text with a count; all their bytes are repeated if they have ``LENGTH``.
 Nulls: a null text is empty; ids play no part, so null and repeated ids are kept as they are.
 Texts shorter than ``LENGTH`` keep all their bytes, however often they occur. Empty tables give
-empty results and other columns are ignored (``cut_repeats`` keeps them).
+empty results and other columns are ignored (``cut_repeats`` keeps them). Long texts are hashed in
+pieces; besides the text itself a task holds some 60 bytes for each byte of a piece, not of the text.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import slices, stored, to_arrow, unused, utf8
 
 LENGTH, GRAM = 200, 64
-BLOCK = 4096
+BLOCK = 1024
 SHARD_BYTES = 2 << 20
 #: Texts are hashed in pieces of at most so many starting places.
 PIECE = 1 << 19
@@ -225,16 +226,8 @@ def shard_repeats(rows: list[tuple[int, int, bool, bytes, int, int, bytes]]) ->
         entries.setdefault((row[0], row[6]), []).append(k)
     # Anchors with equal strings in other shards, perhaps.
     wide = {row[0] for row in rows if row[2]}
-    distinct: dict[int, int] = {}
-    for anchor, _ in entries:
-        distinct[anchor] = distinct.get(anchor, 0) + 1
     spans, asked = [], []
-    sorted_in = []
-    for (anchor, data), own in entries.items():
-        if distinct[anchor] > 1 or anchor in wide:
-            sorted_in.append((anchor, data, own))
-        elif len(own) > 1:
-            spans += [(rows[k][3], rows[k][4], rows[k][4] + len(data)) for k in own]
+    sorted_in = [(anchor, data, own) for (anchor, data), own in entries.items()]
     if not sorted_in:
         return spans, asked
     sizes = np.array([len(x[1]) for x in sorted_in])
@@ -242,9 +235,9 @@ def shard_repeats(rows: list[tuple[int, int, bool, bytes, int, int, bytes]]) ->
     data = np.frombuffer(b"".join([x[1] for x in sorted_in]), np.uint8)
     order = suffix_array(data)
     shared = common_prefixes(data, order, begins, sizes)
-    whole = np.zeros(len(data), np.int8)  # 1 where a whole string starts in its run
+    whole = np.zeros(len(data), np.int64)  # where a whole string starts in its run, how often the run occurs
     counts = sizes - LENGTH + 1
-    whole[np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())] = 1
+    whole[np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())] = np.repeat([len(x[2]) for x in sorted_in], counts)
     group = np.cumsum(shared < LENGTH) - 1
     size = np.bincount(group, whole[order], group[-1] + 1)
     together = np.empty(len(data), np.int64)
@@ -253,9 +246,7 @@ def shard_repeats(rows: list[tuple[int, int, bool, bytes, int, int, bytes]]) ->
     named: set[int] = set()
     prints = _Fingerprints(data)
     for (anchor, text, own), begin, count in zip(sorted_in, begins.tolist(), counts.tolist()):
-        flags = repeated[begin : begin + count].copy()
-        if len(own) > 1:
-            flags[:] = True
+        flags = repeated[begin : begin + count]
         for k in own:
             spans += [(rows[k][3], a, b) for a, b in _spans(flags, rows[k][4])]
         if anchor in wide:
