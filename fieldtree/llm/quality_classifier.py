@@ -6,8 +6,10 @@ Vectors and layer are trained by stochastic gradient descent in numpy, in one ta
 on at most ``SAMPLE_DOCS`` labelled documents. Which ones is decided by a hash of their id, so it
 does not depend on partitions. All documents are then scored by map-side work alone.
 
-A mean followed by a linear layer is additive, so scoring folds both into one number per bucket.
-Features of a batch of documents are made together in numpy, from whole texts.
+A mean followed by a linear layer is additive, so scoring folds both into one number per bucket, and a
+long text is scored in pieces of about ``CHUNK_BYTES``, cut at white space, whose sums and counts add up
+(a word longer than a piece is several words). Features of a batch of documents are made together in
+numpy, from whole texts, over code points.
 
 Nulls: a null or empty text has no features and gets the trained bias alone; a null id is scored
 and counts as held out by no rule (``held_out`` is null); labels that are null are not learned from;
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import slices, to_arrow, utf8
 
 BUCKETS, DIM = 1 << 18, 8
-#: Lengths of the byte n-grams of a word, which is taken with a space at either end.
+#: Lengths of the character n-grams of a word, which is taken with a space at either end.
 GRAMS = (3, 4)
 EPOCHS, RATE = 3, 2.0
 #: At most so many labelled documents are learned from.
@@ -43,28 +45,52 @@ def _bucket(keys: np.ndarray) -> np.ndarray:
     return ((keys * _SPREAD) >> np.uint64(40)) % np.uint64(BUCKETS)
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def pieces(text: bytes) -> list[tuple[bytes, int]]:
+    """A text in pieces, each with the word ahead of it, and that word's size in code points with its space."""
+    if len(text) <= CHUNK_BYTES:
+        return [(text, 0)]
+    text, out, at, word = text.translate(_TO_SPACE), [], 0, b""
+    while at < len(text):
+        stop = min(len(text), at + CHUNK_BYTES)
+        if stop < len(text):
+            space = text.rfind(b" ", at, stop + 1)
+            if space > at:
+                stop = space
+            else:
+                stop -= next((k for k in range(3) if text[stop - k] & 0xC0 != 0x80), 0)  # not inside a code point
+        part = text[at:stop]
+        out.append((word + b" " + part, len(word.decode("utf-8", "replace")) + 1) if word else (part, 0))
+        last = part.rsplit(None, 1)
+        word = last[-1] if last else word
+        at = stop
+    return out
+
+
+def features(texts: list[bytes], lead: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all features of some documents, and which document each is of.
 
-    Features are words, byte n-grams within words and pairs of neighbouring words. A word that
-    repeats its neighbour gives one feature in common with every other such pair.
+    Features are words, character n-grams within words and pairs of neighbouring words. Of the first
+    ``lead`` characters of a text only the pair with the word behind them counts.
     """
-    raw = b" ".join([b"", *(t.translate(_TO_SPACE) for t in texts), b""])
-    data = np.frombuffer(raw, np.uint8)
+    read = [t.translate(_TO_SPACE).decode("utf-8", "replace") for t in texts]
+    data = np.frombuffer(" ".join(["", *read, ""]).encode("utf-32-le"), np.uint32)
     # Document k owns the space ahead of its text and the text itself.
-    first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    first = np.cumsum([0, *(len(t) + 1 for t in read)])
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
+    own = np.ones(len(data), bool)
+    for k, n in enumerate(lead or ()):
+        own[first[k] : first[k] + n] = False
     solid = data != 32
     starts = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
     made, owners = [], []
     for n in GRAMS:
-        whole = solid[1 : len(data) - n + 2].copy()
+        whole = solid[1 : len(data) - n + 2] & own[: len(data) - n + 1]
         for k in range(2, n - 1):
             whole &= solid[k : len(data) - n + 1 + k]
         at = np.flatnonzero(whole[: max(0, len(data) - n + 1)])
         keys = np.full(len(at), n, np.uint64)
         for k in range(n):
-            keys = keys << np.uint64(8) | data[at + k]
+            keys = (keys << np.uint64(16)) * np.uint64(0x9E3779B1) ^ data[at + k]
         made.append(_bucket(keys))
         owners.append(owner[at])
     if len(starts):
@@ -73,13 +99,11 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         inside = np.flatnonzero(solid)
         offsets = np.arange(len(inside)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         codes = np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * _POWERS[offsets & 255], np.cumsum(sizes) - sizes)
-        words = owner[starts]
-        made.append(_bucket(codes))
-        owners.append(words)
-        near = np.flatnonzero(words[1:] == words[:-1])
-        pairs = codes[near] * np.uint64(31) + codes[near + 1]
-        pairs[codes[near] == codes[near + 1]] = 1
-        made.append(_bucket(pairs))
+        words, counted = owner[starts], own[starts]
+        made.append(_bucket(codes[counted]))
+        owners.append(words[counted])
+        near = np.flatnonzero((words[1:] == words[:-1]) & counted[1:])
+        made.append(_bucket(codes[near] * np.uint64(31) + codes[near + 1]))
         owners.append(words[near])
     return np.concatenate(made).astype(np.uint32), np.concatenate(owners)
 
@@ -91,30 +115,49 @@ class Model:
         self.weights, self.bias = weights, bias
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """Of each text; taken together by about ``CHUNK_BYTES``, so that the arrays stay small."""
-        cuts = np.cumsum([len(t) for t in texts]) // CHUNK_BYTES
-        groups = np.split(np.arange(len(texts)), np.flatnonzero(np.diff(cuts)) + 1) if texts else []
-        return np.concatenate([np.zeros(0), *(self._score([texts[i] for i in g]) for g in groups)])
-
-    def _score(self, texts: list[bytes]) -> np.ndarray:
-        found, owners = features(texts)
-        sums = np.bincount(owners, self.weights[found], len(texts))
-        counts = np.bincount(owners, minlength=len(texts))
+        """Of each text; pieces are taken together by about ``CHUNK_BYTES``, so that the arrays stay small."""
+        sums, counts = np.zeros(len(texts)), np.zeros(len(texts))
+        group: list[tuple[int, bytes, int]] = []
+        size = 0
+
+        def flush() -> None:
+            found, owners = features([g[1] for g in group], [g[2] for g in group])
+            place = np.array([g[0] for g in group])
+            np.add.at(sums, place, np.bincount(owners, self.weights[found], len(group)))
+            np.add.at(counts, place, np.bincount(owners, minlength=len(group)))
+
+        for k, text in enumerate(texts):
+            for piece, lead in pieces(text):
+                group.append((k, piece, lead))
+                size += len(piece)
+                if size >= CHUNK_BYTES:
+                    flush()
+                    group, size = [], 0
+        if group:
+            flush()
         return 1 / (1 + np.exp(-np.clip(sums / np.maximum(counts, 1) + self.bias, -500, 500)))
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = 1) -> Model:
-    """Both layers of the network by gradient descent, one document a step."""
-    if not texts:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+def step(shares: np.ndarray, vectors: np.ndarray, layer: np.ndarray, bias: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one document the mean of its features' vectors, how far the softmax is off the label, and that carried back to the mean."""
+    mean = shares @ vectors
+    z = mean @ layer + bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    off = -p
+    off[label] += 1
+    return mean, off, layer @ off
+
+
+def network(texts: list[bytes], labels: list[int], seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, layer and bias by gradient descent, one document a step."""
     draw = np.random.default_rng(seed)
     vectors = draw.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     made = []
     for text in texts:
-        found, counts = np.unique(features([text])[0], return_counts=True)
+        found, counts = np.unique(np.concatenate([np.zeros(0, np.uint32), *(features([piece], [lead])[0] for piece, lead in pieces(text))]), return_counts=True)
         made.append((found, (counts / max(1, counts.sum())).astype(np.float32)))
-    target = np.zeros(2, np.float32)
     share = np.clip(np.mean(labels), 1e-3, 1 - 1e-3)
     bias[:] = np.log([1 - share, share])
     steps, done = EPOCHS * len(texts), 0
@@ -123,17 +166,20 @@ def train(texts: list[bytes], labels: list[int], seed: int = 1) -> Model:
             rate = np.float32(RATE * (1 - done / steps))
             done += 1
             places, shares = made[k]
-            mean = shares @ vectors[places]
-            z = mean @ layer + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            target[:] = (0.0, 1.0) if labels[k] else (1.0, 0.0)
-            off = target - p
-            back = layer @ off
+            mean, off, back = step(shares, vectors[places], layer, bias, labels[k])
             layer += rate * np.outer(mean, off)
             bias += rate * np.float32(0.02) * off
             vectors[places] += rate * shares[:, None] * back
-    return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    return vectors, layer, bias
+
+
+def folded(vectors: np.ndarray, layer: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, float]:
+    """A number per bucket, and the bias: the difference of the two classes' activations."""
+    return (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
+
+
+def train(texts: list[bytes], labels: list[int], seed: int = 1) -> Model:
+    return Model(*folded(*network(texts, labels, seed))) if texts else Model(np.zeros(BUCKETS, np.float32), 0.0)
 
 
 def held_out(key: str | Column) -> Column:
