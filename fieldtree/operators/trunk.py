@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import value
 from ..storage import stored
 from .fixpoint import ancestors
-from .tree import climb, labels_of
-
-#: A trunk of at most so many nodes is broadcast for the lookup; a longer one is climbed.
-BROADCAST_NODES = 1_000_000
+from .ordered import before
+from .tree import climb
 
 
 def trunk_chain(nodes: DataFrame) -> DataFrame:
@@ -26,39 +20,23 @@ def trunk_chain(nodes: DataFrame) -> DataFrame:
 
 
 def chained(danglings: DataFrame) -> DataFrame:
-    """node and next from loose nodes (node, f) put in order: each is linked to the next greater one.
-
-    A global order is one partition; loose nodes are few by nature.
-    """
-    return danglings.select("node", F.lead("node").over(Window.orderBy("f", "node")).alias("next"))
+    """node and next from loose nodes (node, f) put in order: each is linked to the next greater one, the last to none."""
+    rows = danglings.select(F.lit(0).alias("grp"), "f", F.col("node").alias("id"), F.lit(True).alias("is_node"))
+    return before(rows, descending=True).select(F.col("id").alias("node"), F.col("prev").alias("next"))
 
 
 def as_of(vertices: DataFrame, chain: DataFrame) -> DataFrame:
-    """id and arc: for ``vertices`` (id, f) the greatest node of ``chain`` (node, f) that is not above.
+    """id and arc: for ``vertices`` (id, f) the greatest node of ``chain`` (node, f) that is not above; null if all are.
 
-    ``chain`` must have at most ``BROADCAST_NODES`` rows; it is sorted, sent once, and searched.
+    Both go through one order, dealt by ranges; neither side is sent to all tasks or to the driver.
     """
-    rows = chain.select("f", "node").toPandas().sort_values(["f", "node"])
-    if len(rows) > BROADCAST_NODES:
-        raise ValueError("the chain is too long to broadcast")
-    sent = vertices.sparkSession.sparkContext.broadcast((rows["f"].to_numpy(np.float32), rows["node"].to_numpy(np.int64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, node = sent.value
-        pairs = np.rec.fromarrays([f, node], names="f,id")
-        for batch in batches:
-            asked = np.rec.fromarrays([batch.column("f").to_numpy(), batch.column("id").to_numpy()], names="f,id")
-            at = np.searchsorted(pairs, asked, "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.where(at >= 0, node[np.maximum(at, 0)], -1))], names=["id", "arc"])
-
-    return vertices.select("id", "f").mapInArrow(run, "id long, arc long").select("id", F.when(F.col("arc") >= 0, F.col("arc")).alias("arc"))
+    both = vertices.select(F.lit(0).alias("grp"), "f", "id", F.lit(False).alias("is_node")).unionByName(chain.select(F.lit(0).alias("grp"), "f", F.col("node").alias("id"), F.lit(True).alias("is_node")))
+    return before(both).filter("NOT is_node").select("id", F.col("prev").alias("arc"))
 
 
 def trunk_labels(field: DataFrame, basin: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, arc and arc_value like ``labels_of``: climb to the trunk, then look up on it."""
     chain = stored(trunk_chain(nodes).select("node", "f"), "trunk")
-    if chain.limit(BROADCAST_NODES + 1).count() > BROADCAST_NODES:
-        return labels_of(field, basin, nodes)
     on = chain.select("node")
     start = field.select("id", "f").join(basin.select("id", F.col("basin").alias("arc")), "id")
     # The trunk's nodes absorb: nothing climbs on from them.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.order import show_value, value
-from ..operators import critical, fixpoint, grid, sets, tree, trunk
+from ..operators import critical, fixpoint, grid, ordered, sets, tree, trunk
 from ..schema import GridSpec
 from ..sources import fields
 from ..sources.vtk_io import arc_lines
@@ -45,7 +45,7 @@ def embeddings_field(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, GridS
 
 
 def _tree(spark: SparkSession, sf_dir: str, name: str) -> MergeTree:
-    return merge_tree(field(spark, sf_dir, name), SPECS[name])
+    return merge_tree(field(spark, sf_dir, name), SPECS[name], blocks=BLOCKS[name], checked=True)
 
 
 def _f(df: DataFrame, *columns: str) -> DataFrame:
@@ -108,7 +108,7 @@ def _queries_of(name: str) -> dict[str, Query]:
         "block_counts": lambda s, d: fields.counts(grid.ghosted(made(s, d), blocks)),
         "edges": lambda s, d: _f(grid.edges(made(s, d), spec), "fu", "fv"),
         "degree": lambda s, d: grid.degree(made(s, d), spec),
-        "rank": lambda s, d: made(s, d).select("id", F.row_number().over(_order()).cast("long").alias("rank")),
+        "rank": lambda s, d: ordered.ranked(made(s, d)),
         "show": lambda s, d: made(s, d).select("id", show_value(F.struct(F.col("f").cast("long").alias("f"), "id")).alias("shown")),
         "minima": lambda s, d: _f(critical.minima(made(s, d), spec)),
         "minima_count": lambda s, d: critical.minima_count(made(s, d), spec),
@@ -139,12 +139,6 @@ def _queries_of(name: str) -> dict[str, Query]:
     }
 
 
-def _order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("f", "id")
-
-
 def _sql_of(name: str) -> dict[str, str]:
     spec, blocks = SPECS[name], grid.decompose(SPECS[name], BLOCKS[name])
     X, Y, Z = spec.X, spec.Y, spec.Z

@@ -69,7 +69,7 @@ def check(field: DataFrame, spec: GridSpec) -> DataFrame:
     row = own.agg(
         F.sum("n").alias("n"),
         F.sum("bad").alias("bad"),
-        F.count_if("n > 1").alias("again"),
+        F.count_if(F.col("n") > 1).alias("again"),
         F.count_if(F.col("id").isNull() | (F.col("id") < 0) | (F.col("id") >= spec.n)).alias("outside"),
     ).first()
     if row.bad:
