@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from ..storage import fresh as scratch
 from ..storage import discarded, shared_dir, stored
 
-__all__ = ["discarded", "open_shared", "row_map", "scratch", "shared_dir", "slices", "stored", "table", "to_arrow", "unused", "utf8"]
+__all__ = ["discarded", "open_shared", "row_map", "scratch", "shared_dir", "slices", "stored", "table", "to_arrow", "trimmed", "unused", "utf8"]
 
 #: Rows of one output batch hold at most about this many bytes of text.
 BATCH_BYTES = 8 << 20
@@ -54,7 +56,7 @@ def row_map(df: DataFrame, schema: str, function: Callable[..., tuple], names: l
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return df.select(*names).mapInArrow(run, schema)
+    return df.select(*names).mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 def to_arrow(df: DataFrame, schema: str) -> pa.Schema:
@@ -74,6 +76,18 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo, step)
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``, and then the memory that the worker has freed goes back to the system: the engine keeps workers for
+    later stages, which need it."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another system's library
+        pass
+
+
 def open_shared(uri: str, mode: str):
     """A binary file in the shared folder: by the operating system where it is a file system path, else by Arrow."""
     if "://" not in uri or uri.startswith("file:"):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, to_arrow, utf8
+from .common import slices, to_arrow, trimmed, utf8
 
 BUCKETS, DIM = 1 << 18, 8
 #: Lengths of the character n-grams of a word, which is taken with a space at either end.
@@ -35,7 +35,7 @@ EPOCHS, RATE = 3, 2.0
 #: At most so many labelled documents are learned from.
 SAMPLE_DOCS = 6_000
 THRESHOLD = 0.3
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 17
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(256, 0xC2B2AE3D27D4EB4F, np.uint64))
 _TO_SPACE = bytes(32 if 9 <= c <= 13 else c for c in range(256))
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
                 marks = (scores >= threshold).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(scores), pa.array(marks)], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

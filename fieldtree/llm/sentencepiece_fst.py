@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, to_arrow
+from .common import slices, to_arrow, trimmed
 
 SPACE = "▁"
 #: A character that isn't white space ahead of one that is: where a text may be cut.
@@ -48,7 +48,7 @@ CACHE_WORDS, CACHE_NEIGHBOURS = 200_000, 400_000
 #: Texts are encoded together by about so many characters.
 GROUP_CHARS = 1 << 20
 #: Inputs are composed together by so many characters; longer ones than ``STEPS`` are relaxed alone.
-LATTICE_CHARS, STEPS = 1 << 18, 64
+LATTICE_CHARS, STEPS = 1 << 17, 64
 #: Ids are decoded by so many.
 DECODE_IDS = 1 << 18
 INFINITE = float("inf")
@@ -717,4 +717,4 @@ def encoded(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "tex
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(counts), lists.cast(arrow.field("ids").type), pa.array(sums), pa.array([b == t for b, t in zip(back, texts)])], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda batches: trimmed(run(batches)), schema)

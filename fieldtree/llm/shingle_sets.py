@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, to_arrow
+from .common import slices, stored, to_arrow, trimmed
 from .components import components
 
 SEED = 42
@@ -176,7 +176,7 @@ def sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets = [shingle_set(t, words) for t in some.column("payload").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=arrow)
 
-    return rows.select("payload", F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).mapInArrow(run, schema)
+    return rows.select("payload", F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
@@ -262,7 +262,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
     # Few sets have a group other than themselves; rows are many, so they are kept narrow.
     rows = nodes.select("node", "n", F.nullif("group", "node").alias("group"), F.posexplode("first").alias("place", "token")).select("token", "node", "group", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("packed"))
-    return stored(rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, schema), "buckets")
+    return stored(rows.repartition("token").sortWithinPartitions("token").mapInArrow(lambda batches: trimmed(run(batches)), schema), "buckets")
 
 
 def _distinct_buckets(large: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discarded, row_map, slices, stored, to_arrow, unused, utf8
+from .common import discarded, row_map, slices, stored, to_arrow, trimmed, unused, utf8
 from .components import components
 from .shingle_sets import as_set, buckets, digest, frequent, large_links, parity, possible, prefix, shingles, star_pairs, verified
 
@@ -418,7 +418,7 @@ def _sketches(rows: DataFrame, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([*first, np.empty(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), lists.cast(arrow.field("first").type), pa.array(bits, pa.binary())], schema=arrow)
 
-    return rows.select("doc_id", "mark", "payload").mapInArrow(run, schema)
+    return rows.select("doc_id", "mark", "payload").mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 def _candidates(nodes: DataFrame, limit: int) -> DataFrame:

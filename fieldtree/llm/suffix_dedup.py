@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, to_arrow, unused, utf8
+from .common import slices, stored, to_arrow, trimmed, unused, utf8
 
 LENGTH, GRAM = 200, 64
 BLOCK = 1024
@@ -305,7 +305,7 @@ def _anchor_rows(payloads: DataFrame) -> DataFrame:
             tags = np.array([int.from_bytes(d[8:10], "big") for d in digests], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(keys[number]), pa.array(start << 24 | count << 16 | tags[number])], schema=arrow)
 
-    return payloads.mapInArrow(run, schema)
+    return payloads.mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 def _recurring(rows: DataFrame, block_runs: int) -> DataFrame:
@@ -399,7 +399,7 @@ def _shards(runs: DataFrame, shard_bytes: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return runs.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "digest", "start").mapInArrow(run, schema)
+    return runs.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "digest", "start").mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
 def _merged(asked: DataFrame) -> DataFrame:
