@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import value
 from ..schema import GridSpec
-from .grid import edges
+from .grid import Blocks, edges, ghosted, owned
 
 
 def steepest(field: DataFrame, spec: GridSpec) -> DataFrame:
@@ -35,6 +35,11 @@ def minima_count(field: DataFrame, spec: GridSpec) -> DataFrame:
     return minima(field, spec).agg(F.count(F.lit(1)).alias("minima"))
 
 
+def block_minima(field: DataFrame, spec: GridSpec, blocks: Blocks) -> DataFrame:
+    """block and id: the minima that each block has among its own cells; those among its ghost cells are left out."""
+    return owned(ghosted(field, blocks)).join(minima(field, spec).select("id"), "id", "left_semi").select("block", "id")
+
+
 def lower_star(field: DataFrame, spec: GridSpec) -> DataFrame:
     """id and nid: each vertex with its smaller neighbours."""
     e = edges(field, spec)

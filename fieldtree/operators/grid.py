@@ -147,6 +147,11 @@ def ghosted(field: DataFrame, blocks: Blocks) -> DataFrame:
     return field.withColumn("owner", own).withColumn("block", F.explode(F.array_distinct(near))).withColumn("is_ghost", F.col("block") != F.col("owner"))
 
 
+def owned(view: DataFrame) -> DataFrame:
+    """The rows of a block view that aren't ghost cells: each vertex once, in its own block."""
+    return view.filter("NOT is_ghost")
+
+
 def local_coords(view: DataFrame, blocks: Blocks) -> DataFrame:
     """The block view with coordinates, index and neighbour mask within the grown box.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.order import value
 from ..schema import GridSpec
 from .grid import neighbours
+from .ordered import before
 
 
 def boundary(field: DataFrame, spec: GridSpec, members: DataFrame) -> DataFrame:
@@ -43,6 +44,32 @@ def boundary_min(boundary: DataFrame) -> DataFrame:
     return boundary.groupBy("comp").agg(F.min(value()).alias("m")).select("comp", F.col("m.id").alias("id"), F.col("m.f").alias("f"))
 
 
+def ordered_boundary(boundary: DataFrame) -> DataFrame:
+    """comp, id and prev: each boundary in ascending order, as links to the vertex before; null for the least.
+
+    Boundaries are dealt by ranges of the order, so a large one is spread over tasks. An empty table gives an
+    empty one; rows are expected without repeats and nulls.
+    """
+    rows = boundary.select(F.col("comp").alias("grp"), "f", "id", F.lit(True).alias("is_node"))
+    return before(rows).select(F.col("grp").alias("comp"), "id", "prev")
+
+
+def most_shared(shared: DataFrame) -> DataFrame:
+    """a and b of the two components that share most vertices (``shared_vertices``), ties to the smaller pair; no row without any."""
+    sizes = shared.groupBy("a", "b").agg((-F.count(F.lit(1))).alias("n"))
+    return sizes.agg(F.min(F.struct("n", "a", "b")).alias("m")).filter("m IS NOT NULL").select("m.a", "m.b")
+
+
+def inherit(members: DataFrame, arcs: DataFrame) -> DataFrame:
+    """``members`` (arc, id) with those of the arcs that end at a saddle given to the arc that starts there, too.
+
+    One level: call it again for the next. The root's members stay; arcs that ``arcs`` (extremum, saddle)
+    doesn't name are kept and hand on nothing.
+    """
+    up = arcs.filter("saddle IS NOT NULL").select(F.col("extremum").alias("arc"), "saddle")
+    return members.select("arc", "id").unionByName(members.join(up, "arc").select(F.col("saddle").alias("arc"), "id"))
+
+
 def shared_vertices(boundary: DataFrame) -> DataFrame:
     """id, a and b, a < b: vertices that lie on the boundaries of two components.
 

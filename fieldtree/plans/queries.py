@@ -74,6 +74,12 @@ def _two(edge: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edge.join(F.broadcast(first.select("first.comp")), "comp", "left_semi"), edge.join(F.broadcast(second.select("second.comp")), "comp", "left_semi")
 
 
+def _pair(edge: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The boundaries of the two components that share most vertices; both empty if no two share any."""
+    met = F.broadcast(sets.most_shared(sets.shared_vertices(edge)))
+    return tuple(edge.join(met.select(F.col(c).alias("comp")), "comp", "left_semi") for c in "ab")
+
+
 def _queries_of(name: str) -> dict[str, Query]:
     spec, blocks = SPECS[name], grid.decompose(SPECS[name], BLOCKS[name])
     made = lambda s, d: field(s, d, name)
@@ -98,7 +104,67 @@ def _queries_of(name: str) -> dict[str, Query]:
 
         return query
 
+    def pair_set(pick: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+        return lambda s, d: pick(*_pair(_boundaries(s, d, name)[1]))
+
+    def members(made: DataFrame) -> DataFrame:
+        return tree.basins(made, spec).select(F.col("basin").alias("comp"), "id")
+
+    def basin_split(s: SparkSession, d: str) -> DataFrame:
+        """Members of each minimum's basin, before any move up, against the saddle that ends its arc."""
+        t = built(s, d)
+        end = t.nodes.filter("saddle IS NOT NULL").select(F.col("node").alias("basin"), F.struct(F.col("fs").alias("f"), F.col("saddle").alias("id")).alias("middle"))
+        below, above = sets.split_members(t.basin.select("id", "basin").join(t.field.select("id", "f"), "id").join(end, "basin"), F.col("middle"))
+        return below.select("id", F.lit("below").alias("side")).unionByName(above.select("id", F.lit("above").alias("side")))
+
+    def latest(s: SparkSession, d: str) -> DataFrame:
+        """Each block answers for a basin with every cell that it sees of it, the id as counter."""
+        field_ = made(s, d)
+        seen = grid.ghosted(field_, blocks).join(tree.basins(field_, spec), "id")
+        return _f(sets.latest_answers(seen.select(F.col("basin").alias("arc"), F.col("block").alias("location"), F.col("id").alias("counter"), "f")))
+
+    def peers(s: SparkSession, d: str) -> DataFrame:
+        field_ = made(s, d)
+        found = sets.peers(grid.ghosted(field_, blocks), members(field_))
+        return found.select("comp", F.array_join(F.transform("blocks", lambda b: b.cast("string")), ",").alias("blocks"))
+
+    def fetched(s: SparkSession, d: str) -> DataFrame:
+        arcs = built(s, d).arcs
+        return sets.fetch_or_create(arcs.filter("is_leaf"), arcs.select("extremum", "is_leaf"))
+
+    def sweepable(s: SparkSession, d: str) -> DataFrame:
+        """Of components that hold only their minimum yet."""
+        field_ = made(s, d)
+        return critical.sweepable(field_, spec, critical.minima(field_, spec).select(F.col("id").alias("comp"), "id"))
+
+    def added(s: SparkSession, d: str) -> DataFrame:
+        field_, edge = _boundaries(s, d, name)
+        return _f(sets.add(edge, critical.minima(field_, spec).select(F.col("id").alias("comp"), "id", "f")))
+
+    def without_least(s: SparkSession, d: str) -> DataFrame:
+        edge = _boundaries(s, d, name)[1]
+        return _f(sets.remove(edge, sets.boundary_min(edge)))
+
     return {
+        "value_at": lambda s, d: _f(fields.value_at(s.range(0, spec.n + 10, 3), made(s, d))),
+        "owned": lambda s, d: grid.owned(grid.ghosted(made(s, d), blocks)).select("block", "id"),
+        "block_minima": lambda s, d: critical.block_minima(made(s, d), spec, blocks),
+        "sweepable": sweepable,
+        "ending_saddle": lambda s, d: critical.ending_saddle(made(s, d), spec, members(made(s, d))),
+        "latest_answers": latest,
+        "peers": peers,
+        "fetch_arcs": fetched,
+        "dangling_chain": lambda s, d: trunk.chained(critical.minima(made(s, d), spec).select(F.col("id").alias("node"), "f")),
+        "basin_split": basin_split,
+        "inherited": lambda s, d: sets.inherit(built(s, d).labels().select("arc", "id"), built(s, d).arcs),
+        "boundary_order": lambda s, d: sets.ordered_boundary(_boundaries(s, d, name)[1]),
+        "boundary_add": added,
+        "boundary_without": without_least,
+        "pair_union": pair_set(lambda a, b: _f(sets.unite(a, b))),
+        "pair_common": pair_set(lambda a, b: _f(sets.intersect(a, b)[0])),
+        "pair_first": pair_set(lambda a, b: _f(sets.intersect(a, b)[1].select("id", "f"))),
+        "pair_second": pair_set(lambda a, b: _f(sets.intersect(a, b)[2].select("id", "f"))),
+        "pair_merged": pair_set(lambda a, b: trunk.chained(sets.unite(a, b).select(F.col("id").alias("node"), "f"))),
         "field": lambda s, d: _f(made(s, d).select("id", "f")),
         "coords": lambda s, d: made(s, d).select("id", "x", "y", "z"),
         "box": lambda s, d: _f(fields.box(made(s, d), (1, 0, 0), (5, 3, 2)).select("id", "f")),
@@ -167,7 +233,8 @@ def _sql_of(name: str) -> dict[str, str]:
     ctes["bound"] = "SELECT DISTINCT c.basin AS comp, o.id, o.f FROM bas c JOIN nb ON nb.id = c.id JOIN bas d ON d.id = nb.nid AND d.basin <> c.basin JOIN fld o ON o.id = nb.nid"
     ctes["nb"] = ctes.pop("both")
     ctes["top"] = "SELECT comp, row_number() OVER (ORDER BY count(*) DESC, comp) AS n FROM bound GROUP BY comp"
-    needs = {"fld": [], "fwd": ["fld"], "e": ["fwd"], "low": ["e"], "mins": ["low"], "steep": ["low"], "walk": ["steep"], "bas": ["walk"], "bedge": ["bas"], "rk": ["fld"], "o": ["rk", "low"], "st": ["o"], "lab": ["st"], "node": ["st"], "up": ["node"], "nb": ["e"], "bound": ["bas", "nb"], "top": ["bound"]}
+    ctes["pair"] = "SELECT p.comp AS a, q.comp AS b FROM bound p JOIN bound q ON p.id = q.id AND p.comp < q.comp GROUP BY 1, 2 ORDER BY count(*) DESC, 1, 2 LIMIT 1"
+    needs = {"pair": ["bound"], "fld": [], "fwd": ["fld"], "e": ["fwd"], "low": ["e"], "mins": ["low"], "steep": ["low"], "walk": ["steep"], "bas": ["walk"], "bedge": ["bas"], "rk": ["fld"], "o": ["rk", "low"], "st": ["o"], "lab": ["st"], "node": ["st"], "up": ["node"], "nb": ["e"], "bound": ["bas", "nb"], "top": ["bound"]}
 
     def sql(body: str, *used: str) -> str:
         order: list[str] = []
@@ -193,7 +260,27 @@ def _sql_of(name: str) -> dict[str, str]:
     view = f"SELECT b.*, fld.*, {owner} AS owner FROM fld JOIN ({boxes}) b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1"
     mask = "(CASE WHEN z < z1 THEN 1 ELSE 0 END + CASE WHEN z > z0 THEN 2 ELSE 0 END + CASE WHEN y < y1 THEN 4 ELSE 0 END + CASE WHEN y > y0 THEN 8 ELSE 0 END + CASE WHEN x < x1 THEN 16 ELSE 0 END + CASE WHEN x > x0 THEN 32 ELSE 0 END + CASE WHEN owner <> block THEN 128 ELSE 0 END)"
     one, two = "(SELECT id, f FROM bound JOIN top USING (comp) WHERE n = 1)", "(SELECT id, f FROM bound JOIN top USING (comp) WHERE n = 2)"
+    left, right = ("(SELECT id, f FROM bound WHERE comp = (SELECT %s FROM pair))" % c for c in "ab")
     return {
+        "value_at": sql(f"SELECT r.range::BIGINT AS id, f FROM range(0, {spec.n + 10}, 3) r LEFT JOIN fld ON fld.id = r.range", "fld"),
+        "owned": sql(f"SELECT {owner}::INT AS block, id FROM fld", "fld"),
+        "block_minima": sql(f"SELECT {owner}::INT AS block, id FROM fld WHERE id IN (SELECT id FROM mins)", "mins"),
+        "sweepable": sql("SELECT low.nid AS comp, low.id, (SELECT count(*) FROM low o WHERE o.id = low.id) = 1 AS sweepable FROM low WHERE low.nid IN (SELECT id FROM mins)", "mins"),
+        "ending_saddle": sql("SELECT b.basin AS comp, arg_min(v.id, row(v.f, v.id)) AS saddle FROM low JOIN bas b ON b.id = low.nid JOIN bas o ON o.id = low.id JOIN fld v ON v.id = low.id WHERE o.basin <> b.basin GROUP BY 1", "bas"),
+        "latest_answers": sql(f"SELECT basin AS arc, block::INT AS location, max(v.id) AS counter, arg_max(v.f, v.id) AS f FROM ({view}) v JOIN bas ON bas.id = v.id GROUP BY 1, 2", "bas"),
+        "peers": sql(f"SELECT comp, string_agg(block::VARCHAR, ',' ORDER BY block) AS blocks FROM (SELECT DISTINCT basin AS comp, {owner}::INT AS block FROM fld JOIN bas ON bas.id = fld.id) GROUP BY 1", "bas"),
+        "fetch_arcs": sql("SELECT node AS extremum, CASE WHEN is_leaf THEN saddle END AS saddle, is_leaf FROM node", "node"),
+        "dangling_chain": sql("SELECT id AS node, lead(id) OVER (ORDER BY f, id) AS next FROM mins", "mins"),
+        "basin_split": sql("SELECT v.id, CASE WHEN (v.f, v.id) < (n.fs, n.saddle) THEN 'below' ELSE 'above' END AS side FROM bas JOIN fld v ON v.id = bas.id JOIN node n ON n.node = bas.basin WHERE n.saddle IS NOT NULL", "bas", "node"),
+        "inherited": sql("SELECT arc, id FROM lab UNION ALL SELECT n.saddle, lab.id FROM lab JOIN node n ON n.node = lab.arc WHERE n.saddle IS NOT NULL", "lab", "node"),
+        "boundary_order": sql("SELECT comp, id, lag(id) OVER (PARTITION BY comp ORDER BY f, id) AS prev FROM bound", "bound"),
+        "boundary_add": sql("SELECT comp, id, f FROM bound UNION SELECT id, id, f FROM mins", "bound", "mins"),
+        "boundary_without": sql("SELECT comp, id, f FROM bound WHERE (f, id) <> (SELECT min(row(b.f, b.id)) FROM bound b WHERE b.comp = bound.comp)", "bound"),
+        "pair_union": sql(f"SELECT id, f FROM {left} UNION SELECT id, f FROM {right}", "pair"),
+        "pair_common": sql(f"SELECT id, f FROM {left} INTERSECT SELECT id, f FROM {right}", "pair"),
+        "pair_first": sql(f"SELECT id, f FROM {left} EXCEPT SELECT id, f FROM {right}", "pair"),
+        "pair_second": sql(f"SELECT id, f FROM {right} EXCEPT SELECT id, f FROM {left}", "pair"),
+        "pair_merged": sql(f"SELECT id AS node, lead(id) OVER (ORDER BY f, id) AS next FROM (SELECT id, f FROM {left} UNION SELECT id, f FROM {right})", "pair"),
         "field": sql("SELECT id, f FROM fld", "fld"),
         "coords": sql("SELECT id, x, y, z FROM fld", "fld"),
         "box": sql("SELECT id, f FROM fld WHERE x BETWEEN 1 AND 5 AND y BETWEEN 0 AND 3 AND z BETWEEN 0 AND 2", "fld"),
@@ -236,6 +323,7 @@ def _sql_of(name: str) -> dict[str, str]:
 
 #: Queries that build a tree run on three fields, the others on all four.
 _TREES = {"arcs", "saddles", "children", "root", "arc_count", "labels", "arc_value", "arc_size", "arc_lines", "trunk_chain", "trunk_label", "descendant", "member_split", "boundary", "boundary_min", "boundary_shared", "boundary_union", "boundary_intersect", "boundary_remove"}
+_TREES |= {"value_at", "owned", "block_minima", "sweepable", "ending_saddle", "latest_answers", "peers", "fetch_arcs", "dangling_chain", "basin_split", "inherited", "boundary_order", "boundary_add", "boundary_without", "pair_union", "pair_common", "pair_first", "pair_second", "pair_merged"}
 #: Of these, on which fields.
 _ON = {n: ("f1", "f4") for n in _TREES} | {n: ("f1", "f2", "f3", "f4") for n in ("arcs", "labels")} | {"trunk_label": ("f1", "f2", "f4"), "arc_count": ("f1", "f3", "f4")}
 
