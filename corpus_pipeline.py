@@ -64,7 +64,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document; null ids stay null, repeated rows give repeated results."""
-    return encoded(docs, read_model(TOKENIZER))
+    return encoded(docs, read_model(TOKENIZER), words=1 << 16, group=1 << 18)
 
 
 STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("suffix-array dedup", passage_dedup), ("source mixing", mixing), ("SentencePiece encoding", encode)]

@@ -194,7 +194,7 @@ class Normaliser:
 class Transducer:
     """A model compiled for encoding and decoding."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, words: int | None = None, group: int | None = None):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -228,6 +228,7 @@ class Transducer:
         self.edges: tuple[dict[str, list], dict[str, list]] = {}, {}
         self.packing = "H" if len(self.pieces) <= 1 << 16 else "I"
         #: Encoded stretches, packed; the older half is dropped when the newer one is full.
+        self.words, self.group = words, group
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -549,7 +550,7 @@ class Transducer:
                 found[k] = x
             for k in missing:
                 if len(stretches[k]) < 256:
-                    if len(self.cache) >= CACHE_WORDS:
+                    if len(self.cache) >= (self.words or CACHE_WORDS):
                         self.cache, self.older = {}, self.cache
                     self.cache[stretches[k]] = found[k]
         return found
@@ -563,7 +564,7 @@ class Transducer:
         text = self.normalise.rewritten(text)
         lo = 0
         while lo < len(text) or not lo:
-            hi = min(lo + GROUP_CHARS, len(text))
+            hi = min(lo + (self.group or GROUP_CHARS), len(text))
             if hi < len(text) and self.split:
                 # Ahead of a run of white space (of a run that is cut, its beginning).
                 found = _BREAK.search(text, hi)
@@ -592,7 +593,7 @@ class Transducer:
                 group.append(cut)
                 owner.append(k)
                 size += len(cut)
-                if size >= GROUP_CHARS:
+                if size >= (self.group or GROUP_CHARS):
                     flush()
                     group, owner, size = [], [], 0
         if group:
@@ -690,10 +691,11 @@ def read_model(path: str) -> bytes:
         return source.read()
 
 
-def encoded(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", words: int | None = None, group: int | None = None) -> DataFrame:
     """doc_id, n_pieces, ids, decoded_sha256 and intact of every row; no shuffle.
 
-    The model's file, of fixed size, goes out as a broadcast and is compiled once in a task.
+    The model's file, of fixed size, goes out as a broadcast and is compiled once in a task. A task keeps about
+    ``words`` encoded words and encodes texts together by ``group`` characters; both are a matter of memory alone.
     """
     Transducer(model).verify()
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -704,10 +706,11 @@ def encoded(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = None
         for batch in batches:
-            fst = fst or Transducer(sent.value)
+            fst = fst or Transducer(sent.value, words, group)
             for part in slices(batch):
                 # A batch of very long rows is cut further.
-                step = max(1, part.num_rows * GROUP_CHARS // max(part.nbytes, GROUP_CHARS))
+                size = group or GROUP_CHARS
+                step = max(1, part.num_rows * size // max(part.nbytes, size))
                 for lo in range(0, part.num_rows, step):
                     some = part.slice(lo, step)
                     texts = some.column("text").to_pylist()
