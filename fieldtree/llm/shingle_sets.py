@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -238,7 +238,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
         held, going = None, None  # going: a large bucket whose beginning has been written
         for batch in batches:
             token, node, packed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "node", "packed"))
-            group = pa.compute.coalesce(batch.column("group"), batch.column("node"))
+            group = pc.coalesce(batch.column("group"), batch.column("node"))
             now = (token, node, packed >> 32, group.to_numpy(zero_copy_only=False), packed & 0xFFFFFFFF)
             held = now if held is None else tuple(map(np.concatenate, zip(held, now)))
             if going is not None and len(held[0]):

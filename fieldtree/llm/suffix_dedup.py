@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -428,7 +429,7 @@ def _merged(asked: DataFrame) -> DataFrame:
         if inner.any():
             some = pairs[inner]
             found[inner] = np.searchsorted(some, some, "right") - np.searchsorted(some, some, "left") > 1
-        kept = rows.filter(pa.array(found)).filter(pa.compute.is_valid(rows.filter(pa.array(found)).column("digest")))
+        kept = rows.filter(pa.array(found)).filter(pc.is_valid(rows.filter(pa.array(found)).column("digest")))
         start = kept.column("start").to_numpy()
         return pa.RecordBatch.from_arrays([kept.column("digest").combine_chunks() if len(kept) else pa.array([], pa.binary()), pa.array(start), pa.array(start + LENGTH)], schema=arrow)
 
