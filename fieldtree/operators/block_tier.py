@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,8 +172,8 @@ def _block_tree(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _region_tree(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    edge = table.filter(pa.compute.equal(table["kind"], 0))
-    open_ = table.filter(pa.compute.equal(table["kind"], 1))["a"].to_numpy()
+    edge = table.filter(pc.equal(table["kind"], 0))
+    open_ = table.filter(pc.equal(table["kind"], 1))["a"].to_numpy()
     deaths, kept = merge_region(*(edge[c].to_numpy() for c in ("a", "b", "fa", "fb", "f", "s")), open_)
     return _region_rows(deaths, kept, np.empty((0, 2), np.int64), key[0].as_py())
 
