@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from .simhash_dedup import hex_print, near_duplicates
 from .source_mixing import mixing_report, mixing_sql
 from .suffix_dedup import repeat_report
 from .url_filters import verdicts, verdicts_sql
+from .vector_packing import packed
 from .warc_archive import archived_pages
 
 #: The public tokenizer whose model operator 9 compiles; read by the driver.
@@ -67,7 +69,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER)
     return encoded(table(spark, sf_dir, "documents"), read_model(model))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_source_mixing, op3_chat_format, op4_hnsw, op5_simhash, op6_mpeg_audio, op7_quality, op8_url_filters, op9_sentencepiece, op10_suffix_dedup)}
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_source_mixing, op3_chat_format, op4_hnsw, op5_simhash, op6_mpeg_audio, op7_quality, op8_url_filters, op9_sentencepiece, op10_suffix_dedup, op12_vector_packing)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Of the digest's hex digits, five at a time, four base32 digits.
