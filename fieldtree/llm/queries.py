@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import digest_chats, format_chats
 from .common import table
+from .conversation_repair import damaged, repair_report, repair_sql
 from .hnsw_index import build_index, search_index
 from .mpeg_audio import audio_features
 from .quality_classifier import quality_scores
@@ -73,7 +74,11 @@ def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_source_mixing, op3_chat_format, op4_hnsw, op5_simhash, op6_mpeg_audio, op7_quality, op8_url_filters, op9_sentencepiece, op10_suffix_dedup, op12_vector_packing)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_source_mixing, op3_chat_format, op4_hnsw, op5_simhash, op6_mpeg_audio, op7_quality, op8_url_filters, op9_sentencepiece, op10_suffix_dedup, op12_vector_packing, op13_conversation_repair)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Of the digest's hex digits, five at a time, four base32 digits.
@@ -97,4 +102,4 @@ sum(length(longer) + CASE role WHEN 'user' THEN 18 WHEN 'system' THEN 20 WHEN 'a
 FROM made GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_source_mixing": mixing_sql(), "op3_chat_format": OP3_SQL, "op8_url_filters": verdicts_sql()}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_source_mixing": mixing_sql(), "op3_chat_format": OP3_SQL, "op8_url_filters": verdicts_sql(), "op13_conversation_repair": repair_sql()}
