@@ -16,6 +16,7 @@ from .mpeg_audio import audio_features
 from .quality_classifier import quality_scores
 from .sentencepiece_fst import encoded, read_model
 from .simhash_dedup import hex_print, near_duplicates
+from .source_divergence import divergence, divergence_sql
 from .source_mixing import mixing_report, mixing_sql
 from .suffix_dedup import repeat_report
 from .url_filters import verdicts, verdicts_sql
@@ -70,6 +71,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER)
     return encoded(table(spark, sf_dir, "documents"), read_model(model))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -78,7 +83,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_source_mixing, op3_chat_format, op4_hnsw, op5_simhash, op6_mpeg_audio, op7_quality, op8_url_filters, op9_sentencepiece, op10_suffix_dedup, op12_vector_packing, op13_conversation_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_source_mixing, op3_chat_format, op4_hnsw, op5_simhash, op6_mpeg_audio, op7_quality, op8_url_filters, op9_sentencepiece, op10_suffix_dedup, op11_source_divergence, op12_vector_packing, op13_conversation_repair)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Of the digest's hex digits, five at a time, four base32 digits.
@@ -102,4 +107,4 @@ sum(length(longer) + CASE role WHEN 'user' THEN 18 WHEN 'system' THEN 20 WHEN 'a
 FROM made GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_source_mixing": mixing_sql(), "op3_chat_format": OP3_SQL, "op8_url_filters": verdicts_sql(), "op13_conversation_repair": repair_sql()}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_source_mixing": mixing_sql(), "op3_chat_format": OP3_SQL, "op8_url_filters": verdicts_sql(), "op11_source_divergence": divergence_sql(), "op13_conversation_repair": repair_sql()}
