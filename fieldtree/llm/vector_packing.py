@@ -23,8 +23,11 @@ row. An empty table gives an empty one. Columns besides id and text play no part
 
 from __future__ import annotations
 
+import gc
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -119,16 +122,26 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: Capacity, rule: str
     return np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
+def _bytes(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 class _Ids:
     """Ids of texts as bytes, little-endian and unsigned with 32 bits, through a store of words that the worker keeps.
 
     The tokenizer's pattern always parts a text ahead of a space that something else than white space follows,
-    so the stretches between these are encoded apart, each new one once. Its special token parts texts, too.
+    so the stretches between these are encoded apart, each new one once. It parts letters from a mark behind them, and
+    its special token parts texts, too.
     """
 
     #: By tokenizer file, kept as long as the worker.
     kept: dict[str, "_Ids"] = {}
     END_OF_TEXT = "<|endoftext|>"
+    #: Letters below are letters in every edition of Unicode.
+    LATIN = "\u0250"
     odd = re.compile(r" (?=\s|\Z)")
     part = re.compile(r"(?= \S)")
 
@@ -137,6 +150,10 @@ class _Ids:
 
         self.tokenizer = Tokenizer.from_buffer(model)
         self.words: dict[str, bytes] = {}
+        # A byte's character in the model's vocabulary: its own if it has a printed one, else one from 256 on.
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(printed))}
+        self.marks = {m: _bytes(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,!?;:"}
 
     @classmethod
     def of(cls, path: str, model: bytes) -> "_Ids":
@@ -152,33 +169,41 @@ class _Ids:
         first, *rest = text.split(" ")
         return [" " + first, *rest]
 
+    def learn(self, asked: set[str]) -> None:
+        """Ids of new stretches. One that is a single word, or that and a mark, is given to the tokenizer's model at once; the others take all of its steps."""
+        words, merge, rest = self.words, self.tokenizer.model.tokenize, []
+        for key in asked:
+            mark = self.marks.get(key[-1:])
+            body = key if mark is None else key[:-1]
+            if body.isalpha() and (body.isascii() or max(body) < self.LATIN):
+                shown = body if body.isascii() else body.encode().decode("latin-1").translate(self.shown)
+                words[key] = _bytes([t.id for t in merge(self.shown[32] + shown)]) + (mark or b"")
+            else:
+                rest.append(key)
+        plain = [p[1:] if p[:1] == " " else " " + p for p in rest]
+        for key, made in zip(rest, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
+            words[key] = _bytes(made.ids)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > WORDS:
             self.words.clear()
-        get, listed, out, asked = self.words.get, [], [], []
-        for text in texts:
+        words, get = self.words, self.words.get
+        whole, listed, asked = {}, [], set()
+        for k, text in enumerate(texts):
             if self.END_OF_TEXT in text:  # rare: as a whole
-                listed.append(None)
+                whole[k] = _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+                listed.append(([], []))
                 continue
             parts = self.parts(text)
             ids = list(map(get, parts))
-            if None in ids:
-                asked += [p for p, v in zip(parts, ids) if v is None]
-                listed.append(parts)
-            else:
-                listed.append(b"".join(ids))
-        if asked:
-            asked = list(dict.fromkeys(asked))
-            plain = [p[1:] if p[:1] == " " else " " + p for p in asked]
-            for key, made in zip(asked, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-                self.words[key] = np.array(made.ids, "<u4").tobytes()
-        words = self.words.__getitem__
-        for text, got in zip(texts, listed):
-            if got is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(got if isinstance(got, bytes) else b"".join(map(words, got)))
-        return out
+            missing = [(i, parts[i]) for i, v in enumerate(ids) if v is None] if None in ids else []
+            asked.update([p for _, p in missing])
+            listed.append((ids, missing))
+        self.learn(asked)
+        for ids, missing in listed:
+            for i, part in missing:
+                ids[i] = words[part]
+        return [whole[k] if k in whole else b"".join(ids) for k, (ids, _) in enumerate(listed)]
 
 
 _PIECES = "{id} {type}, piece int, start long, length long, ids_crc32 long, part int, place long"
@@ -197,6 +222,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = END, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         ids = _Ids.of(tokenizer, model)
+        gc.disable()  # nothing here points back to itself, and lists of words are costly to search for it
         for batch in batches:
             for some in slices(batch):
                 names, made = some.column(0).to_pylist(), ids([t or "" for t in some.column(1).to_pylist()])
@@ -212,6 +238,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = END, id
                     place = _places(np.array(length), seen)
                     columns = [pa.array(name, arrow.field(0).type), *(pa.array(c, f.type) for c, f in zip((piece, start, length, crc, np.full(len(rows), part), place), list(arrow)[1:]))]
                     yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        gc.enable()
 
     return stored(docs.select(id, text).mapInArrow(lambda batches: trimmed(run(batches)), schema), "pieces")
 
