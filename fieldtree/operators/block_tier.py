@@ -1,13 +1,13 @@
 """The block tier: trees of blocks, merged over growing regions, with no task that sees the whole field.
 
-1. *Basins.* A block with its ghost cells follows steepest descent on its own, down to a minimum or a ghost
-   cell. Only pointers from ghost cell to ghost cell are followed by joins.
+1. *Basins.* A block is a row of arrays; it gets the faces of the blocks beside it (``halo``) and follows steepest descent on its
+   own, down to a minimum or a ghost cell. Only pointers from outer cell to outer cell are followed by joins.
 2. *Trees of blocks.* A block joins its basins in order of the vertices that join them. A component is closed
    if none of its basins touches another block; nothing outside can reach it earlier. Where two components
    meet and the one with the greater minimum is closed, that one ends there for good, wherever else the other
    one goes: its death (minimum, saddle, a minimum of what it joins) is final. All else is kept as an edge
    between the two components' least minima, for the next level.
-3. *Regions.* Eight blocks make a region, eight regions a greater one. Fewer basins touch the outside at each
+3. *Regions.* Eight blocks make a region (a prefix of their Z-order), eight regions a greater one. Fewer basins touch the outside at each
    level, so what a task gets grows with the surface of its region and not with its volume.
 4. *Arcs.* A death names some minimum of the component that goes on; the branch it joins is found by following
    deaths up to the level of the saddle, by doubling. The nodes of a branch in order are its arcs.
@@ -17,78 +17,100 @@ Edges at one saddle may be taken in any order: all of the components that meet t
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import value
 from ..schema import GridSpec
 from ..storage import stored
 from .fixpoint import pointer_jump
-from .grid import Blocks, decompose, ghosted
+from .grid import Blocks, decompose, halved
+from .halo import INNER, SIDES, around, beside_rows, cell_rows, cells, face, faces, grown, ids, present, ranks, shape
 from .ordered import before
 
-#: A block holds about so many cells, some 100 bytes each in its task.
-BLOCK_CELLS = 1 << 17
-
-
-def blocks_for(spec: GridSpec, blocks: int | None = None) -> Blocks:
-    return decompose(spec, blocks or max(1, -(-spec.n // BLOCK_CELLS)))
-
-
-class _Box:
-    """The cells of a block's grown box as arrays z, y, x."""
-
-    def __init__(self, table: pa.Table):
-        x, y, z = (table.column(c).to_numpy() for c in "xyz")
-        self.order = np.lexsort((x, y, z))
-        self.shape = tuple(int(c.max() - c.min()) + 1 for c in (z, y, x))
-        self.id, self.f = self.of(table, "id"), self.of(table, "f") + np.float32(0)
-        self.own = ~self.of(table, "is_ghost")
-        rank = np.lexsort((self.id.ravel(), self.f.ravel()))
-        self.by_rank = rank
-        self.rank = np.empty(len(rank), np.int64)
-        self.rank[rank] = np.arange(len(rank))
-        self.rank = self.rank.reshape(self.shape)
-
-    def of(self, table: pa.Table, name: str) -> np.ndarray:
-        return table.column(name).to_numpy(zero_copy_only=False)[self.order].reshape(self.shape)
-
-    def sides(self):
-        """Slices of a cell and its forward neighbour on each axis."""
-        for axis in range(3):
-            yield tuple(slice(None, -1) if k == axis else slice(None) for k in range(3)), tuple(slice(1, None) if k == axis else slice(None) for k in range(3))
-
-
-def _descend(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    box = _Box(table)
-    least = box.rank.copy()
-    for here, there in box.sides():
-        a, b = box.rank[here], box.rank[there]
-        least[here] = np.minimum(least[here], b)
-        least[there] = np.minimum(least[there], a)
-    flat = np.arange(box.rank.size)
-    down = np.where(box.own.ravel(), box.by_rank[least.ravel()], flat)
-    while (down != (further := down[down])).any():
-        down = further
-    own = np.flatnonzero(box.own.ravel())
-    to = down[own]
-    t = table.take(pa.array(box.order[own]))
-    return pa.table({"id": t["id"], "x": t["x"], "y": t["y"], "z": t["z"], "f": t["f"], "target": box.id.ravel()[to], "target_f": box.f.ravel()[to], "exits": ~box.own.ravel()[to]})
-
-
-def block_basins(field: DataFrame, blocks: Blocks) -> DataFrame:
-    """The field (id, x, y, z, f) with basin and basin_f, the minimum that steepest descent ends in; stored."""
-    schema = "id long, x int, y int, z int, f float, target long, target_f float, exits boolean"
-    view = ghosted(field.select("id", "x", "y", "z", "f"), blocks)
-    made = stored(view.select("block", "id", "x", "y", "z", "f", "is_ghost").groupBy("block").applyInArrow(_descend, schema), "block-basins")
-    asked = made.filter("exits").select(F.col("target").alias("id")).distinct()
-    linked = made.join(asked, "id", "left_semi").select("id", F.col("target").alias("p"))
-    roots = pointer_jump(linked).join(made.filter("id = target").select(F.col("id").alias("root"), F.col("f").alias("root_f")), "root")
-    found = made.join(roots.withColumnRenamed("id", "of"), F.col("exits") & (F.col("target") == F.col("of")), "left")
-    return stored(found.select("id", "x", "y", "z", "f", F.coalesce("root", "target").alias("basin"), F.coalesce("root_f", "target_f").alias("basin_f")), "basins")
+#: A block holds at most so many cells, some 100 bytes each in its task; a small field is cut for the cores, into blocks of at least the lesser number.
+BLOCK_CELLS, LEAST_CELLS = 1 << 17, 1 << 12
+
+
+def blocks_for(spec: GridSpec, blocks: int | None = None, cores: int = 1) -> Blocks:
+    """A number of blocks that is asked for, by its prime factors; else blocks by halving, of bounded size, in Z-order."""
+    return decompose(spec, blocks) if blocks else halved(spec, min(BLOCK_CELLS, max(LEAST_CELLS, -(-spec.n // cores))))
+
+
+def _descents(blocks: Blocks) -> Callable:
+    """Of a block with its halo: where steepest descent leads from each cell, and from the outer ones as rows."""
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        values, there = grown(blocks, block, left.column("f")[0].as_py(), right)
+        rank, place = ranks(values, there)
+        least = rank[INNER].copy()
+        for other in around(rank):
+            np.minimum(least, other, out=least)
+        down = np.arange(rank.size).reshape(rank.shape)
+        down[INNER] = place[least]
+        down = down.ravel()
+        while (down != (further := down[down])).any():
+            down = further
+        to = down.reshape(rank.shape)[INNER]
+        id_ = np.broadcast_to(ids(blocks.spec, *cells(blocks, block, 1)), rank.shape)
+        target, outer = id_.ravel()[to], np.zeros(to.shape, bool)
+        for axis, step in SIDES:
+            if blocks.beside(block, axis, step) is not None:
+                outer[tuple((0 if step < 0 else -1) if k == 2 - axis else slice(None) for k in range(3))] = True
+        lists = [pa.array([c], pa.list_(t)) for c, t in ((id_[INNER][outer], pa.int64()), (target[outer], pa.int64()), (values.ravel()[to][outer], pa.float32()))]
+        return pa.table([pa.array([block], pa.int32()), pa.array([values.tobytes()], pa.binary()), pa.array([target.tobytes()], pa.binary()), *lists], names=["block", "grown", "target", "id", "p", "pf"])
+
+    return run
+
+
+def descents(made: DataFrame, blocks: Blocks) -> DataFrame:
+    """A row of arrays for each block of ``tiles``: its values with the halo, and what steepest descent ends in, a minimum or a cell of the halo; stored.
+
+    id, p and pf are lists: the outer cells, where they lead, and the value there.
+    """
+    schema = "block int, grown binary, target binary, id array<long>, p array<long>, pf array<float>"
+    return stored(made.groupBy("block").cogroup(faces(made, blocks).groupBy("block")).applyInArrow(_descents(blocks), schema), "descents")
+
+
+@dataclass
+class Forest:
+    """Trees of blocks: rows of the kinds of ``_region_rows``, and the blocks' cells with their basins as arrays (kind 3)."""
+
+    rows: DataFrame
+    blocks: Blocks
+
+    @property
+    def basins(self) -> DataFrame:
+        """The field (id, x, y, z, f) with basin and basin_f, the minimum that steepest descent ends in; no shuffle."""
+        blocks = self.blocks
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, *columns in zip(*(batch.column(c).to_pylist() for c in ("block", "cells", "basins", "heights"))):
+                    f, basin, height = (np.frombuffer(c, t) for c, t in zip(columns, (np.float32, np.int64, np.float32)))
+                    yield from cell_rows(blocks, block, {"f": f, "basin": basin, "basin_f": height})
+
+        return self.rows.filter("kind = 3").select("block", "cells", "basins", "heights").mapInArrow(run, "id long, x int, y int, z int, f float, basin long, basin_f float")
+
+
+def forest(made: DataFrame, blocks: Blocks) -> Forest:
+    """The trees of all blocks of ``tiles``; stored.
+
+    Outer cells of all blocks are followed from block to block by joins, and each block gets the basins of the cells beside
+    it: rows for surfaces only. A dense field without nulls is expected (``sources.fields.check``).
+    """
+    left = descents(made, blocks)
+    linked = left.select(F.inline(F.arrays_zip("id", "p", "pf")))
+    roots = pointer_jump(linked, carry=("pf",)).select("id", F.col("root").alias("basin"), F.col("pf").alias("basin_f"))
+    met = beside_rows(roots, blocks).select("block", "id", "basin", "basin_f")
+    return Forest(stored(left.select("block", "grown", "target").groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_block_tree(blocks), _REGION + ", cells binary, basins binary, heights binary"), "block-trees"), blocks)
 
 
 def merge_region(a: np.ndarray, b: np.ndarray, fa: np.ndarray, fb: np.ndarray, f: np.ndarray, s: np.ndarray, open_: np.ndarray) -> tuple[list[tuple], list[tuple]]:
@@ -145,87 +167,112 @@ def _region_rows(deaths: list[tuple], kept: list[tuple], contacts: np.ndarray, b
     })
 
 
-def _block_tree(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    box = _Box(table)
-    basin, basin_f, owner = (box.of(table, c) for c in ("basin", "basin_f", "owner"))
-    parts, met = [], [np.empty((0, 2), np.int64)]
-    for here, there in box.sides():
-        own, other = box.own[here], box.own[there]
-        ghost = owner[there]
-        for inside, outside, ghosts in ((own & ~other, there, ghost), (other & ~own, here, owner[here])):
-            cells = here if outside is there else there
-            for side in (cells, outside):
-                met.append(np.stack([basin[side][inside], ghosts[inside]], 1).astype(np.int64))
-        differ = own & (basin[here] != basin[there])
-        rank = np.maximum(box.rank[here], box.rank[there])[differ]
-        parts.append((basin[here][differ], basin[there][differ], basin_f[here][differ], basin_f[there][differ], rank))
-    a, b, fa, fb, rank = (np.concatenate(x) for x in zip(*parts))
-    swap = a > b
-    a, b, fa, fb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, fb, fa), np.where(swap, fa, fb)
-    order = np.lexsort((rank, b, a))
-    a, b, fa, fb, rank = a[order], b[order], fa[order], fb[order], rank[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
-    contacts = np.unique(np.concatenate(met), axis=0)
-    cell = box.by_rank[rank[first]]
-    deaths, kept = merge_region(a[first], b[first], fa[first], fb[first], box.f.ravel()[cell], box.id.ravel()[cell], contacts[:, 0])
-    return _region_rows(deaths, kept, contacts, key[0].as_py())
+def _block_tree(blocks: Blocks) -> Callable:
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        block, spec = key[0].as_py(), blocks.spec
+        size, there = shape(blocks, block), present(blocks, block)
+        values = np.frombuffer(left.column("grown")[0].as_py(), np.float32).reshape(there.shape)
+        target = np.frombuffer(left.column("target")[0].as_py(), np.int64)
+        rank, place = ranks(values, there)
+        id_ = np.broadcast_to(ids(spec, *cells(blocks, block, 1)), there.shape)
+        known, basin_of, height_of = (right.column(c).to_numpy() for c in ("id", "basin", "basin_f"))
+        order = np.argsort(known)
+        known, basin_of, height_of = known[order], basin_of[order], height_of[order]
+
+        def looked(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(known, i)
+            return basin_of[at], height_of[at]
+
+        lo, hi = blocks.corners(block)
+        at = target % spec.X - lo[0], target // spec.X % spec.Y - lo[1], target // (spec.X * spec.Y) - lo[2]
+        own = np.logical_and.reduce([(c >= 0) & (c < h - l) for c, l, h in zip(at, lo, hi)])
+        inner = target.copy()
+        inner_f = values[INNER][tuple(np.where(own, c, 0) for c in reversed(at))]
+        inner[~own], inner_f[~own] = looked(target[~own])
+        basin, basin_f = np.full(there.shape, -1, np.int64), np.zeros(there.shape, np.float32)
+        basin[INNER], basin_f[INNER] = inner.reshape(size), inner_f.reshape(size)
+        met = [np.empty((0, 2), np.int64)]
+        for axis, step in SIDES:
+            other = blocks.beside(block, axis, step)
+            if other is not None:
+                outside = face(step, axis)
+                basin[outside], basin_f[outside] = looked(id_[outside])
+                for side in (outside, face(step, axis, inside=True)):
+                    found = np.unique(basin[side])
+                    met.append(np.stack([found, np.full(len(found), other)], 1))
+        parts = []
+        for axis in range(3):  # an edge belongs to the block of its lower end
+            ahead = tuple(slice(2, None) if k == 2 - axis else slice(1, -1) for k in range(3))
+            differ = there[ahead] & (basin[INNER] != basin[ahead])
+            parts.append((basin[INNER][differ], basin[ahead][differ], basin_f[INNER][differ], basin_f[ahead][differ], np.maximum(rank[INNER], rank[ahead])[differ]))
+        a, b, fa, fb, level = (np.concatenate(x) for x in zip(*parts))
+        swap = a > b
+        a, b, fa, fb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, fb, fa), np.where(swap, fa, fb)
+        order = np.lexsort((level, b, a))
+        a, b, fa, fb, level = a[order], b[order], fa[order], fb[order], level[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+        contacts = np.unique(np.concatenate(met), axis=0)
+        cell = place[level[first]]
+        dead, kept = merge_region(a[first], b[first], fa[first], fb[first], values.ravel()[cell], id_.ravel()[cell], contacts[:, 0])
+        rows = _region_rows(dead, kept, contacts, block)
+        whole = _region_rows([], [], np.empty((1, 2), np.int64), block).set_column(0, "kind", pa.array([3], pa.int32()))
+        contents = (values[INNER], inner, inner_f)
+        for k, name in enumerate(("cells", "basins", "heights")):
+            rows = rows.append_column(name, pa.nulls(rows.num_rows, pa.binary()))
+            whole = whole.append_column(name, pa.array([np.ascontiguousarray(contents[k]).tobytes()], pa.binary()))
+        return pa.concat_tables([rows, whole])
+
+    return run
 
 
 def _region_tree(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     edge = table.filter(pc.equal(table["kind"], 0))
     open_ = table.filter(pc.equal(table["kind"], 1))["a"].to_numpy()
     deaths, kept = merge_region(*(edge[c].to_numpy() for c in ("a", "b", "fa", "fb", "f", "s")), open_)
-    return _region_rows(deaths, kept, np.empty((0, 2), np.int64), key[0].as_py())
-
-
-def deaths(basins: DataFrame, blocks: Blocks) -> DataFrame:
-    """u, uf, host, fs and s: where the component of each minimum but the least ends; stored.
-
-    ``basins``: the field with basin and basin_f (``block_basins``).
-    """
-    view = ghosted(basins, blocks).select("block", "id", "x", "y", "z", "f", "basin", "basin_f", "is_ghost", "owner")
-    now = stored(view.groupBy("block").applyInArrow(_block_tree, _REGION), "block-trees")
-    contacts, done = now.filter("kind = 1").select("a", "b", "block"), [now.filter("kind = 2")]
-    edges, count, step = now.filter("kind = 0").drop("kind"), blocks.count, 1
-
-    def region(block: Column, step: int) -> Column:
-        """The number of the region that a block is in, with ``step`` blocks on each axis."""
-        at = (block % count[0], F.floor(block / count[0]) % count[1], F.floor(block / (count[0] * count[1])))
-        wide = [-(-n // step) for n in count]
-        x, y, z = (F.floor(c / step) for c in at)
-        return (x + y * wide[0] + z * (wide[0] * wide[1])).cast("int")
-
-    while max(count) > step:
-        step *= 2
-        mine, theirs = region(F.col("block"), step), region(F.col("b"), step)
-        still = contacts.filter(mine != theirs).select(mine.alias("at"), F.col("a")).distinct()
+    block = edge["block"][0].as_py() if edge.num_rows else 0  # any block of the region, which kept edges name
+    return _region_rows(deaths, kept, np.empty((0, 2), np.int64), block)
+
+
+def deaths(trees: Forest) -> DataFrame:
+    """u, uf, host, fs and s: where the component of each minimum but the least ends; stored."""
+    now, blocks = trees.rows, trees.blocks
+    contacts, done, level = now.filter("kind = 1").select("a", "b", "block"), [now.filter("kind = 2")], 0
+    edges = now.filter("kind = 0").select("block", "a", "b", "fa", "fb", "f", "s")
+    while blocks.regions(level) > 1:
+        level += 1
+        mine, theirs = blocks.region(F.col("block"), level), blocks.region(F.col("b"), level)
+        still = contacts.filter(mine != theirs).select(mine.alias("block"), F.col("a")).distinct()
         nothing = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in names]
-        rows = edges.select(region(F.col("block"), step).alias("at"), F.lit(0).alias("kind"), "block", "a", "b", "fa", "fb", "f", "s").unionByName(
-            still.select("at", F.lit(1).alias("kind"), F.lit(0).alias("block"), "a", *nothing(("b", "long"), ("fa", "float"), ("fb", "float"), ("f", "float"), ("s", "long")))
+        # Edges name a block of their region, contacts all of theirs.
+        rows = edges.select(blocks.region(F.col("block"), level).alias("at"), F.lit(0).alias("kind"), "block", "a", "b", "fa", "fb", "f", "s").unionByName(
+            still.select(F.col("block").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("block"), "a", *nothing(("b", "long"), ("fa", "float"), ("fb", "float"), ("f", "float"), ("s", "long")))
         )
-        # A region is named by one of its blocks.
-        made = stored(rows.groupBy("at").applyInArrow(_region_tree, _REGION).withColumnRenamed("block", "at"), "region-trees")
-        done.append(made.filter("kind = 2").withColumnRenamed("at", "block"))
-        names = contacts.select("block").distinct().groupBy(region(F.col("block"), step).alias("of")).agg(F.min("block").alias("block"))
-        edges = made.filter("kind = 0").join(names, F.col("at") == F.col("of")).select("a", "b", "fa", "fb", "f", "s", "block")
-    out = done[0]
+        made = stored(rows.groupBy("at").applyInArrow(_region_tree, _REGION), "region-trees")
+        done.append(made.filter("kind = 2"))
+        edges = made.filter("kind = 0").select("block", "a", "b", "fa", "fb", "f", "s")
+    out = done[0].select("a", "fa", "b", "f", "s")
     for more in done[1:]:
-        out = out.unionByName(more)
+        out = out.unionByName(more.select("a", "fa", "b", "f", "s"))
     return stored(out.select(F.col("a").alias("u"), F.col("fa").alias("uf"), F.col("b").alias("host"), F.col("f").alias("fs"), "s"), "deaths")
 
 
-def branches(rows: DataFrame, dead: DataFrame) -> DataFrame:
-    """``rows`` (f, id, at and more) with ``at`` moved from a minimum to the one whose component it is in at the level (f, id).
-
-    A component that has ended at or below the level goes on in the one it has joined. Tables of the 1st,
-    2nd, 4th, ... step hold the highest saddle on the way, and are applied from the longest down.
-    """
-    hop = dead.select("u", F.col("host").alias("to"), value("fs", "s").alias("high"))
+def death_hops(dead: DataFrame) -> list[DataFrame]:
+    """Tables of the 1st, 2nd, 4th, ... component that one goes on in (u, to, high), with the highest saddle on the way."""
+    hop = stored(dead.select("u", F.col("host").alias("to"), value("fs", "s").alias("high")), "steps", rows=F.count(F.lit(1)))
     hops = []
-    while not hop.isEmpty():
+    while hop.metrics["rows"]:
         hops.append(hop)
         far = hop.select(F.col("u").alias("u2"), F.col("to").alias("to2"), F.col("high").alias("high2"))
-        hop = stored(hop.join(far, F.col("to") == F.col("u2")).select("u", F.col("to2").alias("to"), F.greatest("high", "high2").alias("high")), "steps")
+        hop = stored(hop.join(far, F.col("to") == F.col("u2")).select("u", F.col("to2").alias("to"), F.greatest("high", "high2").alias("high")), "steps", rows=F.count(F.lit(1)))
+    return hops
+
+
+def branches(rows: DataFrame, hops: list[DataFrame]) -> DataFrame:
+    """``rows`` (f, id, at and more) with ``at`` moved from a minimum to the one whose component it is in at the level (f, id).
+
+    A component that has ended at or below the level goes on in the one it has joined. ``hops`` (``death_hops``) are
+    applied from the longest down.
+    """
     columns = rows.columns
     for hop in reversed(hops):
         moved = F.when(F.col("high").isNotNull() & (F.col("high") <= value()), F.col("to")).otherwise(F.col("at"))
@@ -233,10 +280,10 @@ def branches(rows: DataFrame, dead: DataFrame) -> DataFrame:
     return rows
 
 
-def branch_nodes(basins: DataFrame, dead: DataFrame) -> DataFrame:
+def branch_nodes(basins: DataFrame, dead: DataFrame, hops: list[DataFrame]) -> DataFrame:
     """branch, node, f, saddle, fs (both null for the root) and is_leaf, stored: the tree's nodes with the arc's upper end."""
     leaves = basins.filter("id = basin").select(F.col("id").alias("branch"), F.col("id").alias("node"), "f", F.lit(True).alias("is_leaf"))
-    joined = branches(dead.select(F.col("fs").alias("f"), F.col("s").alias("id"), F.col("host").alias("at")), dead)
+    joined = branches(dead.select(F.col("fs").alias("f"), F.col("s").alias("id"), F.col("host").alias("at")), hops)
     inner = joined.select(F.col("at").alias("branch"), F.col("id").alias("node"), "f", F.lit(False).alias("is_leaf")).distinct()
     nodes = stored(leaves.unionByName(inner), "branch-nodes")
     next_ = before(nodes.select(F.col("branch").alias("grp"), "f", F.col("node").alias("id"), F.lit(True).alias("is_node")), descending=True)
@@ -245,11 +292,11 @@ def branch_nodes(basins: DataFrame, dead: DataFrame) -> DataFrame:
     return stored(made.select("branch", "node", "f", F.coalesce("prev", "end").alias("saddle"), F.coalesce("prev_f", "end_f").alias("fs"), "is_leaf"), "nodes")
 
 
-def branch_labels(basins: DataFrame, dead: DataFrame, nodes: DataFrame) -> DataFrame:
+def branch_labels(basins: DataFrame, dead: DataFrame, hops: list[DataFrame], nodes: DataFrame) -> DataFrame:
     """id, arc and arc_value of every vertex: the greatest node of its branch that is not above it."""
     start = basins.select("f", "id", F.col("basin").alias("at"))
     ended = start.join(dead.select("u", "fs", "s"), F.col("at") == F.col("u"), "left").select("f", "id", "at", (F.col("u").isNotNull() & (value("fs", "s") <= value())).alias("over"))
     ended = stored(ended, "levels")
-    rows = ended.filter("NOT over").select("f", "id", "at").unionByName(branches(ended.filter("over").select("f", "id", "at"), dead))
+    rows = ended.filter("NOT over").select("f", "id", "at").unionByName(branches(ended.filter("over").select("f", "id", "at"), hops))
     both = rows.select(F.col("at").alias("grp"), "f", "id", F.lit(False).alias("is_node")).unionByName(nodes.select(F.col("branch").alias("grp"), "f", F.col("node").alias("id"), F.lit(True).alias("is_node")))
     return before(both).filter("NOT is_node").select("id", F.col("prev").alias("arc"), F.col("prev_f").cast("float").alias("arc_value"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.order import value
 from ..schema import GridSpec
-from .grid import Blocks, edges, ghosted, owned
+from ..storage import stored
+from .grid import Blocks, edges
+from .halo import local_minima, tiles
 
 
 def steepest(field: DataFrame, spec: GridSpec) -> DataFrame:
@@ -35,9 +37,12 @@ def minima_count(field: DataFrame, spec: GridSpec) -> DataFrame:
     return minima(field, spec).agg(F.count(F.lit(1)).alias("minima"))
 
 
-def block_minima(field: DataFrame, spec: GridSpec, blocks: Blocks) -> DataFrame:
-    """block and id: the minima that each block has among its own cells; those among its ghost cells are left out."""
-    return owned(ghosted(field, blocks)).join(minima(field, spec).select("id"), "id", "left_semi").select("block", "id")
+def block_minima(field: DataFrame, blocks: Blocks) -> DataFrame:
+    """block and id: the minima that each block has among its own cells, which it tells from them and its halo; those among its ghost cells are left out.
+
+    A dense field without nulls is expected (``sources.fields.check``); ties fall to the smaller id.
+    """
+    return local_minima(stored(tiles(field, blocks), "tiles"), blocks)
 
 
 def lower_star(field: DataFrame, spec: GridSpec) -> DataFrame:

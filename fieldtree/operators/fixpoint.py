@@ -10,21 +10,24 @@ from ..storage import stored
 MOST_ROUNDS = 64
 
 
-def pointer_jump(pointers: DataFrame, id: str = "id", p: str = "p") -> DataFrame:
+def pointer_jump(pointers: DataFrame, id: str = "id", p: str = "p", carry: tuple[str, ...] = ()) -> DataFrame:
     """id and root: pointers followed to their fixed points; missing targets are fixed points.
 
+    ``carry`` names columns that tell something of p; the result has them of the root, from the last pointer on the way.
     Each round joins the table with itself, so a chain halves; rounds are the logarithm of the longest
-    chain. Each is stored, so the lineage stays short. Targets that many rows share are a join side
-    that the engine can split.
+    chain. Each is stored, so the lineage stays short, and its write counts the pointers that moved. Targets that many
+    rows share are a join side that the engine can split. Null pointers stay; an empty table gives an empty one.
     """
-    now = stored(pointers.select(F.col(id).alias("id"), F.col(p).alias("p")), "pointers")
+    now = stored(pointers.select(F.col(id).alias("id"), F.col(p).alias("p"), *carry), "pointers", open=F.count_if(F.expr("id <> p")))
+    left = now.metrics["open"]
     for _ in range(MOST_ROUNDS):
-        over = now.select(F.col("id").alias("q"), F.col("p").alias("next")).filter("q <> next")
-        jumped = now.join(over, F.col("p") == F.col("q"), "left").select("id", F.coalesce("next", "p").alias("p"), F.col("next").isNotNull().alias("moved"))
-        now = stored(jumped, "pointers")
-        if now.filter("moved").isEmpty():
-            return now.select("id", F.col("p").alias("root"))
-        now = now.select("id", "p")
+        if not left:
+            return now.select("id", F.col("p").alias("root"), *carry)
+        over = now.select(F.col("id").alias("q"), F.col("p").alias("next"), *(F.col(c).alias(f"next_{c}") for c in carry)).filter("q <> next")
+        moved = F.col("next").isNotNull()
+        jumped = now.join(over, F.col("p") == F.col("q"), "left").select("id", F.coalesce("next", "p").alias("p"), *(F.when(moved, F.col(f"next_{c}")).otherwise(F.col(c)).alias(c) for c in carry), moved.alias("moved"))
+        now = stored(jumped, "pointers", moved=F.count_if("moved"))
+        left, now = now.metrics["moved"], now.select("id", "p", *carry)
     raise RuntimeError("pointers did not settle")
 
 
@@ -34,13 +37,13 @@ def ancestors(parents: DataFrame, id: str = "id", p: str = "p", of: DataFrame |
     The result has as many rows as the sum of the depths; ``of`` keeps it to the paths that are wanted.
     Tables of the 1st, 2nd, 4th, ... ancestor double what is known in each round.
     """
-    one = stored(parents.select(F.col(id).alias("id"), F.col(p).alias("p")), "parents")
+    one = stored(parents.select(F.col(id).alias("id"), F.col(p).alias("p")), "parents", rows=F.count(F.lit(1)))
     start = one if of is None else one.join(of.select("id"), "id", "left_semi")
     known = start.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("steps"))
-    hop, reach = one.filter("p IS NOT NULL"), 1
-    while not hop.isEmpty():
+    hop, reach, left = one.filter("p IS NOT NULL"), 1, one.metrics["rows"]
+    while left:
         more = known.join(hop.select(F.col("id").alias("a"), "p"), F.col("ancestor") == F.col("a")).select("id", F.col("p").alias("ancestor"), F.col("steps") + reach)
         known = stored(known.union(more), "ancestors")
-        hop = stored(hop.alias("l").join(hop.alias("r"), F.col("l.p") == F.col("r.id")).select("l.id", "r.p"), "hops")
-        reach *= 2
+        hop = stored(hop.alias("l").join(hop.alias("r"), F.col("l.p") == F.col("r.id")).select("l.id", "r.p"), "hops", rows=F.count(F.lit(1)))
+        reach, left = reach * 2, hop.metrics["rows"]
     return known

@@ -6,6 +6,7 @@ equi-join that fetches the far end's value.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -90,6 +91,41 @@ class Blocks:
         a, b, c = self.count
         return a * b * c
 
+    def number(self, at: tuple[int, int, int]) -> int:
+        """The number of the box at a place of the lattice of boxes."""
+        return at[0] + at[1] * self.count[0] + at[2] * self.count[0] * self.count[1]
+
+    def place(self, block: int) -> tuple[int, int, int]:
+        a, b, _ = self.count
+        return block % a, block // a % b, block // (a * b)
+
+    def corners(self, block: int) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
+        """First cells of a box, and the cells behind its last."""
+        spans = [self._span(k, i) for k, i in enumerate(self.place(block))]
+        return tuple(s[0] for s in spans), tuple(s[1] for s in spans)
+
+    def _span(self, axis: int, i: int) -> tuple[int, int]:
+        e = (self.spec.X, self.spec.Y, self.spec.Z)[axis]
+        return i * self.size[axis], e if i == self.count[axis] - 1 else (i + 1) * self.size[axis]
+
+    def beside(self, block: int, axis: int, step: int) -> int | None:
+        """The box next to a box, or none."""
+        at = list(self.place(block))
+        at[axis] += step
+        return self.number(tuple(at)) if 0 <= at[axis] < self.count[axis] else None
+
+    def regions(self, level: int) -> int:
+        """How many regions of that level there are: a region joins two boxes, or regions of the level below, on each axis."""
+        return math.prod(-(-k // (1 << level)) for k in self.count)
+
+    def region(self, block: Column, level: int) -> Column:
+        """The region of a level that a box is in."""
+        a, b, _ = self.count
+        at = (block % a, F.floor(block / a) % b, F.floor(block / (a * b)))
+        wide = [-(-k // (1 << level)) for k in self.count]
+        x, y, z = (F.floor(c / (1 << level)) for c in at)
+        return (x + y * wide[0] + z * (wide[0] * wide[1])).cast("int")
+
     def index(self, x: Column, y: Column, z: Column) -> Column:
         """The owner of a cell."""
         at = [F.least(F.floor(c / s), F.lit(k - 1)) for c, s, k in zip((x, y, z), self.size, self.count)]
@@ -104,6 +140,73 @@ class Blocks:
         return lo, hi
 
 
+@dataclass(frozen=True)
+class HalvedBlocks(Blocks):
+    """Boxes by halving, numbered by the cuts that lead to them (Z-order), so that a prefix of the number is a region.
+
+    ``cuts`` has the axis of each cut, the first one first; ``size`` is the largest box. An axis that is cut k times has
+    2**k boxes, whose extents differ by one cell at most.
+    """
+
+    cuts: tuple[int, ...] = ()
+
+    def number(self, at: tuple[int, int, int]) -> int:
+        out, left = 0, [c.bit_length() - 1 for c in self.count]
+        for axis in self.cuts:
+            left[axis] -= 1
+            out = out << 1 | at[axis] >> left[axis] & 1
+        return out
+
+    def place(self, block: int) -> tuple[int, int, int]:
+        at = [0, 0, 0]
+        for k, axis in enumerate(self.cuts):
+            at[axis] = at[axis] << 1 | block >> len(self.cuts) - 1 - k & 1
+        return tuple(at)
+
+    def _span(self, axis: int, i: int) -> tuple[int, int]:
+        e, n = (self.spec.X, self.spec.Y, self.spec.Z)[axis], self.count[axis]
+        return i * e // n, (i + 1) * e // n
+
+    def regions(self, level: int) -> int:
+        return max(1, self.n >> 3 * level)
+
+    def region(self, block: Column, level: int) -> Column:
+        return F.shiftright(block, min(3 * level, 31)).cast("int")
+
+    def index(self, x: Column, y: Column, z: Column) -> Column:
+        at = [F.call_function("div", (c.cast("long") + 1) * n - 1, F.lit(e).cast("long")) for c, n, e in zip((x, y, z), self.count, (self.spec.X, self.spec.Y, self.spec.Z))]
+        out, left = F.lit(0).cast("long"), [c.bit_length() - 1 for c in self.count]
+        for k, axis in enumerate(self.cuts):
+            left[axis] -= 1
+            out = out + F.shiftleft(F.shiftright(at[axis], left[axis]).bitwiseAND(F.lit(1).cast("long")), len(self.cuts) - 1 - k)
+        return out.cast("int")
+
+    def box(self, block: Column) -> tuple[tuple[Column, ...], tuple[Column, ...]]:
+        at = [F.lit(0).cast("long")] * 3
+        for k, axis in enumerate(self.cuts):
+            at[axis] = at[axis] * 2 + F.shiftright(block.cast("long"), len(self.cuts) - 1 - k).bitwiseAND(F.lit(1).cast("long"))
+        over = lambda c, e, n: F.call_function("div", c * e, F.lit(n).cast("long")).cast("int")
+        sides = list(zip(at, (self.spec.X, self.spec.Y, self.spec.Z), self.count))
+        return tuple(over(c, e, n) for c, e, n in sides), tuple(over(c + 1, e, n) - 1 for c, e, n in sides)
+
+
+def halved(spec: GridSpec, most: int) -> HalvedBlocks:
+    """Boxes of at most ``most`` cells, eight or more: the longest axis is halved, the first of equals, until they are small enough.
+
+    A box keeps at least one cell on each axis. No axis of a box is more than twice as long as another (rounded up to a cell), unless the grid itself is shorter there.
+    """
+    if most < 8:
+        raise ValueError("a block needs room for two cells on each axis")
+    extents, cuts = (spec.X, spec.Y, spec.Z), []
+    count, size = [1, 1, 1], list(extents)
+    while math.prod(size) > most:
+        axis = size.index(max(size))
+        cuts.append(axis)
+        count[axis] *= 2
+        size[axis] = -(-extents[axis] // count[axis])
+    return HalvedBlocks(spec, tuple(count), tuple(size), tuple(cuts))
+
+
 def prime_factors(n: int) -> list[int]:
     """Ascending, with repeats."""
     out, p = [], 2

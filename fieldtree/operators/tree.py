@@ -43,10 +43,10 @@ def spanning_forest(graph: DataFrame) -> DataFrame:
     Boruvka's rounds in DataFrame operations: each component takes its least edge, components that
     are linked by these become one. The order is total, so no round closes a cycle.
     """
-    left = stored(graph.select("a", "b", "f", "s", F.col("a").alias("ca"), F.col("b").alias("cb")), "graph")
+    left = stored(graph.select("a", "b", "f", "s", F.col("a").alias("ca"), F.col("b").alias("cb")), "graph", rows=F.count(F.lit(1)))
     kept = None
     key = F.struct("f", "s", "a", "b")
-    while not left.isEmpty():
+    while left.metrics["rows"]:
         sides = left.select(F.col("ca").alias("c"), key.alias("e"), F.col("cb").alias("to")).union(left.select("cb", key, "ca"))
         least = stored(sides.groupBy("c").agg(F.min(F.struct("e", "to")).alias("m")).select("c", "m.e.*", F.col("m.to").alias("to")), "least")
         taken = least.select("a", "b", "f", "s").distinct()
@@ -56,7 +56,7 @@ def spanning_forest(graph: DataFrame) -> DataFrame:
         pointers = least.join(back, "to", "left").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("p"))
         root = pointer_jump(pointers, "c", "p")
         of = lambda n: root.select(F.col("id").alias(f"c{n}"), F.col("root").alias(f"r{n}"))
-        left = stored(left.join(of("a"), "ca").join(of("b"), "cb").filter("ra <> rb").select("a", "b", "f", "s", F.col("ra").alias("ca"), F.col("rb").alias("cb")), "graph")
+        left = stored(left.join(of("a"), "ca").join(of("b"), "cb").filter("ra <> rb").select("a", "b", "f", "s", F.col("ra").alias("ca"), F.col("rb").alias("cb")), "graph", rows=F.count(F.lit(1)))
     return stored(kept, "forest") if kept is not None else graph.select("a", "b", "f", "s")
 
 
@@ -145,12 +145,12 @@ def climb(vertices: DataFrame, nodes: DataFrame) -> DataFrame:
     Binary lifting: tables of the 1st, 2nd, 4th, ... ancestor, applied from the highest down. A table
     of nodes is broadcast only if its size is below the engine's threshold.
     """
-    hop = stored(nodes.filter("saddle IS NOT NULL").select("node", F.col("saddle").alias("up"), F.col("fs").alias("fu")), "hops")
+    hop = stored(nodes.filter("saddle IS NOT NULL").select("node", F.col("saddle").alias("up"), F.col("fs").alias("fu")), "hops", rows=F.count(F.lit(1)))
     hops = []
-    while not hop.isEmpty():
+    while hop.metrics["rows"]:
         hops.append(hop)
         far = hop.select(F.col("node").alias("n"), F.col("up").alias("up2"), F.col("fu").alias("fu2"))
-        hop = stored(hop.join(far, F.col("up") == F.col("n")).select("node", F.col("up2").alias("up"), F.col("fu2").alias("fu")), "hops")
+        hop = stored(hop.join(far, F.col("up") == F.col("n")).select("node", F.col("up2").alias("up"), F.col("fu2").alias("fu")), "hops", rows=F.count(F.lit(1)))
     now = vertices.select("id", "f", "arc")
     for hop in reversed(hops):
         now = now.join(hop, F.col("arc") == F.col("node"), "left").select("id", "f", F.when(F.col("up").isNotNull() & (value("fu", "up") <= value()), F.col("up")).otherwise(F.col("arc")).alias("arc"))

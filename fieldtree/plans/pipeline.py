@@ -9,6 +9,7 @@ from dataclasses import dataclass, field as attribute
 from pyspark.sql import DataFrame
 
 from ..operators import block_tier, tree, trunk
+from ..operators.halo import tiles
 from ..schema import GridSpec
 from ..sources.fields import check
 from ..storage import stored
@@ -25,6 +26,7 @@ class MergeTree:
     basin: DataFrame
     nodes: DataFrame
     deaths: DataFrame | None = None
+    hops: list[DataFrame] = attribute(default_factory=list)
     seconds: dict[str, float] = attribute(default_factory=dict)
     _made: dict[str, DataFrame] = attribute(default_factory=dict)
 
@@ -50,7 +52,7 @@ class MergeTree:
             raise ValueError(f"no label mode {mode}")
         if mode not in self._made:
             if mode == "branch":
-                made = block_tier.branch_labels(self.basin, self.deaths, self.nodes)
+                made = block_tier.branch_labels(self.basin, self.deaths, self.hops, self.nodes)
             else:
                 made = (tree.labels_of if mode == "climb" else trunk.trunk_labels)(self.field, self.basin, self.nodes)
             self._made[mode] = stored(made, "labels")
@@ -77,18 +79,19 @@ def merge_tree(field: DataFrame, spec: GridSpec, blocks: int | None = None, tier
         check(field, spec)
     done("load")
     if tier == "blocks":
-        cut = block_tier.blocks_for(spec, blocks)
+        cut = block_tier.blocks_for(spec, blocks, field.sparkSession.sparkContext.defaultParallelism)
         log.info("%d vertices in %d blocks of %s cells", spec.n, cut.n, "x".join(map(str, cut.size)))
-        basin = block_tier.block_basins(field, cut)
+        trees = block_tier.forest(stored(tiles(field, cut), "tiles"), cut)
         done("basins")
-        dead = block_tier.deaths(basin, cut)
+        dead = block_tier.deaths(trees)
         done("merge")
-        nodes = block_tier.branch_nodes(basin, dead)
+        hops = block_tier.death_hops(dead)
+        nodes = block_tier.branch_nodes(trees.basins, dead, hops)
         done("arcs")
-        return MergeTree(field, spec, basin, nodes, dead, seconds)
+        return MergeTree(field, spec, trees.basins, nodes, dead, hops, seconds)
     basin = tree.basins(field, spec)
     done("basins")
-    made = MergeTree(field, spec, basin, basin, None, seconds)
+    made = MergeTree(field, spec, basin, basin, seconds=seconds)
     graph = made.graph
     done("basin graph")
     made.nodes = tree.node_table(field, basin, graph)

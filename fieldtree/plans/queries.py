@@ -148,7 +148,7 @@ def _queries_of(name: str) -> dict[str, Query]:
     return {
         "value_at": lambda s, d: _f(fields.value_at(s.range(0, spec.n + 10, 3), made(s, d))),
         "owned": lambda s, d: grid.owned(grid.ghosted(made(s, d), blocks)).select("block", "id"),
-        "block_minima": lambda s, d: critical.block_minima(made(s, d), spec, blocks),
+        "block_minima": lambda s, d: critical.block_minima(made(s, d), blocks),
         "sweepable": sweepable,
         "ending_saddle": lambda s, d: critical.ending_saddle(made(s, d), spec, members(made(s, d))),
         "latest_answers": latest,

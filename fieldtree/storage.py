@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+log = logging.getLogger(__name__)
 
 #: Folders written by this process, oldest first.
 _written: list[str] = []
@@ -33,12 +37,21 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: a cut lineage, safe from lost executors, of known size."""
-    path = fresh(df.sparkSession, name)
+def stored(df: DataFrame, name: str, **counts: Column) -> DataFrame:
+    """``df`` written to the shared folder and read back: a cut lineage, safe from lost executors, of known size.
+
+    ``counts`` are aggregates of its rows; they come with the write, not from a job of their own, and are the
+    ``metrics`` of what is returned.
+    """
+    path, seen = fresh(df.sparkSession, name), None
+    if counts:
+        seen = Observation()
+        df = df.observe(seen, *(c.alias(k) for k, c in counts.items()))
     df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
-    made.stored_at = _written[-1]
+    made.stored_at, made.metrics = _written[-1], dict.fromkeys(counts, 0) | (seen.get if counts else {})
+    if counts:
+        log.info("%s: %s", name, made.metrics)
     return made
 
 
@@ -73,4 +86,5 @@ def _delete(spark: SparkSession, folders: list[str]) -> None:
     for folder in folders:
         at = path(folder)
         at.getFileSystem(conf).delete(at, True)
-    spark._jvm.System.gc()  # the engine deletes shuffles of tables that are gone once they are collected
+    if folders:
+        spark._jvm.System.gc()  # the engine deletes shuffles of tables that are gone once they are collected

@@ -4,23 +4,26 @@ import pytest
 from sweep import sweep
 
 from fieldtree.operators import block_tier as B
-from fieldtree.operators import ordered
+from fieldtree.operators import halo, ordered
+from fieldtree.operators.grid import decompose, ghosted, halved, owned
+from fieldtree.operators.halo import tiles
 from fieldtree.plans.pipeline import merge_tree
 from fieldtree.schema import GridSpec
 from fieldtree.sources.fields import from_values
+from fieldtree.storage import stored
 
 
 def made(spark, f, spec):
     return from_values(spark.createDataFrame(list(enumerate(map(float, f))), "id long, f double"), spec)
 
 
-def results(spark, f, spec, blocks):
-    field = made(spark, f, spec)
-    basins = B.block_basins(field, B.blocks_for(spec, blocks))
-    dead = B.deaths(basins, B.blocks_for(spec, blocks))
-    nodes = B.branch_nodes(basins, dead)
-    labels = {r.id: r.arc for r in B.branch_labels(basins, dead, nodes).collect()}
-    return labels, {r.node: r.saddle for r in nodes.collect() if r.saddle is not None}, {r.id: r.basin for r in basins.collect()}
+def results(spark, f, spec, cut):
+    trees = B.forest(stored(tiles(made(spark, f, spec), cut), "tiles"), cut)
+    dead = B.deaths(trees)
+    hops = B.death_hops(dead)
+    nodes = B.branch_nodes(trees.basins, dead, hops)
+    labels = {r.id: r.arc for r in B.branch_labels(trees.basins, dead, hops, nodes).collect()}
+    return labels, {r.node: r.saddle for r in nodes.collect() if r.saddle is not None}, {r.id: r.basin for r in trees.basins.collect()}
 
 
 @pytest.mark.parametrize("seed,spec,blocks,values", [(1, GridSpec(6, 5, 4), 8, 3), (2, GridSpec(9, 7), 6, 2), (3, GridSpec(40), 7, 5), (4, GridSpec(5, 5, 5), 27, 100), (5, GridSpec(11, 8, 3), 1, 4), (6, GridSpec(16, 16), 16, 1000), (7, GridSpec(4, 4, 4), 64, 2)])
@@ -28,8 +31,70 @@ def test_blocks_agree_with_the_sweep(spark, seed, spec, blocks, values):
     draw = random.Random(seed)
     f = [draw.randrange(values) for _ in range(spec.n)]
     labels, parent = sweep(f, spec)
-    got, up, _ = results(spark, f, spec, blocks)
+    cut = halved(spec, max(8, -(-spec.n // blocks))) if seed % 2 else decompose(spec, blocks)
+    got, up, basin = results(spark, f, spec, cut)
     assert got == dict(enumerate(labels)) and up == parent
+    assert all(basin[v] == basin[p] for v, p in steepest(f, spec).items())
+
+
+def steepest(f, spec):
+    """Each vertex's least neighbour, or itself."""
+    out = {}
+    for v in range(spec.n):
+        x, y, z = v % spec.X, v // spec.X % spec.Y, v // (spec.X * spec.Y)
+        near = [v + s * d for d, c, e in zip(spec.strides, (x, y, z), (spec.X, spec.Y, spec.Z)) for s in (-1, 1) if 0 <= c + s < e]
+        out[v] = min([v, *near], key=lambda i: (f[i], i))
+    return out
+
+
+@pytest.mark.parametrize("most", [1000, 1 << 17])
+def test_halved_blocks_over_many_extents(most):
+    """No block above its bound, no axis more than twice another (to a cell), and boxes that cover the grid once."""
+    draw = random.Random(most)
+    extents = [(1009, 1000, 1000), (1013, 1000, 1000), (1000,) * 3, (1, 1, 10**9), (7, 10**6, 1), (64, 64, 64)] + [tuple(draw.choice([1, draw.randint(1, 50), draw.randint(1, 3000)]) for _ in range(3)) for _ in range(200)]
+    for e in extents:
+        cut = halved(GridSpec(*e), most)
+        assert cut.n == 1 << len(cut.cuts) and cut.size[0] * cut.size[1] * cut.size[2] <= most
+        for axis in range(3):
+            for other in range(3):
+                assert cut.size[axis] <= 2 * cut.size[other] + 2 or e[other] == cut.size[other]
+        for block in {0, cut.n - 1, *(draw.randrange(cut.n) for _ in range(20))}:
+            lo, hi = cut.corners(block)
+            assert cut.number(cut.place(block)) == block and all(0 < h - l <= s for l, h, s in zip(lo, hi, cut.size))
+            for axis in range(3):
+                near = cut.beside(block, axis, 1)
+                assert hi[axis] == e[axis] if near is None else cut.corners(near)[0][axis] == hi[axis]
+
+
+@pytest.mark.parametrize("cut", [halved(GridSpec(11, 7, 5), 30), decompose(GridSpec(11, 7, 5), 12), halved(GridSpec(40), 8)])
+def test_halo(spark, cut):
+    """Blocks by columns and by numbers agree, faces hold what lies beside, and only they are sent."""
+    spec = cut.spec
+    f = [(7 * i) % 23 - 4.5 for i in range(spec.n)]
+    field = made(spark, f, spec)
+    owner = {r.id: r.block for r in field.withColumn("block", cut.index(*(halo.F.col(c) for c in "xyz"))).collect()}
+    for i, block in owner.items():
+        lo, hi = cut.corners(block)
+        assert all(a <= c < b for a, b, c in zip(lo, hi, (i % spec.X, i // spec.X % spec.Y, i // (spec.X * spec.Y))))
+    whole = stored(tiles(field, cut), "tiles")
+    assert sorted((r.id, r.f) for r in halo.untiled(whole, cut).collect()) == list(enumerate(f))
+    view = {(r.block, r.id) for r in ghosted(field, cut).filter("is_ghost").collect()}
+    sent = halo.faces(whole, cut).collect()
+    # Ghost cells that a block meets by a side, without those over edges and corners.
+    by_side = {(owner[n], i) for i in range(spec.n) for d, c, e in zip(spec.strides, (i % spec.X, i // spec.X % spec.Y, i // (spec.X * spec.Y)), (spec.X, spec.Y, spec.Z)) for s in (-1, 1) if 0 <= c + s < e and owner[n := i + s * d] != owner[i]}
+    assert sum(len(r.f) // 4 for r in sent) == len(by_side) and by_side <= view
+    beside = halo.beside_rows(spark.range(spec.n), cut)
+    assert {(r.block, r.id) for r in beside.collect()} == by_side
+    low = {(owner[v], v) for v, p in steepest(f, spec).items() if v == p}
+    assert {(r.block, r.id) for r in halo.local_minima(whole, cut).collect()} == low
+    box = {(r.block, r.id) for r in owned(ghosted(field, cut)).collect()}
+    assert box == {(b, i) for i, b in owner.items()}
+
+
+def test_a_block_that_lacks_a_cell(spark):
+    spec = GridSpec(4, 4)
+    with pytest.raises(Exception, match="has 7 of 8 cells"):
+        tiles(made(spark, range(16), spec).filter("id <> 5"), halved(spec, 8)).collect()
 
 
 def test_merge_region_against_one_region():
