@@ -89,9 +89,15 @@ def load_field(spark: SparkSession, source: str | DataFrame, spec: GridSpec | No
     The suffix is case-sensitive. Parquet and DataFrames hold (id, f) and need ``spec``.
     """
     if isinstance(source, str) and source.endswith(".vti"):
+        from .image_boxes import NotByBoxes, read_boxes
         from .vtk_io import read_vti
 
-        return read_vti(spark, source)
+        try:
+            return read_boxes(spark, source)
+        except (NotByBoxes, OSError, ValueError) as error:  # base64 or ASCII, or a store that only Spark reads
+            if isinstance(error, FieldError) and not isinstance(error, NotByBoxes):
+                raise
+            return read_vti(spark, source)
     if isinstance(source, str) and not source.endswith(".parquet"):
         raise FieldError(f"no reader for {source}")
     if spec is None:
