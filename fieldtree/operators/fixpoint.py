@@ -47,3 +47,60 @@ def ancestors(parents: DataFrame, id: str = "id", p: str = "p", of: DataFrame |
         hop = stored(hop.alias("l").join(hop.alias("r"), F.col("l.p") == F.col("r.id")).select("l.id", "r.p"), "hops", rows=F.count(F.lit(1)))
         reach, left = reach * 2, hop.metrics["rows"]
     return known
+
+
+def subtrees(parents: DataFrame, id: str = "id", p: str = "p", totals: tuple[str, ...] = (), least: tuple[str, ...] = ()) -> DataFrame:
+    """id, with the columns ``totals`` summed and ``least`` minimised over each node and all nodes below it; a row a node, stored.
+
+    In round k a node takes over what nodes 2**k levels below it have gathered (sums combine ahead of their shuffle, so a
+    node with very many others below is no hot key), and points twice as far up. Rounds are the logarithm of the
+    depth, rows those of the table in each. A null parent is a root, of which there can be several. Null values count as nothing; an empty table gives an
+    empty one. Ids must not repeat, and there must be no cycle.
+    """
+    columns = (*totals, *least)
+    up = parents.select(F.col(id).alias("id"), F.col(p).alias("up"), *columns)
+    now = stored(up, "subtrees", open=F.count("up"))
+    for _ in range(MOST_ROUNDS):
+        if not now.metrics["open"]:
+            return now.select(F.col("id").alias(id), *columns)
+        below = now.filter("up IS NOT NULL").groupBy(F.col("up").alias("of")).agg(*(F.sum(c).alias(f"more_{c}") for c in totals), *(F.min(c).alias(f"more_{c}") for c in least), F.count(F.lit(1)).alias("n"))
+        far = now.select(F.col("id").alias("via"), F.col("up").alias("further"))
+        wider = now.join(below, F.col("id") == F.col("of"), "left").join(far, F.col("up") == F.col("via"), "left")
+        kind = {c: now.schema[c].dataType for c in columns}
+        sums = [F.when(F.col(c).isNull(), F.col(f"more_{c}")).otherwise(F.col(c) + F.coalesce(F.col(f"more_{c}"), F.lit(0))).cast(kind[c]).alias(c) for c in totals]
+        now = stored(wider.select("id", F.col("further").alias("up"), *sums, *(F.least(c, f"more_{c}").alias(c) for c in least)), "subtrees", open=F.count("up"))
+    raise RuntimeError("parents go round in a cycle")
+
+
+def intervals(parents: DataFrame, id: str = "id", p: str = "p") -> DataFrame:
+    """id, first, size and depth: a is b or above it exactly if a.first <= b.first < a.first + a.size. A row a node, stored.
+
+    ``first`` numbers nodes ahead of those below them, from 0, siblings by id: the sum, along the way to the root, of
+    what stands ahead of each node among its siblings. That sum is made by doubling. Siblings are put in order in one task a
+    parent: in a join tree a saddle has at most six.
+    """
+    from pyspark.sql import Window
+
+    nodes = parents.select(F.col(id).alias("id"), F.col(p).alias("p"))
+    sized = subtrees(nodes.withColumn("size", F.lit(1).cast("long")), totals=("size",))
+    ahead = Window.partitionBy("p").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = nodes.join(sized, "id").withColumn("first", F.coalesce(F.sum("size").over(ahead), F.lit(0)) + F.when(F.col("p").isNull(), 0).otherwise(1))
+    now = stored(placed.select("id", F.col("p").alias("up"), "size", "first", F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("depth")), "intervals", open=F.count("up"))
+    for _ in range(MOST_ROUNDS):
+        if not now.metrics["open"]:
+            return now.select(F.col("id").alias(id), "first", "size", "depth")
+        far = now.select(F.col("id").alias("via"), F.col("up").alias("further"), F.col("first").alias("more"), F.col("depth").alias("levels"))
+        wider = now.join(far, F.col("up") == F.col("via"), "left").select("id", F.col("further").alias("up"), "size", (F.col("first") + F.coalesce("more", F.lit(0))).alias("first"), (F.col("depth") + F.coalesce("levels", F.lit(0))).alias("depth"))
+        now = stored(wider, "intervals", open=F.count("up"))
+    raise RuntimeError("parents go round in a cycle")
+
+
+def related(pairs: DataFrame, told: DataFrame) -> DataFrame:
+    """``pairs`` (upper, lower) with is_above: whether upper is lower or above it; null where one of them is no node.
+
+    ``told``: ``intervals`` with the column id. Two joins on ids; nothing walks along the tree.
+    """
+    a = told.select(F.col("id").alias("upper"), F.col("first").alias("a"), F.col("size").alias("n"))
+    b = told.select(F.col("id").alias("lower"), F.col("first").alias("b"))
+    made = pairs.join(a, "upper", "left").join(b, "lower", "left")
+    return made.select(*pairs.columns, ((F.col("a") <= F.col("b")) & (F.col("b") < F.col("a") + F.col("n"))).alias("is_above"))

@@ -11,7 +11,11 @@ from ..functions.order import show_value, value
 from ..operators import critical, fixpoint, grid, ordered, sets, tree, trunk
 from ..schema import GridSpec
 from ..sources import fields
+from ..operators.halo import tiles
+from ..sources.file_set import field_files, label_rows, save_files, write_label_images
+from ..sources.image_boxes import read_boxes
 from ..sources.vtk_io import arc_lines
+from ..storage import fresh
 from .pipeline import MergeTree, merge_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,11 +145,41 @@ def _queries_of(name: str) -> dict[str, Query]:
         field_, edge = _boundaries(s, d, name)
         return _f(sets.add(edge, critical.minima(field_, spec).select(F.col("id").alias("comp"), "id", "f")))
 
+    def subtree(s: SparkSession, d: str) -> DataFrame:
+        """Of each node: the vertices of all arcs from it down, and the least value among them."""
+        t = built(s, d)
+        sizes = tree.arc_size(t.labels()).select(F.col("arc").alias("node"), "vertices")
+        rows = t.nodes.select("node", "saddle", F.col("f").alias("lowest")).join(sizes, "node")
+        return _f(fixpoint.subtrees(rows, "node", "saddle", totals=("vertices",), least=("lowest",)), "lowest")
+
+    def above(s: SparkSession, d: str) -> DataFrame:
+        """Of each edge of the basin graph: is the vertex where two basins meet a node above the first one's minimum?"""
+        t = built(s, d)
+        told = fixpoint.intervals(t.nodes.select(F.col("node").alias("id"), F.col("saddle").alias("p")))
+        return fixpoint.related(t.graph.select(F.col("s").alias("upper"), F.col("a").alias("lower")), told)
+
+    def image_box(s: SparkSession, d: str) -> DataFrame:
+        """The field as an image file, of which a box is read."""
+        whole = grid.decompose(spec, 1)
+        folder = fresh(s, "images")
+        save_files(field_files(tiles(made(s, d), whole), whole), folder)
+        return _f(read_boxes(s, f"{folder}/output_0.vti", 64, (1, 0, 0), (5, 3, 2))[0].select("id", "f"))
+
+    def label_images(s: SparkSession, d: str) -> DataFrame:
+        """Labels as image files of blocks, read back."""
+        folder = fresh(s, "images")
+        write_label_images(built(s, d).labels(), blocks, folder)
+        return label_rows(s.read.format("binaryFile").load(folder), spec)
+
     def without_least(s: SparkSession, d: str) -> DataFrame:
         edge = _boundaries(s, d, name)[1]
         return _f(sets.remove(edge, sets.boundary_min(edge)))
 
     return {
+        "subtree": subtree,
+        "above": above,
+        "image_box": image_box,
+        "label_images": label_images,
         "value_at": lambda s, d: _f(fields.value_at(s.range(0, spec.n + 10, 3), made(s, d))),
         "owned": lambda s, d: grid.owned(grid.ghosted(made(s, d), blocks)).select("block", "id"),
         "block_minima": lambda s, d: critical.block_minima(made(s, d), blocks),
@@ -262,6 +296,10 @@ def _sql_of(name: str) -> dict[str, str]:
     one, two = "(SELECT id, f FROM bound JOIN top USING (comp) WHERE n = 1)", "(SELECT id, f FROM bound JOIN top USING (comp) WHERE n = 2)"
     left, right = ("(SELECT id, f FROM bound WHERE comp = (SELECT %s FROM pair))" % c for c in "ab")
     return {
+        "subtree": sql("SELECT n.node, sum(a.vertices)::BIGINT AS vertices, min(m.f) AS lowest FROM (SELECT node, ancestor FROM up UNION ALL SELECT node, node FROM node) u JOIN node n ON n.node = u.ancestor JOIN node m ON m.node = u.node JOIN (SELECT arc, count(*) AS vertices FROM lab GROUP BY 1) a ON a.arc = u.node GROUP BY 1", "up", "lab"),
+        "above": sql("SELECT s AS upper, a AS lower, CASE WHEN s IN (SELECT node FROM node) THEN EXISTS (SELECT 1 FROM up WHERE up.node = bedge.a AND up.ancestor = bedge.s) END AS is_above FROM bedge", "up", "bedge"),
+        "image_box": sql("SELECT id, f FROM fld WHERE x BETWEEN 1 AND 5 AND y BETWEEN 0 AND 3 AND z BETWEEN 0 AND 2", "fld"),
+        "label_images": sql("SELECT id, arc FROM lab", "lab"),
         "value_at": sql(f"SELECT r.range::BIGINT AS id, f FROM range(0, {spec.n + 10}, 3) r LEFT JOIN fld ON fld.id = r.range", "fld"),
         "owned": sql(f"SELECT {owner}::INT AS block, id FROM fld", "fld"),
         "block_minima": sql(f"SELECT {owner}::INT AS block, id FROM fld WHERE id IN (SELECT id FROM mins)", "mins"),
@@ -323,7 +361,7 @@ def _sql_of(name: str) -> dict[str, str]:
 
 #: Queries that build a tree run on three fields, the others on all four.
 _TREES = {"arcs", "saddles", "children", "root", "arc_count", "labels", "arc_value", "arc_size", "arc_lines", "trunk_chain", "trunk_label", "descendant", "member_split", "boundary", "boundary_min", "boundary_shared", "boundary_union", "boundary_intersect", "boundary_remove"}
-_TREES |= {"value_at", "owned", "block_minima", "sweepable", "ending_saddle", "latest_answers", "peers", "fetch_arcs", "dangling_chain", "basin_split", "inherited", "boundary_order", "boundary_add", "boundary_without", "pair_union", "pair_common", "pair_first", "pair_second", "pair_merged"}
+_TREES |= {"value_at", "owned", "block_minima", "sweepable", "ending_saddle", "latest_answers", "peers", "fetch_arcs", "dangling_chain", "basin_split", "inherited", "boundary_order", "boundary_add", "boundary_without", "pair_union", "pair_common", "pair_first", "pair_second", "pair_merged", "subtree", "above", "image_box", "label_images"}
 #: Of these, on which fields.
 _ON = {n: ("f1", "f4") for n in _TREES} | {n: ("f1", "f2", "f3", "f4") for n in ("arcs", "labels")} | {"trunk_label": ("f1", "f2", "f4"), "arc_count": ("f1", "f3", "f4")}
 

@@ -123,6 +123,19 @@ def label_files(labels: DataFrame, blocks: Blocks) -> DataFrame:
     return placed.groupBy("block").applyInArrow(make, "name string, content binary")
 
 
+def field_files(made: DataFrame, blocks: Blocks) -> DataFrame:
+    """name and content of an image file ``output_<block>.vti`` for each block of a field (``halo.tiles``), as 32-bit floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, f in zip(batch.column("block").to_pylist(), batch.column("f").to_pylist()):
+                lo, hi = blocks.corners(block)
+                content = b"".join(appended_image(lo, tuple(c - 1 for c in hi), "f", np.frombuffer(f, np.float32)))
+                yield pa.RecordBatch.from_arrays([pa.array([f"output_{block}.vti"]), pa.array([content], pa.binary())], names=["name", "content"])
+
+    return made.select("block", "f").mapInArrow(run, "name string, content binary")
+
+
 def line_files(lines: DataFrame, piece: int = PIECE_LINES) -> DataFrame:
     """name and content of poly-data files of at most ``piece`` lines each (``lines``: x0, y0, z0, x1, y1, z1), with raw appended arrays.
 

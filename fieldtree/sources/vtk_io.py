@@ -1,4 +1,4 @@
-"""VTK XML files: image data in, image data and poly data out.
+"""VTK XML image files that can't be read by boxes (see ``image_boxes``), and the rows of output files (``file_set`` writes these).
 
 Files are read by Spark (``binaryFile``), so any store that it reads will do; the header is parsed on
 the driver and values in a task. Inline base64 and ASCII arrays, and raw appended data, plain or zlib
@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -118,33 +117,6 @@ def read_vti(spark: SparkSession, path: str) -> tuple[DataFrame, GridSpec]:
     return with_coords(rows, spec).select(*FIELD.names), spec
 
 
-def image_xml(lo: tuple[int, int, int], hi: tuple[int, int, int], name: str, values: np.ndarray) -> bytes:
-    """An image file of a box with one point-data array, x fastest."""
-    kind = next(k for k, v in VTK_TYPES.items() if np.dtype(v) == values.dtype)
-    raw = values.tobytes()
-    content = base64.b64encode(struct.pack("<Q", len(raw)) + raw).decode()
-    extent = " ".join(f"{a} {b}" for a, b in zip(lo, hi))
-    return (
-        f'<?xml version="1.0"?>\n<VTKFile type="ImageData" version="1.0" byte_order="LittleEndian" header_type="UInt64">\n<ImageData WholeExtent="{extent}" Origin="0 0 0" Spacing="1 1 1">\n<Piece Extent="{extent}">\n'
-        f'<PointData Scalars="{name}">\n<DataArray type="{kind}" Name="{name}" format="binary">{content}</DataArray>\n</PointData>\n</Piece>\n</ImageData>\n</VTKFile>\n'
-    ).encode()
-
-
-def label_images(labels: DataFrame, spec: GridSpec, blocks: Blocks) -> DataFrame:
-    """block and content: an image file of each block's labels, without ghost cells.
-
-    Blocks are the unit of memory: choose so many that one fits a task.
-    """
-    placed = with_coords(labels, spec).withColumn("block", blocks.index(F.col("x"), F.col("y"), F.col("z")))
-
-    def make(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        t = table.sort_by([("z", "ascending"), ("y", "ascending"), ("x", "ascending")])
-        lo, hi = (tuple(f(t.column(c).to_numpy()).item() for c in "xyz") for f in (np.min, np.max))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "content": pa.array([image_xml(lo, hi, "arc", t.column("arc").to_numpy().astype(np.uint64))], pa.binary())})
-
-    return placed.select("block", "x", "y", "z", "arc").groupBy("block").applyInArrow(make, "block int, content binary")
-
-
 def arc_lines(arcs: DataFrame, spec: GridSpec) -> DataFrame:
     """Arcs with a saddle as line segments: extremum, saddle and both ends' coordinates."""
     from ..operators.grid import coords
@@ -153,31 +125,6 @@ def arc_lines(arcs: DataFrame, spec: GridSpec) -> DataFrame:
     return arcs.filter("saddle IS NOT NULL").select("extremum", "saddle", *(e.alias(n) for n, e in ends.items()))
 
 
-def poly_xml(points: np.ndarray) -> bytes:
-    """A poly-data file of lines, two points each (rows x, y, z)."""
-    n = len(points) // 2
-
-    def array(name: str, kind: str, values: np.ndarray, parts: str = "") -> str:
-        raw = values.tobytes()
-        return f'<DataArray type="{kind}" Name="{name}"{parts} format="binary">{base64.b64encode(struct.pack("<Q", len(raw)) + raw).decode()}</DataArray>'
-
-    return (
-        f'<?xml version="1.0"?>\n<VTKFile type="PolyData" version="1.0" byte_order="LittleEndian" header_type="UInt64">\n<PolyData>\n<Piece NumberOfPoints="{2 * n}" NumberOfVerts="0" NumberOfLines="{n}" NumberOfStrips="0" NumberOfPolys="0">\n'
-        f'<Points>{array("points", "Float32", points.astype(np.float32), " NumberOfComponents=" + chr(34) + "3" + chr(34))}</Points>\n<Lines>{array("connectivity", "Int64", np.arange(2 * n, dtype=np.int64))}{array("offsets", "Int64", np.arange(2, 2 * n + 1, 2, dtype=np.int64))}</Lines>\n</Piece>\n</PolyData>\n</VTKFile>\n'
-    ).encode()
-
-
-def write_vtp(lines: DataFrame, path: str) -> int:
-    """Arc lines to one poly-data file on the driver's file system, for viewers; the number of lines.
-
-    A viewer's file is read whole by one machine anyway. For larger trees write ``lines`` as Parquet.
-    """
-    rows = lines.select("x0", "y0", "z0", "x1", "y1", "z1").toPandas().to_numpy()
-    with open(path, "wb") as out:
-        out.write(poly_xml(rows.reshape(-1, 3)))
-    return len(rows)
-
-
 def write_labels(labels: DataFrame, spec: GridSpec, blocks: Blocks, path: str) -> None:
     """Labels as Parquet, a folder per block."""
     with_coords(labels, spec).withColumn("block", blocks.index(F.col("x"), F.col("y"), F.col("z"))).write.partitionBy("block").parquet(path)
