@@ -147,3 +147,25 @@ def test_orders(spark):
             assert r.prev == (max(ahead)[1] if ahead else None)
     assert {r.id: r["rank"] for r in ordered.ranked(df).collect()} == {i: k + 1 for k, (_, i) in enumerate(sorted((f, i) for _, f, i, _ in rows))}
     assert ordered.before(df.limit(0)).count() == ordered.ranked(df.limit(0)).count() == 0
+
+
+def test_arrow_functions_in_a_fresh_process():
+    """A worker that has run nothing else gets a table from a stream: modules must import all that they use."""
+    import subprocess
+    import sys
+
+    code = """
+import io, pyarrow as pa
+from fieldtree.operators.block_tier import _region_tree, _REGION
+kinds = {"int": pa.int32(), "long": pa.int64(), "float": pa.float32()}
+schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _REGION.split(", ")])
+rows = [(0, 1, 2, 0.0, 1.0, 2.0, 9, 4), (1, 1, None, None, None, None, None, None)]
+table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+out = io.BytesIO()
+with pa.ipc.new_stream(out, schema) as writer:
+    writer.write_table(table)
+read = pa.ipc.open_stream(out.getvalue()).read_all()
+made = _region_tree((pa.scalar(0),), read)
+assert made.column("kind").to_pylist() == [2] and made.column("a").to_pylist() == [2], made
+"""
+    subprocess.run([sys.executable, "-c", code], check=True)
