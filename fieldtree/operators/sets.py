@@ -98,6 +98,48 @@ def peers(view: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(owned, "id").groupBy("comp").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
 
 
+def bitmaps(rows: DataFrame, number: str, *keys: str) -> DataFrame:
+    """``keys``, bucket and bits: the numbers of each key as bitmaps of 32,768 bits, combined ahead of their shuffle.
+
+    A row of a few kilobytes stands for any number of repeats; a key with numbers all over has a row for each bucket, so no row
+    grows. Null numbers are left out; negative ones are not expected.
+    """
+    made = rows.filter(F.col(number).isNotNull()).select(*keys, F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("_at"))
+    return made.groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("_at").alias("bits"))
+
+
+def merged_bitmaps(made: DataFrame, *keys: str) -> DataFrame:
+    """``bitmaps`` of fewer keys: those of one key and bucket together."""
+    return made.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def bit_is_set(bits: str, number: str) -> Column:
+    """Whether a number is in the bitmap of its bucket."""
+    at = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.call_function("div", at, F.lit(8).cast("long")) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return F.getbit(byte, (at % 8).cast("int")) == 1
+
+
+def peer_bitmaps(view: DataFrame, members: DataFrame) -> DataFrame:
+    """comp, bucket and bits: the blocks (``view``: id, block, is_ghost) that hold some of a component's members."""
+    return bitmaps(members.join(view.filter("NOT is_ghost").select("id", "block"), "id"), "block", "comp")
+
+
+def peer_counts(made: DataFrame) -> DataFrame:
+    """comp and the number of blocks in its bitmaps."""
+    return made.groupBy("comp").agg(F.sum(F.bitmap_count("bits")).alias("blocks"))
+
+
+def unvisited(frontier: DataFrame, visited: DataFrame) -> DataFrame:
+    """``frontier`` (id and more) without the ids in ``visited``, bitmaps of ids (bucket, bits); null ids stay.
+
+    What is visited is a bit a vertex, and the join is on buckets.
+    """
+    seen = visited.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
+    met = frontier.join(seen, F.bitmap_bucket_number("id") == F.col("_bucket"), "left")
+    return met.filter(F.col("_bits").isNull() | ~bit_is_set("_bits", "id")).select(*frontier.columns)
+
+
 def fetch_or_create(arcs: DataFrame, extrema: DataFrame) -> DataFrame:
     """``arcs`` (extremum, saddle, is_leaf) with a row for each further extremum (extremum, is_leaf)."""
     new = extrema.select("extremum", F.col("is_leaf").alias("new_leaf"))

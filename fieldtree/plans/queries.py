@@ -132,6 +132,17 @@ def _queries_of(name: str) -> dict[str, Query]:
         found = sets.peers(grid.ghosted(field_, blocks), members(field_))
         return found.select("comp", F.array_join(F.transform("blocks", lambda b: b.cast("string")), ",").alias("blocks"))
 
+    def peer_counts(s: SparkSession, d: str) -> DataFrame:
+        field_ = made(s, d)
+        return sets.peer_counts(sets.peer_bitmaps(grid.ghosted(field_, blocks), members(field_)))
+
+    def unvisited(s: SparkSession, d: str) -> DataFrame:
+        """Neighbours of minima, but for those that a first step of steepest descent has been to."""
+        field_ = made(s, d)
+        reached = sets.bitmaps(critical.steepest(field_, spec), "p")
+        low = grid.with_coords(critical.minima(field_, spec), spec)
+        return sets.unvisited(grid.neighbours(low, spec).select(F.col("nid").alias("id"), F.col("id").alias("comp")), reached)
+
     def fetched(s: SparkSession, d: str) -> DataFrame:
         arcs = built(s, d).arcs
         return sets.fetch_or_create(arcs.filter("is_leaf"), arcs.select("extremum", "is_leaf"))
@@ -176,6 +187,8 @@ def _queries_of(name: str) -> dict[str, Query]:
         return _f(sets.remove(edge, sets.boundary_min(edge)))
 
     return {
+        "peer_counts": peer_counts,
+        "unvisited": unvisited,
         "subtree": subtree,
         "above": above,
         "image_box": image_box,
@@ -296,6 +309,8 @@ def _sql_of(name: str) -> dict[str, str]:
     one, two = "(SELECT id, f FROM bound JOIN top USING (comp) WHERE n = 1)", "(SELECT id, f FROM bound JOIN top USING (comp) WHERE n = 2)"
     left, right = ("(SELECT id, f FROM bound WHERE comp = (SELECT %s FROM pair))" % c for c in "ab")
     return {
+        "peer_counts": sql(f"SELECT basin AS comp, count(DISTINCT {owner})::BIGINT AS blocks FROM fld JOIN bas ON bas.id = fld.id GROUP BY 1", "bas"),
+        "unvisited": sql("SELECT nb.nid AS id, nb.id AS comp FROM nb JOIN mins ON mins.id = nb.id WHERE nb.nid NOT IN (SELECT p FROM steep)", "nb", "mins", "steep"),
         "subtree": sql("SELECT n.node, sum(a.vertices)::BIGINT AS vertices, min(m.f) AS lowest FROM (SELECT node, ancestor FROM up UNION ALL SELECT node, node FROM node) u JOIN node n ON n.node = u.ancestor JOIN node m ON m.node = u.node JOIN (SELECT arc, count(*) AS vertices FROM lab GROUP BY 1) a ON a.arc = u.node GROUP BY 1", "up", "lab"),
         "above": sql("SELECT s AS upper, a AS lower, CASE WHEN s IN (SELECT node FROM node) THEN EXISTS (SELECT 1 FROM up WHERE up.node = bedge.a AND up.ancestor = bedge.s) END AS is_above FROM bedge", "up", "bedge"),
         "image_box": sql("SELECT id, f FROM fld WHERE x BETWEEN 1 AND 5 AND y BETWEEN 0 AND 3 AND z BETWEEN 0 AND 2", "fld"),
@@ -361,7 +376,7 @@ def _sql_of(name: str) -> dict[str, str]:
 
 #: Queries that build a tree run on three fields, the others on all four.
 _TREES = {"arcs", "saddles", "children", "root", "arc_count", "labels", "arc_value", "arc_size", "arc_lines", "trunk_chain", "trunk_label", "descendant", "member_split", "boundary", "boundary_min", "boundary_shared", "boundary_union", "boundary_intersect", "boundary_remove"}
-_TREES |= {"value_at", "owned", "block_minima", "sweepable", "ending_saddle", "latest_answers", "peers", "fetch_arcs", "dangling_chain", "basin_split", "inherited", "boundary_order", "boundary_add", "boundary_without", "pair_union", "pair_common", "pair_first", "pair_second", "pair_merged", "subtree", "above", "image_box", "label_images"}
+_TREES |= {"value_at", "owned", "block_minima", "sweepable", "ending_saddle", "latest_answers", "peers", "fetch_arcs", "dangling_chain", "basin_split", "inherited", "boundary_order", "boundary_add", "boundary_without", "pair_union", "pair_common", "pair_first", "pair_second", "pair_merged", "subtree", "above", "image_box", "label_images", "peer_counts", "unvisited"}
 #: Of these, on which fields.
 _ON = {n: ("f1", "f4") for n in _TREES} | {n: ("f1", "f2", "f3", "f4") for n in ("arcs", "labels")} | {"trunk_label": ("f1", "f2", "f4"), "arc_count": ("f1", "f3", "f4")}
 

@@ -55,3 +55,20 @@ def test_pointers_and_chains(spark):
 def test_byte_string(spark):
     row = spark.range(1).select(byte_string(F.lit(12)).alias("a"), byte_string(F.lit(1536)).alias("b"), byte_string(F.lit(5 << 40)).alias("c")).first()
     assert (row.a, row.b, row.c) == ("12 B", "1.50 KB", "5.00 TB")
+
+
+def test_bitmaps(spark):
+    """Numbers across several buckets, repeats and nulls; all of 0 to 32,768 and beyond are told apart."""
+    import random
+
+    draw = random.Random(3)
+    numbers = [0, 1, 7, 8, 32767, 32768, 32769, 65536, 10**12] + [draw.randrange(100_000) for _ in range(300)]
+    rows = [(n % 3, n, "x") for n in numbers] * 2 + [(0, None, "x")]
+    df = spark.createDataFrame(rows, "comp long, n long, bits string").repartition(4)
+    made = sets.bitmaps(df, "n", "comp")
+    assert {r.comp: r.blocks for r in sets.peer_counts(made).collect()} == {k: len({n for n in numbers if n % 3 == k}) for k in range(3)}
+    whole = sets.merged_bitmaps(made)
+    asked = [(n, "y") for n in {*numbers, *(n + 1 for n in numbers), 5, 40_000}] + [(None, "z"), (5, "again")]
+    left = sets.unvisited(spark.createDataFrame(asked, "id long, bucket string"), whole).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(str(r) for r in asked if r[0] not in numbers)
+    assert sets.bitmaps(df.limit(0), "n", "comp").count() == 0 and sets.unvisited(spark.createDataFrame(asked, "id long, bucket string"), whole.limit(0)).count() == len(asked)
