@@ -54,7 +54,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled, and repeated where their weight asks for it, so that the tokens kept have the target marginals.
+    """Documents sampled, and repeated up to ``COPIES`` times where their weight asks for it, so that the tokens kept have the target marginals.
 
     A null source or language is a value of its own. A hash of the id decides, so repeated ids share their
     fate, as do null ids; a row without tokens comes at most once.
