@@ -6,8 +6,9 @@ stored once: the row with the largest id is the ``response``, the others are ``r
 name it and keep the payload's length and SHA-1.
 
 Nulls: a null payload is empty; a null id is smaller than any other and reads back as null; a null
-URL is empty. Rows that tie on the largest id of equal payloads are each stored as responses, so
-repeated rows stay. An empty table gives no archive and an empty result. Other columns are ignored.
+URL is empty, and line ends in a URL become spaces. A record's date is the page's capture time where a
+column of it is named and not null, else the time at which the archives are written. Rows that tie on the largest id of equal payloads are each stored as responses, so
+repeated rows stay; a record's id is made from the page's id, so such rows share it. An empty table gives no archive and an empty result. Other columns are ignored.
 
 Recovery: every attempt writes a file under a new name, and only the manifest, which Spark's own
 committer writes, says which files count. Files of lost attempts are never read.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -35,7 +37,7 @@ ARCHIVE_BYTES = 32 << 20
 DICTIONARY_BYTES, SAMPLE_BYTES = 64 << 10, 2 << 20
 LEVEL = 5
 MANIFEST = "archive string, records long, raw_bytes long, stored_bytes long"
-RECORDS = "record_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string, payload binary"
+RECORDS = "record_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string, date string, payload binary"
 
 
 def train(records: list[bytes]) -> zstandard.ZstdCompressionDict:
@@ -51,11 +53,11 @@ def train(records: list[bytes]) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES].ljust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def record_bytes(record_id: str, url: str, digest: str, length: int, refers_to: str | None, payload: bytes) -> bytes:
-    """A WARC/1.1 record: a response with its payload, or a revisit without one."""
+def record_bytes(record_id: str, url: str, digest: str, length: int, refers_to: str | None, payload: bytes, date: str | None = None) -> bytes:
+    """A WARC/1.1 record: a response with its payload, or a revisit without one; without a date, of now."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id}>", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date or time.strftime('%Y-%m-%dT%H:%M:%SZ', time.gmtime())}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -78,7 +80,7 @@ def parse_record(data: bytes) -> dict:
         found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
         if (found, len(payload)) != (digest, length):
             raise ValueError("a payload doesn't have its digest")
-    return {"record_id": fields["WARC-Record-ID"][1:-1], "url": fields["WARC-Target-URI"], "record_type": kind, "payload_digest": digest, "payload_bytes": length, "refers_to": fields.get("WARC-Refers-To", "<>")[1:-1] or None, "payload": payload if kind == "response" else None}
+    return {"record_id": fields["WARC-Record-ID"][1:-1], "url": fields["WARC-Target-URI"], "record_type": kind, "payload_digest": digest, "payload_bytes": length, "refers_to": fields.get("WARC-Refers-To", "<>")[1:-1] or None, "date": fields["WARC-Date"], "payload": payload if kind == "response" else None}
 
 
 def write_archive(uri: str, records: list[bytes]) -> int:
@@ -122,18 +124,22 @@ def _urn(page: int | None) -> str:
     return f"urn:page:{'' if page is None else page}"
 
 
-def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str | Column = "html", least: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str | Column = "html", least: int = 0, captured: str | None = None) -> DataFrame:
     """Write the rows of ``pages`` to archives in the shared folder; the manifest, one row per archive.
 
-    Payloads of fewer than ``least`` bytes are never replaced by revisits. Shuffles: digests once
+    Payloads of fewer than ``least`` bytes are never replaced by revisits. ``captured`` names a timestamp
+    column, the dates of records (UTC, whole seconds). Shuffles: digests once
     for the groups of equal payloads, payloads once to meet their group. That join is one that the
     engine can split where a group is large, and each partial count keeps one row per digest.
     """
     spark = pages.sparkSession
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\r\n]", " ").alias("url"), utf8(payload).alias("payload"))
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    seen = now if captured is None else F.coalesce(F.to_utc_timestamp(F.col(captured).cast("timestamp"), F.current_timezone()), now)
+    date = F.date_format(seen, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\r\n]", " ").alias("url"), utf8(payload).alias("payload"), date.alias("date"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     groups = rows.filter(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    joined = rows.join(groups.select(F.col("digest").alias("of"), "response"), F.col("digest") == F.col("of"), "left").select("page_id", "url", "payload", "digest", F.when(~F.coalesce(F.col("page_id") == F.col("response"), F.col("response").isNull()), F.col("response")).alias("refers_to"))
+    joined = rows.join(groups.select(F.col("digest").alias("of"), "response"), F.col("digest") == F.col("of"), "left").select("page_id", "url", "payload", "digest", F.when(~F.coalesce(F.col("page_id") == F.col("response"), F.col("response").isNull()), F.col("response")).alias("refers_to"), "date")
     folder = scratch(spark, "archives")
     arrow = to_arrow(pages, MANIFEST)
 
@@ -146,9 +152,9 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
         held, total = [], 0
         for batch in batches:
             for part in slices(batch):
-                for page, address, data, digest, refers in zip(*(c.to_pylist() for c in part.columns)):
+                for page, address, data, digest, refers, date in zip(*(c.to_pylist() for c in part.columns)):
                     code = base64.b32encode(bytes.fromhex(digest)).decode()
-                    held.append(record_bytes(_urn(page), address, code, len(data), None if refers is None else _urn(refers), data))
+                    held.append(record_bytes(_urn(page), address, code, len(data), None if refers is None else _urn(refers), data, date))
                     total += len(held[-1])
                     if total >= ARCHIVE_BYTES:
                         yield flush()

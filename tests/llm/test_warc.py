@@ -42,6 +42,20 @@ def test_least_bytes(spark):
     assert kinds == {"urn:page:1": "response", "urn:page:2": "response", "urn:page:3": "revisit", "urn:page:4": "response"}
 
 
+def test_dates_are_the_capture_times(spark):
+    """Of the column that is named, in UTC; a null one, and all without a column, of the time of writing."""
+    from datetime import datetime, timedelta, timezone
+
+    when = datetime(2021, 3, 4, 5, 6, 7, 890_000, tzinfo=timezone.utc)
+    df = spark.createDataFrame([(1, "u", "a", when), (2, "u", "a", when + timedelta(days=1)), (3, "u", "b", None)], "page_id long, url string, html string, date timestamp")
+    named = {r.record_id: r.date for r in W.read_archives(W.write_archives(df, captured="date")).collect()}
+    assert (named["urn:page:1"], named["urn:page:2"]) == ("2021-03-04T05:06:07Z", "2021-03-05T05:06:07Z")
+    plain = {r.date for r in W.read_archives(W.write_archives(df)).collect()}
+    for text in [named["urn:page:3"], *plain]:
+        assert abs(datetime.now(timezone.utc) - datetime.strptime(text, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc)) < timedelta(minutes=5)
+    assert len(plain) == 1
+
+
 def test_archive_layout(tmp_path):
     records = [W.record_bytes(f"urn:page:{i}", "http://x/", "D", 3, None, b"abc") for i in range(50)]
     path = str(tmp_path / "a.warc.zst")
