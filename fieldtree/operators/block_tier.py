@@ -8,7 +8,8 @@
    one goes: its death (minimum, saddle, a minimum of what it joins) is final. All else is kept as an edge
    between the two components' least minima, for the next level.
 3. *Regions.* Eight blocks make a region (a prefix of their Z-order), eight regions a greater one. Fewer basins touch the outside at each
-   level, so what a task gets grows with the surface of its region and not with its volume.
+   level, so what a task gets grows with the surface of its region and not with its volume. A region with more than ``REGION_EDGES``
+   edges is cut into ranges of saddles, a task each (``ranged``), so no task gets a region's whole surface either.
 4. *Arcs.* A death names some minimum of the component that goes on; the branch it joins is found by following
    deaths up to the level of the saddle, by doubling. The nodes of a branch in order are its arcs.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from ..functions.order import value
 from ..schema import GridSpec
 from ..storage import stored
-from .fixpoint import pointer_jump
+from .fixpoint import FEW_LINKS, components, pointer_jump
 from .grid import Blocks, decompose, halved
 from .halo import INNER, SIDES, around, beside_rows, cell_rows, cells, face, faces, grown, ids, present, ranks, shape
 from .ordered import before
@@ -37,6 +38,9 @@ from .ordered import before
 #: A block holds at most so many cells, some 100 bytes each in its task; a small field is cut for the cores, into blocks of at least the lesser number.
 BLOCK_CELLS, LEAST_CELLS = 1 << 17, 1 << 12
 
+#: A task joins at most about so many edges of a region, some 300 bytes each while it does.
+REGION_EDGES = 1 << 20
+
 
 def blocks_for(spec: GridSpec, blocks: int | None = None, cores: int = 1) -> Blocks:
     """A number of blocks that is asked for, by its prime factors; else blocks by halving, of bounded size, in Z-order."""
@@ -110,7 +114,7 @@ def forest(made: DataFrame, blocks: Blocks) -> Forest:
     linked = left.select(F.inline(F.arrays_zip("id", "p", "pf")))
     roots = pointer_jump(linked, carry=("pf",)).select("id", F.col("root").alias("basin"), F.col("pf").alias("basin_f"))
     met = beside_rows(roots, blocks).select("block", "id", "basin", "basin_f")
-    return Forest(stored(left.select("block", "grown", "target").groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_block_tree(blocks), _REGION + ", cells binary, basins binary, heights binary"), "block-trees"), blocks)
+    return Forest(stored(left.select("block", "grown", "target").groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_block_tree(blocks), _REGION + ", cells binary, basins binary, heights binary"), "block-trees", edges=F.count_if(F.expr("kind = 0"))), blocks)
 
 
 def merge_region(a: np.ndarray, b: np.ndarray, fa: np.ndarray, fb: np.ndarray, f: np.ndarray, s: np.ndarray, open_: np.ndarray) -> tuple[list[tuple], list[tuple]]:
@@ -233,23 +237,71 @@ def _region_tree(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return _region_rows(deaths, kept, np.empty((0, 2), np.int64), block)
 
 
-def deaths(trees: Forest) -> DataFrame:
-    """u, uf, host, fs and s: where the component of each minimum but the least ends; stored."""
+def _range_tree(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    columns = {c: table[c].to_numpy() for c in ("a", "b", "fa", "fb", "f", "s")}
+    open_ = np.concatenate([columns[end][table[flag].to_numpy()] for end, flag in (("a", "open_a"), ("b", "open_b"))])
+    return _region_rows(*merge_region(*columns.values(), open_), np.empty((0, 2), np.int64), table["block"][0].as_py())
+
+
+def ranged(edges: DataFrame, still: DataFrame, n: int, few: int = FEW_LINKS) -> DataFrame:
+    """``edges`` of regions (at, block, a, b, fa, fb, f, s) cut into ``n`` ranges of (at, f, s): with seg, open_a and open_b, stored.
+
+    ``still`` (at, a) tells a region's open basins. A range can be joined by itself, since each end of its edges is
+    the least basin of what lower ranges have joined it to, and open if one of these is. That is found for all ranges by halving: what hangs together in a lower
+    half (``components``) gets one name in the upper one. That takes log2(n) steps over all edges, of joins and aggregations.
+    Edges that join nothing any more are left out. Ranges are dealt by sampled bounds, so they are about equal.
+    """
+    of = lambda end: still.select(F.col("at").alias(f"at_{end}"), F.col("a").alias(f"id_{end}"))
+    dealt = edges.repartitionByRange(n, "at", "f", "s").withColumn("seg", F.spark_partition_id())
+    for end in ("a", "b"):
+        dealt = dealt.join(of(end), (F.col("at") == F.col(f"at_{end}")) & (F.col(end) == F.col(f"id_{end}")), "left").withColumn(f"open_{end}", F.col(f"id_{end}").isNotNull()).drop(f"at_{end}", f"id_{end}")
+    now = stored(dealt, "ranges")
+    for half in reversed(range((n - 1).bit_length())):
+        node = lambda end: F.struct("at", F.shiftright("seg", half + 1).alias("part"), F.col(end).alias("id"))  # noqa: B023, E731
+        is_upper = F.shiftright("seg", half) % 2 == 1
+        lower, upper = now.filter(~is_upper), now.filter(is_upper)
+        ends = [lower.select(node(e).alias("id"), F.struct(F.col(f"f{e}").alias("f"), F.col(e).alias("id")).alias("least"), F.col(f"open_{e}").alias("open")) for e in ("a", "b")]
+        ends = ends[0].union(ends[1]).groupBy("id").agg(F.min("least").alias("least"), F.bool_or("open").alias("open"))
+        root = components(lower.select(node("a").alias("a"), node("b").alias("b")), few)
+        top = root.join(ends, "id").groupBy("root").agg(F.min("least").alias("least"), F.bool_or("open").alias("open"))
+        names = stored(root.join(top, "root").select("id", "least", "open"), "names")
+        for e in ("a", "b"):
+            upper = upper.withColumn("_node", node(e)).join(names.withColumnsRenamed({"id": "_id", "least": "_least", "open": "_open"}), F.col("_node") == F.col("_id"), "left")
+            upper = upper.withColumns({e: F.coalesce("_least.id", e), f"f{e}": F.coalesce("_least.f", f"f{e}"), f"open_{e}": F.coalesce("_open", f"open_{e}")}).drop("_node", "_id", "_least", "_open")
+        now = stored(lower.unionByName(upper.filter("a <> b")), "ranges")
+    return now
+
+
+def deaths(trees: Forest, most: int = REGION_EDGES) -> DataFrame:
+    """u, uf, host, fs and s: where the component of each minimum but the least ends; stored.
+
+    Regions of more than ``most`` edges are joined range by range (``ranged``), a task a range; the others in a task each.
+    """
     now, blocks = trees.rows, trees.blocks
     contacts, done, level = now.filter("kind = 1").select("a", "b", "block"), [now.filter("kind = 2")], 0
-    edges = now.filter("kind = 0").select("block", "a", "b", "fa", "fb", "f", "s")
+    left, edges = now.metrics["edges"], now.filter("kind = 0").select("block", "a", "b", "fa", "fb", "f", "s")
     while blocks.regions(level) > 1:
         level += 1
         mine, theirs = blocks.region(F.col("block"), level), blocks.region(F.col("b"), level)
-        still = contacts.filter(mine != theirs).select(mine.alias("block"), F.col("a")).distinct()
+        still = contacts.filter(mine != theirs).select(mine.alias("at"), F.col("a")).distinct()
         nothing = lambda *names: [F.lit(None).cast(t).alias(c) for c, t in names]
         # Edges name a block of their region, contacts all of theirs.
-        rows = edges.select(blocks.region(F.col("block"), level).alias("at"), F.lit(0).alias("kind"), "block", "a", "b", "fa", "fb", "f", "s").unionByName(
-            still.select(F.col("block").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("block"), "a", *nothing(("b", "long"), ("fa", "float"), ("fb", "float"), ("f", "float"), ("s", "long")))
+        edges, wide = edges.select(blocks.region(F.col("block"), level).alias("at"), "block", "a", "b", "fa", "fb", "f", "s"), None
+        if left > most:
+            wide = stored(edges.groupBy("at").count().filter(F.col("count") > most), "wide-regions", rows=F.count(F.lit(1)), edges=F.sum("count"))
+        parts = wide is not None and wide.metrics["rows"] > 0
+        if parts:
+            cut = ranged(edges.join(wide, "at", "left_semi"), still.join(wide, "at", "left_semi"), -(-wide.metrics["edges"] // most))
+            edges, still = edges.join(wide, "at", "left_anti"), still.join(wide, "at", "left_anti")
+        rows = edges.select("at", F.lit(0).alias("kind"), "block", "a", "b", "fa", "fb", "f", "s").unionByName(
+            still.select("at", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("block"), "a", *nothing(("b", "long"), ("fa", "float"), ("fb", "float"), ("f", "float"), ("s", "long")))
         )
-        made = stored(rows.groupBy("at").applyInArrow(_region_tree, _REGION), "region-trees")
+        joined = rows.groupBy("at").applyInArrow(_region_tree, _REGION)
+        if parts:
+            joined = joined.unionByName(cut.groupBy("at", "seg").applyInArrow(_range_tree, _REGION))
+        made = stored(joined, "region-trees", edges=F.count_if(F.expr("kind = 0")))
         done.append(made.filter("kind = 2"))
-        edges = made.filter("kind = 0").select("block", "a", "b", "fa", "fb", "f", "s")
+        left, edges = made.metrics["edges"], made.filter("kind = 0").select("block", "a", "b", "fa", "fb", "f", "s")
     out = done[0].select("a", "fa", "b", "f", "s")
     for more in done[1:]:
         out = out.unionByName(more.select("a", "fa", "b", "f", "s"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ from ..storage import stored
 
 MOST_ROUNDS = 64
 
+#: At most so many links are followed in one task, some 100 bytes each while they are.
+FEW_LINKS = 1 << 20
+
 
 def pointer_jump(pointers: DataFrame, id: str = "id", p: str = "p", carry: tuple[str, ...] = ()) -> DataFrame:
     """id and root: pointers followed to their fixed points; missing targets are fixed points.
@@ -31,6 +38,62 @@ def pointer_jump(pointers: DataFrame, id: str = "id", p: str = "p", carry: tuple
     raise RuntimeError("pointers did not settle")
 
 
+def _plain(column: pa.Array) -> np.ndarray:
+    if pa.types.is_struct(column.type):
+        return np.rec.fromarrays([c.to_numpy(zero_copy_only=False) for c in column.flatten()], names=[f.name for f in column.type])
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _components_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and root of the links (a, b) in one task: greater names hook on to smaller ones until no link joins two."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        table = pa.Table.from_batches(held)
+        both = pa.concat_arrays([c for end in ("a", "b") for c in table[end].chunks])
+        _, first, place = np.unique(_plain(both), return_index=True, return_inverse=True)
+        a, b, name = place[: len(place) // 2], place[len(place) // 2 :], np.arange(len(first))
+        while (differ := name[a] != name[b]).any():
+            a, b = a[differ], b[differ]
+            np.minimum.at(name, np.maximum(name[a], name[b]), np.minimum(name[a], name[b]))
+            while (name != (further := name[name])).any():
+                name = further
+        yield pa.RecordBatch.from_arrays([both.take(pa.array(first)), both.take(pa.array(first[name]))], names=["id", "root"])
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """id and root: the nodes that links (a, b) name, with one node that stands for all that are linked; stored.
+
+    Each node hooks on to the other end of its least link, what hangs together becomes one node, and the links between
+    these go on: nodes at least halve in each round. Once there are ``few`` links or less, one task follows them. Links are ordered as pairs, so hooks close no cycle but those of two
+    nodes with one link. Nodes of any type that can be ordered; least links combine ahead of their shuffle, so a node with
+    very many links is no hot key there. Repeated links and links of a node to itself add nothing, though the latter's node is left out
+    if it has no other; null ends are not expected. An empty table gives an empty one.
+    """
+    left = stored(links.select("a", "b").filter("a <> b"), "links", rows=F.count(F.lit(1)))
+    here = lambda: left.coalesce(1).mapInArrow(_components_here, left.select(F.col("a").alias("id"), F.col("b").alias("root")).schema)
+    if left.metrics["rows"] <= few:
+        return stored(here(), "components")
+    named = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
+    known = stored(named.select("id", F.col("id").alias("root")), "components")
+    while left.metrics["rows"]:
+        if left.metrics["rows"] <= few:
+            top = stored(here(), "hooks")
+        else:
+            link = F.struct(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+            sides = left.select(F.col("a").alias("c"), link.alias("e"), F.col("b").alias("to")).union(left.select("b", link, "a"))
+            least = stored(sides.groupBy("c").agg(F.min(F.struct("e", "to")).alias("m")).select("c", F.col("m.to").alias("to")), "hooks")
+            # Of two nodes that hook on to each other the smaller stays; the rest point on.
+            back = least.select(F.col("c").alias("to"), F.col("to").alias("back"))
+            pointers = least.join(back, "to", "left").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("p"))
+            top = pointer_jump(pointers, "c", "p")
+        of = lambda n: top.select(F.col("id").alias(f"c{n}"), F.col("root").alias(f"r{n}"))  # noqa: B023, E731
+        known = stored(known.join(of("k"), F.col("root") == F.col("ck"), "left").select("id", F.coalesce("rk", "root").alias("root")), "components")
+        if left.metrics["rows"] <= few:
+            break
+        left = stored(left.join(of("a"), F.col("a") == F.col("ca")).join(of("b"), F.col("b") == F.col("cb")).filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links", rows=F.count(F.lit(1)))
+    return known
+
+
 def ancestors(parents: DataFrame, id: str = "id", p: str = "p", of: DataFrame | None = None) -> DataFrame:
     """id, ancestor and steps: each node (or each id in ``of``) with all above it, itself with 0 steps.
 

@@ -59,11 +59,11 @@ class MergeTree:
         return self._made[mode]
 
 
-def merge_tree(field: DataFrame, spec: GridSpec, blocks: int | None = None, tier: str = "blocks", checked: bool = False) -> MergeTree:
+def merge_tree(field: DataFrame, spec: GridSpec, blocks: int | None = None, tier: str = "blocks", checked: bool = False, region_edges: int = block_tier.REGION_EDGES) -> MergeTree:
     """The join tree of a dense field, which is checked to be one (``sources.fields.check``) unless it is said to be.
 
     ``tier``: ``blocks`` merges trees of blocks over growing regions (``operators.block_tier``); ``blocks`` is
-    their number, by size if not given. ``global`` joins the whole basin graph in one ordered task. Equal results.
+    their number, by size if not given, and ``region_edges`` the number of a region's edges beyond which it is joined in ranges. ``global`` joins the whole basin graph in one ordered task. Equal results.
     """
     if tier not in ("blocks", "global"):
         raise ValueError(f"no tier {tier}")
@@ -83,7 +83,7 @@ def merge_tree(field: DataFrame, spec: GridSpec, blocks: int | None = None, tier
         log.info("%d vertices in %d blocks of %s cells", spec.n, cut.n, "x".join(map(str, cut.size)))
         trees = block_tier.forest(stored(tiles(field, cut), "tiles"), cut)
         done("basins")
-        dead = block_tier.deaths(trees)
+        dead = block_tier.deaths(trees, region_edges)
         done("merge")
         hops = block_tier.death_hops(dead)
         nodes = block_tier.branch_nodes(trees.basins, dead, hops)

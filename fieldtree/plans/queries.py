@@ -231,6 +231,7 @@ def _queries_of(name: str) -> dict[str, Query]:
         "basin_size": lambda s, d: tree.basins(made(s, d), spec).groupBy("basin").agg(F.count(F.lit(1)).alias("vertices")),
         "basin_edges": lambda s, d: _f(tree.basin_edges(made(s, d), spec, tree.basins(made(s, d), spec))),
         "arcs": lambda s, d: built(s, d).arcs,
+        "arcs_by_ranges": lambda s, d: merge_tree(field(s, d, name), spec, blocks=BLOCKS[name], checked=True, region_edges=32).arcs,
         "saddles": lambda s, d: tree.saddles(built(s, d).arcs),
         "children": lambda s, d: tree.children(built(s, d).arcs).select("saddle", F.array_join(F.transform("children", lambda c: c.cast("string")), ",").alias("children")),
         "root": lambda s, d: tree.root(built(s, d).arcs),
@@ -353,6 +354,7 @@ def _sql_of(name: str) -> dict[str, str]:
         "basin_size": sql("SELECT basin, count(*)::BIGINT AS vertices FROM bas GROUP BY 1", "bas"),
         "basin_edges": sql("SELECT a, b, f, s FROM bedge", "bedge"),
         "arcs": sql("SELECT node AS extremum, saddle, is_leaf FROM node", "node"),
+        "arcs_by_ranges": sql("SELECT node AS extremum, saddle, is_leaf FROM node", "node"),
         "saddles": sql("SELECT saddle, count(*)::BIGINT AS arcs FROM node WHERE saddle IS NOT NULL GROUP BY 1", "node"),
         "children": sql("SELECT saddle, string_agg(node::VARCHAR, ',' ORDER BY node) AS children FROM node WHERE saddle IS NOT NULL GROUP BY 1", "node"),
         "root": sql("SELECT node AS root FROM node WHERE saddle IS NULL", "node"),
@@ -376,7 +378,7 @@ def _sql_of(name: str) -> dict[str, str]:
 
 #: Queries that build a tree run on three fields, the others on all four.
 _TREES = {"arcs", "saddles", "children", "root", "arc_count", "labels", "arc_value", "arc_size", "arc_lines", "trunk_chain", "trunk_label", "descendant", "member_split", "boundary", "boundary_min", "boundary_shared", "boundary_union", "boundary_intersect", "boundary_remove"}
-_TREES |= {"value_at", "owned", "block_minima", "sweepable", "ending_saddle", "latest_answers", "peers", "fetch_arcs", "dangling_chain", "basin_split", "inherited", "boundary_order", "boundary_add", "boundary_without", "pair_union", "pair_common", "pair_first", "pair_second", "pair_merged", "subtree", "above", "image_box", "label_images", "peer_counts", "unvisited"}
+_TREES |= {"value_at", "owned", "block_minima", "sweepable", "ending_saddle", "latest_answers", "peers", "fetch_arcs", "dangling_chain", "basin_split", "inherited", "boundary_order", "boundary_add", "boundary_without", "pair_union", "pair_common", "pair_first", "pair_second", "pair_merged", "subtree", "above", "image_box", "label_images", "peer_counts", "unvisited", "arcs_by_ranges"}
 #: Of these, on which fields.
 _ON = {n: ("f1", "f4") for n in _TREES} | {n: ("f1", "f2", "f3", "f4") for n in ("arcs", "labels")} | {"trunk_label": ("f1", "f2", "f4"), "arc_count": ("f1", "f3", "f4")}
 

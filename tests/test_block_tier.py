@@ -135,6 +135,62 @@ def test_merge_tree_takes_any_number_of_blocks(spark):
         assert all(sorted(map(tuple, tree.labels(mode).collect())) == labels for mode in ("branch", "climb", "asof"))
 
 
+def test_regions_in_ranges(spark):
+    """Ranges of about twenty edges, over two levels of regions, give the nodes and labels of one ordered task."""
+    spec = GridSpec(9, 8, 3)
+    draw = random.Random(3)
+    field = made(spark, [draw.randrange(6) for _ in range(spec.n)], spec)
+    labels, parent = sweep([r.f for r in field.orderBy("id").collect()], spec)
+    tree = merge_tree(field, spec, blocks=12, region_edges=20)
+    assert {r.node: r.saddle for r in tree.nodes.collect() if r.saddle is not None} == parent
+    assert [r.arc for r in tree.labels().orderBy("id").collect()] == labels
+
+
+@pytest.mark.parametrize("few", [40, 1 << 20])
+def test_ranges_join_by_themselves(spark, few):
+    """Random graphs: deaths and edges of the ranges are those of one task over all edges, open basins and ties included."""
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    rows, still, want = [], [], {}
+    for at in range(6):
+        n, m = int(draw.integers(5, 30)), int(draw.integers(10, 60))
+        a, b = draw.integers(0, n, m), draw.integers(0, n, m)
+        a, b = a[a != b], b[a != b]
+        heights, f = draw.integers(0, 4, n).astype(np.float32), draw.integers(5, 9, len(a)).astype(np.float32)
+        s, open_ = 100 + draw.permutation(len(a)), draw.choice(n, n // 3, replace=False)
+        dead, kept = B.merge_region(a, b, heights[a], heights[b], f, s, open_)
+        want[at] = sorted((u, sad) for u, _, _, _, sad in dead), sorted((x, y, sad) for x, y, *_, sad in kept)
+        rows += [(at, at, *map(int, r[:2]), *map(float, r[2:5]), int(r[5])) for r in zip(a, b, heights[a], heights[b], f, s)]
+        still += [(at, int(o)) for o in open_]
+    schema = "at int, block int, a long, b long, fa float, fb float, f float, s long"
+    cut = B.ranged(spark.createDataFrame(rows, schema), spark.createDataFrame(still, "at int, a long"), 24, few)
+    got = {at: ([], []) for at in want}
+    for r in cut.groupBy("at", "seg").applyInArrow(B._range_tree, B._REGION).collect():
+        got[r.block][r.kind // 2].append((r.a, r.b, r.s) if r.kind == 0 else (r.a, r.s))
+    assert cut.groupBy("at", "seg").count().count() > 15
+    assert {at: (sorted(dead), sorted(kept)) for at, (kept, dead) in got.items()} == want
+
+
+@pytest.mark.parametrize("few", [0, 20, 1000])
+def test_components(spark, few):
+    from fieldtree.operators.fixpoint import components
+
+    draw = random.Random(8)
+    links = [(draw.randrange(60), draw.randrange(60)) for _ in range(40)] + [(100, k) for k in range(101, 130)] + [(k, k + 1) for k in range(200, 240)] + [(300, 300)]
+    up = {v: v for pair in links for v in pair}
+
+    def find(v):
+        return v if up[v] == v else find(up[v])
+
+    for a, b in links:
+        up[find(a)] = find(b)
+    got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long"), few).collect()}
+    assert set(got) == set(up) - {300} - {a for a, b in links if a == b and not any(a in p for p in links if p != (a, b))}
+    assert all((got[v] == got[w]) == (find(v) == find(w)) for v in got for w in got)
+    assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0
+
+
 def test_orders(spark):
     draw = random.Random(4)
     rows = [(draw.randrange(3), float(draw.randrange(6)), i, draw.random() < 0.2) for i in range(300)] + [(7, 1.0, 900, False), (8, 1.0, 901, True)]
