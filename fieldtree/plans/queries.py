@@ -231,7 +231,7 @@ def _queries_of(name: str) -> dict[str, Query]:
         "basin_size": lambda s, d: tree.basins(made(s, d), spec).groupBy("basin").agg(F.count(F.lit(1)).alias("vertices")),
         "basin_edges": lambda s, d: _f(tree.basin_edges(made(s, d), spec, tree.basins(made(s, d), spec))),
         "arcs": lambda s, d: built(s, d).arcs,
-        "arcs_by_ranges": lambda s, d: merge_tree(field(s, d, name), spec, blocks=BLOCKS[name], checked=True, region_edges=32).arcs,
+        "arcs_by_ranges": lambda s, d: merge_tree(field(s, d, name), spec, blocks=BLOCKS[name], checked=True, region_edges=8 if name == "f1" else 32).arcs,
         "saddles": lambda s, d: tree.saddles(built(s, d).arcs),
         "children": lambda s, d: tree.children(built(s, d).arcs).select("saddle", F.array_join(F.transform("children", lambda c: c.cast("string")), ",").alias("children")),
         "root": lambda s, d: tree.root(built(s, d).arcs),
