@@ -27,6 +27,16 @@ def remove(boundary: DataFrame, rows: DataFrame) -> DataFrame:
     return boundary.join(rows.select("comp", "id"), ["comp", "id"], "left_anti")
 
 
+def contains(boundary: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (comp, id and more) with is_in: whether the boundary of comp holds id.
+
+    Repeated rows of either side change nothing; a null comp or id is in no boundary; an empty boundary holds nothing.
+    """
+    held = boundary.select(F.col("comp").alias("_comp"), F.col("id").alias("_id")).distinct()
+    met = asked.join(held, (F.col("comp") == F.col("_comp")) & (F.col("id") == F.col("_id")), "left")
+    return met.select(*asked.columns, F.col("_id").isNotNull().alias("is_in"))
+
+
 def unite(one: DataFrame, other: DataFrame) -> DataFrame:
     """id and f of either boundary."""
     return one.select("id", "f").union(other.select("id", "f")).distinct()

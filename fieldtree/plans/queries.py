@@ -182,11 +182,18 @@ def _queries_of(name: str) -> dict[str, Query]:
         write_label_images(built(s, d).labels(), blocks, folder)
         return label_rows(s.read.format("binaryFile").load(folder), spec)
 
+    def contained(s: SparkSession, d: str) -> DataFrame:
+        """Of each vertex: is the one numbered after it on the boundary of its basin?"""
+        field_, edge = _boundaries(s, d, name)
+        return sets.contains(edge, tree.basins(field_, spec).select(F.col("basin").alias("comp"), (F.col("id") + 1).alias("id")))
+
     def without_least(s: SparkSession, d: str) -> DataFrame:
         edge = _boundaries(s, d, name)[1]
         return _f(sets.remove(edge, sets.boundary_min(edge)))
 
     return {
+        "contains": contained,
+        "filled": lambda s, d: _f(fields.filled(critical.minima(made(s, d), spec), spec, -1.0).select("id", "f")),
         "peer_counts": peer_counts,
         "unvisited": unvisited,
         "subtree": subtree,
@@ -354,6 +361,8 @@ def _sql_of(name: str) -> dict[str, str]:
         "basin_size": sql("SELECT basin, count(*)::BIGINT AS vertices FROM bas GROUP BY 1", "bas"),
         "basin_edges": sql("SELECT a, b, f, s FROM bedge", "bedge"),
         "arcs": sql("SELECT node AS extremum, saddle, is_leaf FROM node", "node"),
+        "contains": sql("SELECT bas.basin AS comp, bas.id + 1 AS id, EXISTS (SELECT 1 FROM bound WHERE bound.comp = bas.basin AND bound.id = bas.id + 1) AS is_in FROM bas", "bas", "bound"),
+        "filled": sql("SELECT fld.id, coalesce(mins.f, -1)::DOUBLE AS f FROM fld LEFT JOIN mins ON mins.id = fld.id", "fld", "mins"),
         "arcs_by_ranges": sql("SELECT node AS extremum, saddle, is_leaf FROM node", "node"),
         "saddles": sql("SELECT saddle, count(*)::BIGINT AS arcs FROM node WHERE saddle IS NOT NULL GROUP BY 1", "node"),
         "children": sql("SELECT saddle, string_agg(node::VARCHAR, ',' ORDER BY node) AS children FROM node WHERE saddle IS NOT NULL GROUP BY 1", "node"),
@@ -378,7 +387,7 @@ def _sql_of(name: str) -> dict[str, str]:
 
 #: Queries that build a tree run on three fields, the others on all four.
 _TREES = {"arcs", "saddles", "children", "root", "arc_count", "labels", "arc_value", "arc_size", "arc_lines", "trunk_chain", "trunk_label", "descendant", "member_split", "boundary", "boundary_min", "boundary_shared", "boundary_union", "boundary_intersect", "boundary_remove"}
-_TREES |= {"value_at", "owned", "block_minima", "sweepable", "ending_saddle", "latest_answers", "peers", "fetch_arcs", "dangling_chain", "basin_split", "inherited", "boundary_order", "boundary_add", "boundary_without", "pair_union", "pair_common", "pair_first", "pair_second", "pair_merged", "subtree", "above", "image_box", "label_images", "peer_counts", "unvisited", "arcs_by_ranges"}
+_TREES |= {"value_at", "owned", "block_minima", "sweepable", "ending_saddle", "latest_answers", "peers", "fetch_arcs", "dangling_chain", "basin_split", "inherited", "boundary_order", "boundary_add", "boundary_without", "pair_union", "pair_common", "pair_first", "pair_second", "pair_merged", "subtree", "above", "image_box", "label_images", "peer_counts", "unvisited", "arcs_by_ranges", "contains", "filled"}
 #: Of these, on which fields.
 _ON = {n: ("f1", "f4") for n in _TREES} | {n: ("f1", "f2", "f3", "f4") for n in ("arcs", "labels")} | {"trunk_label": ("f1", "f2", "f4"), "arc_count": ("f1", "f3", "f4")}
 

@@ -32,6 +32,15 @@ def binned(table: DataFrame, cell: Column, spec: GridSpec) -> DataFrame:
     return _field(grid.join(counts, F.col("id") == F.col("cell"), "left").select("id", F.coalesce("n", F.lit(0)).alias("f")), spec)
 
 
+def filled(rows: DataFrame, spec: GridSpec, default: float) -> DataFrame:
+    """A dense field from rows (id, f) of some of its vertices; the others, and those whose value is null, get ``default``.
+
+    Ids outside the grid and null ids are left out; ids must not repeat. An empty table gives a field of the default only.
+    """
+    given = rows.select(F.col("id").alias("_id"), F.col("f").alias("_f"))
+    return _field(vertices(rows.sparkSession, spec).join(given, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("_f", F.lit(default)).alias("f")), spec)
+
+
 def from_arrays(table: DataFrame, key: str, values: str, spec: GridSpec) -> DataFrame:
     """An array column as rows of a grid: x is the place in the array, y the key."""
     made = table.select(F.col(key).alias("k"), F.posexplode(values).alias("pos", "f"))

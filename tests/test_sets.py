@@ -72,3 +72,19 @@ def test_bitmaps(spark):
     left = sets.unvisited(spark.createDataFrame(asked, "id long, bucket string"), whole).collect()
     assert sorted(map(str, map(tuple, left))) == sorted(str(r) for r in asked if r[0] not in numbers)
     assert sets.bitmaps(df.limit(0), "n", "comp").count() == 0 and sets.unvisited(spark.createDataFrame(asked, "id long, bucket string"), whole.limit(0)).count() == len(asked)
+
+
+def test_contains_and_filled_on_odd_rows(spark):
+    from fieldtree.schema import GridSpec
+    from fieldtree.sources.fields import filled
+
+    edge = spark.createDataFrame([(1, 5), (1, 5), (2, 6), (None, 7), (1, None)], "comp long, id long")
+    asked = spark.createDataFrame([(1, 5, "x"), (1, 5, "x"), (2, 5, "y"), (None, 7, "z"), (1, None, "n")], "comp long, id long, _f string")
+    told = sets.contains(edge, asked)
+    assert told.columns == ["comp", "id", "_f", "is_in"]
+    assert sorted((r["_f"], r.is_in) for r in told.collect()) == [("n", False), ("x", True), ("x", True), ("y", False), ("z", False)]
+    assert not any(r.is_in for r in sets.contains(edge.limit(0), asked).collect())
+    rows = spark.createDataFrame([(1, 2.5), (3, None), (9, 1.0), (-1, 1.0), (None, 4.0)], "id long, f double")
+    field = {r.id: (r.f, r.x, r.y) for r in filled(rows, GridSpec(2, 2), -1.0).collect()}
+    assert field == {0: (-1.0, 0, 0), 1: (2.5, 1, 0), 2: (-1.0, 0, 1), 3: (-1.0, 1, 1)}
+    assert {r.f for r in filled(rows.limit(0), GridSpec(3), 7.0).collect()} == {7.0}
