@@ -93,3 +93,23 @@ def test_absent_subpackage_is_no_error(tmp_path):
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env).returncode == 0
     (tmp_path / "corpus_pipeline.py").write_text("import no_such_module\n")
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, stderr=subprocess.DEVNULL).returncode != 0
+
+
+def test_stages_begin_rested(spark, documents):
+    """A stage's first act: heaps are collected, and from then on no batch that a worker gets is large."""
+    import corpus_pipeline as C
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName() and "Scavenge" not in b.getName())
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("ab"), 5000).alias("text"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    whole = max(r.n for r in rows.mapInArrow(sizes, "n long").collect())
+    before = full()
+    C.mixing(spark, documents, SF)
+    assert full() > before
+    got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 40_000_000 and max(got) < 1.2 * C.BATCH_BYTES < whole
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
