@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored, to_arrow, trimmed
-from .components import components
+from .components import FEW, components
 
 SEED = 42
 #: Least similarity, as a fraction of whole numbers.
@@ -185,7 +185,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) ->
     ``nodes``: node, sig, n and least, an id of a row (doc_id, payload) that has the set.
     """
     pairs = stored(pairs, "candidates")
-    group = components(pairs)
+    group = components(pairs, few=FEW)
     placed = group.join(nodes.select(F.col("node").alias("of"), "sig", "n", "least"), F.col("node") == F.col("of")).drop("of")
     blocks = placed.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_VALUES).cast("int").alias("blocks"))
     placed = stored(placed.join(blocks, "component").select("node", "sig", "least", "component", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int").alias("block")), "candidate-nodes")

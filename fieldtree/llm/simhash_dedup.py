@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discarded, row_map, slices, stored, to_arrow, trimmed, unused, utf8
-from .components import components
+from .components import FEW, components
 from .shingle_sets import as_set, buckets, digest, frequent, large_links, parity, possible, prefix, shingles, star_pairs, verified
 
 BITS = 64
@@ -433,15 +433,15 @@ def _candidates(nodes: DataFrame, limit: int) -> DataFrame:
 def _grouped(nodes: DataFrame, rows: DataFrame, words: int, limit: int) -> DataFrame:
     """node and component of the sets that are linked to others, over all links of 0.8 similarity or more."""
     found = verified(possible(_candidates(nodes, limit), nodes), nodes, rows, words)
-    searched = components(found)
+    searched = components(found, few=FEW)
     named = nodes.join(searched.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "first", F.coalesce("component", "node").alias("group"))
     met = buckets(named)
     large = met.filter("token IS NOT NULL").select("token", "node", "n", "group")
     pairs = met.filter("token IS NULL").select("a", "b").unionByName(star_pairs(large)).distinct()
     edges = found.unionByName(verified(possible(pairs, nodes), nodes, rows, words))
-    linked = components(edges)
+    linked = components(edges, few=FEW)
     more = None if large.isEmpty() else large_links(large, linked, nodes, rows, words)
-    return linked if more is None else components(edges.unionByName(more))
+    return linked if more is None else components(edges.unionByName(more), few=FEW)
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, limit: int = 4) -> DataFrame:
