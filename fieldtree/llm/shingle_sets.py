@@ -15,9 +15,12 @@ such a value. The order takes values that are frequent in a sample of documents
 small; the sample decides on speed only, never on results. Pairs of a bucket of at most ``SMALL`` sets are
 written if enough values are left behind the shared one, which holds at the first value that two similar sets
 share, and if parities of the sets (a bit per value or two) don't rule them out. A larger bucket first gives
-pairs with its first set; where these don't connect it, its sets are dealt to blocks by size, and pairs of
-blocks whose sizes can be similar are compared by their parities. The pairs left are checked like others; a
-block with very many of them is compared whole, by matrix products of memberships.
+pairs with the set that has the fewest rarer values, of near copies one with few changes; so rows grow with a group
+of near copies and not with its square. Where these don't connect it, its sets are dealt to blocks by size and group,
+and pairs of blocks whose sizes can be similar are compared by their parities, unless one group holds both. A set whose
+place in the bucket leaves it too few values for sets of its own size or larger only meets smaller ones, or none. The
+pairs left are checked like others; a block with very many of them is compared whole, by matrix products of memberships.
+Sets that stay apart in a bucket are still compared with all of it.
 """
 
 from __future__ import annotations
@@ -206,8 +209,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) ->
 
 def buckets(nodes: DataFrame) -> DataFrame:
     """Of sets (node, n, first, group): rows (a, b) of pairs of different groups that meet in a small bucket and can
-    be similar, and rows (token, node, n, group) of the members of large buckets; stored."""
-    schema = "a long, b long, token long, node long, n long, group long"
+    be similar, and rows (token, node, n, group, place) of the members of large buckets; stored."""
+    schema = "a long, b long, token long, node long, n long, group long, place long"
     arrow = to_arrow(nodes, schema)
 
     def pairs_of(token: np.ndarray, node: np.ndarray, n: np.ndarray, group: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -229,10 +232,10 @@ def buckets(nodes: DataFrame) -> DataFrame:
         size = np.ones(len(token), bool) if large else np.bincount(np.cumsum(np.r_[False, token[1:] != token[:-1]]))[np.cumsum(np.r_[False, token[1:] != token[:-1]])] > SMALL
         none = lambda k: pa.nulls(k, pa.int64())
         if size.any():
-            yield pa.RecordBatch.from_arrays([none(size.sum()), none(size.sum()), *(pa.array(x[size]) for x in (token, node, n, group))], schema=arrow)
+            yield pa.RecordBatch.from_arrays([none(size.sum()), none(size.sum()), *(pa.array(x[size]) for x in (token, node, n, group, place))], schema=arrow)
         found = pairs_of(*(x[~size] for x in (token, node, n, group, place)))
         if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), *(none(len(found)) for _ in range(4))], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), *(none(len(found)) for _ in range(5))], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, going = None, None  # going: a large bucket whose beginning has been written
@@ -266,10 +269,11 @@ def buckets(nodes: DataFrame) -> DataFrame:
 
 
 def _distinct_buckets(large: DataFrame) -> DataFrame:
-    """The rows of one bucket of those with equal members."""
+    """The rows of one bucket of those with equal members: of the value that is the first of these in the order, as no other is
+    the first that two of the members share."""
     mark = F.xxhash64("node")
-    same = large.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"))
-    one = same.groupBy("n", "sum", "xor").agg(F.min("token").alias("one"))
+    same = large.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("sum"), F.bit_xor(mark).alias("xor"), F.sum("place").alias("places"))
+    one = same.groupBy("n", "sum", "xor").agg(F.min_by("token", "places").alias("one"))
     return large.join(one.select("one"), F.col("token") == F.col("one"), "left_semi")
 
 
@@ -279,9 +283,9 @@ def _size_class() -> Column:
 
 
 def star_pairs(large: DataFrame) -> DataFrame:
-    """Pairs of each set of a large bucket with the first one of its class of size."""
+    """Pairs of each set of a large bucket with that of its class of size which has the fewest rarer values."""
     rows = _distinct_buckets(large).withColumn("class", _size_class())
-    first = rows.groupBy(F.col("token").alias("t"), F.col("class").alias("c")).agg(F.min(F.struct("node", "group")).alias("first"))
+    first = rows.groupBy(F.col("token").alias("t"), F.col("class").alias("c")).agg(F.min(F.struct("place", "node", "group")).alias("first"))
     found = rows.join(first, (F.col("token") == F.col("t")) & (F.col("class") == F.col("c"))).filter("group <> first.group")
     return found.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct()
 
@@ -329,29 +333,61 @@ def screened(n: np.ndarray, group: np.ndarray, bits: list[bytes]) -> np.ndarray:
     return np.argwhere(np.triu(near & (group[:, None] != group[None, :]) & ((OVER + UNDER) * apart <= (UNDER - OVER) * both), 1))
 
 
+def _open(large: DataFrame, linked: DataFrame) -> DataFrame:
+    """token, node, n, place and group (by ``linked``) of the sets of large buckets that hold two groups or more."""
+    named = _distinct_buckets(large).drop("group").join(linked.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("token", "node", "n", "place", F.coalesce("component", "node").alias("group"))
+    apart = named.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select(F.col("token").alias("of"))
+    return named.join(apart, F.col("token") == F.col("of"), "left_semi")
+
+
+def _meeting(open_: DataFrame) -> DataFrame:
+    """Rows of large buckets (token, node, n, place, group) and their ``kind``: twice the class of size, and 1 more if the
+    values from the shared one on are too few for a set of equal size or a larger one. Such a row can only link to smaller
+    sets that aren't of such a kind, and goes if its bucket has none that is small enough."""
+    late = UNDER * F.col("n") - (OVER + UNDER) * F.col("place") < OVER * F.col("n")
+    rows = open_.withColumn("late", late).withColumn("kind", 2 * _size_class() + F.col("late").cast("int"))
+    least = rows.groupBy(F.col("token").alias("of")).agg(F.min(F.when(~F.col("late"), F.col("n"))).alias("least"))
+    return rows.join(least, F.col("token") == F.col("of")).filter(~F.col("late") | (OVER * F.col("least") <= UNDER * F.col("n") - (OVER + UNDER) * F.col("place"))).drop("of", "least", "late")
+
+
+def _dealt(open_: DataFrame) -> DataFrame:
+    """Rows (token, c, i, d, j, node, group): each set of a large bucket, once for each pair of blocks that it is compared in.
+
+    A group of many sets of one kind has blocks of its own (``whole``), which aren't compared with each other; the
+    other groups of that kind share blocks.
+    """
+    rows = _meeting(open_)
+    room = lambda sets, values: F.ceil(F.greatest(sets / BLOCK, values / LARGE_VALUES)).cast("int")
+    of_group = rows.groupBy("token", "kind", "group").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("values"))
+    of_group = of_group.withColumn("whole", F.when((F.col("sets") >= BLOCK) | (F.col("values") >= LARGE_VALUES), F.col("group")))
+    blocks = of_group.groupBy("token", "kind", "whole").agg(room(F.sum("sets"), F.sum("values")).alias("blocks"))
+    own = blocks.select(F.col("token").alias("t"), F.col("kind").alias("k"), F.col("whole").alias("w"), "blocks")
+    names = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("kind"), F.col("whole"), k.alias("part")))
+    others = blocks.groupBy(F.col("token").alias("of")).agg(F.flatten(F.collect_list(names)).alias("blocks_of"))
+    large = of_group.filter("whole IS NOT NULL").select(F.col("token").alias("t"), F.col("kind").alias("k"), F.col("whole").alias("w"))
+    rows = rows.join(large, (F.col("token") == F.col("t")) & (F.col("kind") == F.col("k")) & (F.col("group") == F.col("w")), "left").select("token", "node", "group", "kind", F.col("w").alias("whole"))
+    rows = rows.join(own, (F.col("token") == F.col("t")) & (F.col("kind") == F.col("k")) & F.col("whole").eqNullSafe(F.col("w")))
+    rows = rows.select("token", "node", "group", F.struct("kind", "whole", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part")).alias("own"))
+
+    def met(x: Column) -> Column:
+        """Whether block ``x`` has sets to compare with those of ``own``: not of the same whole group, of a size near enough."""
+        mine, step = F.col("own.kind"), x["kind"] - F.col("own.kind")
+        near = F.when(mine % 2 == 0, step.isin(-2, 0, 1, 2, 3)).otherwise(step.isin(-3, -1))
+        return near & F.coalesce(x["whole"] != F.col("own.whole"), F.lit(True))
+
+    pair = F.transform(F.filter("blocks_of", met), lambda x: F.struct(F.least("own", x).alias("low"), F.greatest("own", x).alias("high")))
+    pairs = rows.join(others, F.col("token") == F.col("of")).select("token", "node", "group", F.explode(pair).alias("u"))
+    name = lambda k: F.concat_ws(".", F.col(f"u.{k}.part").cast("string"), F.col(f"u.{k}.whole").cast("string"))
+    return pairs.select("token", F.col("u.low.kind").alias("c"), name("low").alias("i"), F.col("u.high.kind").alias("d"), name("high").alias("j"), "node", "group")
+
+
 def large_links(large: DataFrame, linked: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame | None:
     """Links between the groups (``linked``: node, component) that meet in a large bucket; None if none has two groups."""
-    named = _distinct_buckets(large).drop("group").join(linked.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("token", "node", "n", F.coalesce("component", "node").alias("group"))
-    apart = named.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select(F.col("token").alias("of"))
-    open_ = stored(named.join(apart, F.col("token") == F.col("of"), "left_semi").withColumn("class", _size_class()), "open-buckets")
+    open_ = stored(_open(large, linked), "open-buckets")
     if open_.isEmpty():
         return None
-    counts = open_.groupBy("token", "class").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / LARGE_VALUES)).cast("int").alias("blocks"))
-    of = lambda k: counts.select(F.col("token").alias(f"t{k}"), (F.col("class") - k).alias(f"c{k}"), F.col("blocks").alias(f"b{k}"))
-    dealt = open_
-    for k in (0, 1, -1):  # blocks of a row's own class, the next and the one before
-        dealt = dealt.join(of(k), (F.col("token") == F.col(f"t{k}")) & (F.col("class") == F.col(f"c{k}")), "left").drop(f"t{k}", f"c{k}")
-    own = F.pmod(F.xxhash64("node"), F.col("b0")).cast("int")
-    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-    unit = lambda c, i, d, j: F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"))
-    klass = F.col("class")
-    units = F.concat(
-        F.transform(upto("b0"), lambda j: unit(klass, F.least(own, j), klass, F.greatest(own, j))),
-        F.transform(upto("b1"), lambda j: unit(klass, own, klass + 1, j)),
-        F.transform(upto("b-1"), lambda i: unit(klass - 1, i, klass, own)),
-    )
+    dealt = _dealt(open_)
     key = ("token", "c", "i", "d", "j")
-    dealt = dealt.select("token", "node", "group", F.explode(units).alias("u")).select("token", "u.*", "node", "group")
     mixed = dealt.groupBy(*key).agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select(*key)
     dealt = dealt.join(mixed, list(key), "left_semi")
     measured = dealt.join(nodes.select(F.col("node").alias("of"), "n", "bits"), F.col("node") == F.col("of")).select(*key, "node", F.col("group").alias("grp"), "n", "bits")

@@ -436,7 +436,7 @@ def _grouped(nodes: DataFrame, rows: DataFrame, words: int, limit: int) -> DataF
     searched = components(found, few=FEW)
     named = nodes.join(searched.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "first", F.coalesce("component", "node").alias("group"))
     met = buckets(named)
-    large = met.filter("token IS NOT NULL").select("token", "node", "n", "group")
+    large = met.filter("token IS NOT NULL").select("token", "node", "n", "group", "place")
     pairs = met.filter("token IS NULL").select("a", "b").unionByName(star_pairs(large)).distinct()
     edges = found.unionByName(verified(possible(pairs, nodes), nodes, rows, words))
     linked = components(edges, few=FEW)
